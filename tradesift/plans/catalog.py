@@ -40,6 +40,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """
 )
 def salami_rolling_90d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").cast("long")).rangeBetween(-90 * 86400, 0)
+    r = Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").cast("timestamp").cast("long")).rangeBetween(-90 * 86400, 0)
     w = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", F.sum("o_totalprice").over(r).alias("total"), F.count("*").over(r).alias("n"), F.max("o_totalprice").over(r).alias("largest"))
     return w.filter("total >= 600000 AND n >= 2 AND largest <= 0.7 * total").withColumn("total", F.round("total", 2))

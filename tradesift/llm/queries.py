@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradesift.llm import exact_dedup, quality_rules, source_mixing
+from tradesift.llm import exact_dedup, quality_rules, simhash_dedup, source_mixing
 from tradesift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_source_mixing"] = op2_source_mixing
+
+
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op5_simhash_dedup"] = op5_simhash_dedup

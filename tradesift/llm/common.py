@@ -51,8 +51,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def unique() -> str:
+    return uuid.uuid4().hex
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
-    path = f"{shared_dir(spark)}/tradesift/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tradesift/{what}-{unique()}"
     _scratch.append(path)
     return path
 
@@ -71,13 +75,14 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def clear_scratch(spark: SparkSession, keep: int = 0) -> None:
-    """Delete the scratch tables written so far but the last ``keep``. Call it once results built on them are stored."""
-    gone = _scratch[: len(_scratch) - keep]
-    del _scratch[: len(_scratch) - keep]
-    for path in gone:
-        delete_path(spark, path)
+def scratch_count() -> int:
+    return len(_scratch)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+def clear_scratch(spark: SparkSession, since: int = 0) -> None:
+    """Delete the scratch tables written since ``scratch_count`` was ``since``. Only for a caller that has stored every
+    result built on them."""
+    gone = _scratch[since:]
+    del _scratch[since:]
+    for path in gone:
+        delete_path(spark, path)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tradesift.llm import exact_dedup, quality_rules, simhash_dedup, source_mixing
+from tradesift.llm import bpe, exact_dedup, quality_rules, simhash_dedup, source_mixing
 from tradesift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +76,14 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_simhash_dedup"] = op5_simhash_dedup
+
+
+#: The tokenizer of the contract; a parameter of the operators.
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+QUERIES["op1_byte_bpe"] = op1_byte_bpe

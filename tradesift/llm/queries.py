@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tradesift.llm import bpe, exact_dedup, quality_rules, secret_scan, simhash_dedup, source_mixing, url_filter
+from tradesift.llm import bpe, exact_dedup, pii, quality_rules, secret_scan, simhash_dedup, source_mixing, url_filter
 from tradesift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,10 @@ m AS (SELECT u.*, max(struct_pack(n := length(h || p), k := length(h), rule := h
       FROM u LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL)
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM m
 """
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.scan(table(spark, sf_dir, "documents")))
+
+
+QUERIES["op10_pii"] = op10_pii

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tradesift.llm import bpe, exact_dedup, pii, quality_rules, secret_scan, simhash_dedup, source_mixing, url_filter
+from tradesift.llm import bpe, chat_format, exact_dedup, pii, quality_rules, secret_scan, simhash_dedup, source_mixing, url_filter
 from tradesift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_pii"] = op10_pii
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_chats(table(spark, sf_dir, "conversations"))
+
+
+QUERIES["op7_chat_format"] = op7_chat_format

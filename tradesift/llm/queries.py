@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tradesift.llm import bpe, chat_format, exact_dedup, pii, quality_rules, secret_scan, simhash_dedup, source_mixing, url_filter
+from tradesift.llm import bpe, chat_format, exact_dedup, pii, quality_rules, secret_scan, simhash_dedup, source_mixing, token_shards, url_filter
 from tradesift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_chat_format"] = op7_chat_format
+
+
+def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+QUERIES["op8_token_shards"] = op8_token_shards

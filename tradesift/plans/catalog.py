@@ -1,12 +1,16 @@
-"""Registry of the engine's own queries and their SQL oracles."""
+"""The engine's operators over the driver's tables, each with the SQL that must give the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+
+from tradesift import schemas
+from tradesift.functions import dates, format, names, text
+from tradesift.operators import classify, cluster, dedup, filters, reports, sales, sizing, state
+from tradesift.sources import feeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +32,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def instant(c: str) -> Column:
+    return F.col(c).cast("timestamp")
+
+
+def at(value: str) -> Column:
+    return F.lit(value).cast("timestamp")
+
+
+# ---- windows over trades
+
+
 @query(
     """
     WITH w AS (
@@ -40,6 +55,694 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """
 )
 def salami_rolling_90d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").cast("timestamp").cast("long")).rangeBetween(-90 * 86400, 0)
-    w = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", F.sum("o_totalprice").over(r).alias("total"), F.count("*").over(r).alias("n"), F.max("o_totalprice").over(r).alias("largest"))
-    return w.filter("total >= 600000 AND n >= 2 AND largest <= 0.7 * total").withColumn("total", F.round("total", 2))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    found = sales.rolling(orders, ["o_custkey"], "o_orderdate", "o_totalprice", 90, 600000, 2, 0.7)
+    return found.withColumn("total", F.round("total", 2)).drop("o_totalprice")
+
+
+@query(
+    """
+    WITH p AS (SELECT *, lag(o_totalprice) OVER w AS prior, lag(o_orderdate) OVER w AS prior_at FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))
+    SELECT o_orderkey, o_custkey, o_totalprice, prior FROM p
+    WHERE prior IS NULL OR o_totalprice >= 2 * prior OR o_orderdate - prior_at >= INTERVAL 90 DAYS
+    """
+)
+def salami_realert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    o = table(spark, sf_dir, "orders").withColumns({"prior": F.lag("o_totalprice").over(w), "prior_at": F.lag("o_orderdate").over(w)})
+    due = F.col("prior").isNull() | (F.col("o_totalprice") >= 2 * F.col("prior")) | (F.col("o_orderdate") - F.col("prior_at") >= F.make_dt_interval(F.lit(90)))
+    return o.filter(due).select("o_orderkey", "o_custkey", "o_totalprice", "prior")
+
+
+@query(
+    """
+    WITH s AS (SELECT o_custkey, sum(o_totalprice) AS total, count(*) AS n, max(o_totalprice) AS largest FROM orders
+               WHERE o_orderdate >= TIMESTAMP '2001-06-01' - INTERVAL 90 DAYS GROUP BY 1),
+    l AS (SELECT o_custkey, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS last_total, max(o_orderdate) AS last_at FROM orders WHERE o_orderdate < TIMESTAMP '2001-01-01' GROUP BY 1)
+    SELECT 'c' || o_custkey AS person_key, round(total, 2) AS total_cr, n, largest
+    FROM s LEFT JOIN l USING (o_custkey)
+    WHERE round(total, 2) >= 250 AND n >= 2 AND largest <= 0.7 * round(total, 2)
+      AND (last_at IS NULL OR round(total, 2) >= 2 * last_total OR last_at <= TIMESTAMP '2001-06-01' - INTERVAL 90 DAYS)
+    """
+)
+def pattern_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    person = F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
+    sold = o.select(F.col("o_orderkey").alias("id"), person.alias("person_key"), person.alias("person_name"), F.lit("x").alias("company"), F.lit("x").alias("company_key"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("trade_date"), F.col("o_totalprice").alias("value_cr"), instant("o_orderdate").alias("created_at"))
+    past = o.filter(instant("o_orderdate") < at("2001-01-01")).select(F.col("o_orderkey").alias("id"), person.alias("person_key"), F.lit("x").alias("company_key"), F.col("o_totalprice").alias("total_cr"), instant("o_orderdate").alias("alerted_at"))
+    return sales.patterns(sold, past, at("2001-06-01")).select("person_key", "total_cr", "n", "largest")
+
+
+# ---- names and matches
+
+TOKENS = """
+    (SELECT p_name, count(*) AS n, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'),
+     lambda w: length(w) > 1 AND w NOT IN ('private','limited','ltd','pvt','inc','corp','corporation','technologies','technology','industries','enterprises','group','holdings','india','company','co','and','the','engineering','services','solutions')))) AS t
+     FROM part GROUP BY 1)
+"""
+
+
+@query(
+    f"""
+    WITH p AS {TOKENS}
+    SELECT a.p_name AS a, b.p_name AS b, a.n * b.n AS pairs FROM p a JOIN p b ON a.p_name < b.p_name
+    WHERE len(a.t) > 0 AND len(b.t) > 0 AND (list_has_all(a.t, b.t) OR list_has_all(b.t, a.t))
+    """
+)
+def name_subset_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Different names only; the copies of each are counted, not joined."""
+    p = table(spark, sf_dir, "part").groupBy("p_name").agg(F.count("*").alias("n")).withColumn("tokens", names.company_tokens(F.col("p_name")))
+    pairs = cluster.token_pairs(p, p, "p_name", "p_name").filter("x < y")
+    a = p.select(F.col("p_name").alias("x"), F.col("n").alias("n_a"), F.col("tokens").alias("ta"))
+    b = p.select(F.col("p_name").alias("y"), F.col("n").alias("n_b"), F.col("tokens").alias("tb"))
+    both = pairs.join(a, "x").join(b, "y").filter(names.subset_match(F.col("ta"), F.col("tb")))
+    return both.select(F.col("x").alias("a"), F.col("y").alias("b"), (F.col("n_a") * F.col("n_b")).alias("pairs"))
+
+
+@query(
+    """
+    SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey
+    WHERE abs(epoch_us(a.o_orderdate) - epoch_us(b.o_orderdate)) <= 168 * 3600000000
+      AND a.o_totalprice > 0 AND b.o_totalprice > 0 AND abs(a.o_totalprice - b.o_totalprice) <= 0.05 * greatest(a.o_totalprice, b.o_totalprice)
+    """
+)
+def amount_match_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An interval join: rows meet in the buckets of one window's width, so a customer's whole history never pairs up."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", (F.unix_micros(instant("o_orderdate")) / 3.6e9).alias("h"))
+    bucket = F.floor(F.col("h") / 168)
+    a = o.select("o_custkey", F.col("o_orderkey").alias("a"), F.col("o_totalprice").alias("va"), F.col("h").alias("ha"), bucket.alias("k"))
+    b = o.select("o_custkey", F.col("o_orderkey").alias("b"), F.col("o_totalprice").alias("vb"), F.col("h").alias("hb"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("k"))
+    near = a.join(b, ["o_custkey", "k"]).filter((F.col("a") < F.col("b")) & (F.abs(F.col("ha") - F.col("hb")) <= 168))
+    return near.filter(names.amount_match(F.col("va"), F.col("vb"))).select("a", "b")
+
+
+@query(
+    f"""
+    SELECT p_name, array_to_string(t, ' ') AS deal_key FROM {TOKENS}
+    """
+)
+def deal_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_name").distinct().withColumn("deal_key", names.deal_key(F.col("p_name")))
+
+
+@query(
+    """
+    SELECT c_custkey, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower('Mr. ' || c_name || ' Kumar, ' || c_mktsegment), '[^a-z0-9]+'),
+      lambda w: length(w) > 1 AND w NOT IN ('mr','mrs','ms','miss','shri','smt','dr','kum','km','late')))), ' ') AS person_key FROM customer
+    """
+)
+def person_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    full = F.concat(F.lit("Mr. "), F.col("c_name"), F.lit(" Kumar, "), F.col("c_mktsegment"))
+    return table(spark, sf_dir, "customer").select("c_custkey", names.person_key(full).alias("person_key"))
+
+
+@query(
+    """
+    SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(lower(p_name || ' ' || p_type || ' Pvt. Ltd'), '\\b(private|limited|ltd|pvt|inc|corp|technologies|industries|enterprises)\\b', ' ', 'g'),
+      '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS company FROM part
+    """
+)
+def company_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    full = F.concat("p_name", F.lit(" "), "p_type", F.lit(" Pvt. Ltd"))
+    return table(spark, sf_dir, "part").select("p_partkey", names.normalise_company(full).alias("company"))
+
+
+KEYWORDS = "(regexp_matches(lower({c}), 'fund|mutual|amc|llp|securities|capital|advisors|advisers|partners|mauritius|pte|plc|gmbh|sicav|insurance|bank|asset management|portfolio|trustee|fpi|fii'))"
+
+
+@query(
+    f"""
+    SELECT CASE WHEN {KEYWORDS.format(c="p_name || ' ' || p_type")} THEN 'institution'
+                WHEN regexp_matches(lower(p_name || ' ' || p_type), 'ltd|limited|pvt|holdings|enterprises|trust|corp|investment|investments|global|international|ventures|equity') THEN 'ambiguous'
+                ELSE 'individual' END AS seller_class, count(*) AS n FROM part GROUP BY 1
+    """
+)
+def seller_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").groupBy(names.seller_class(F.concat_ws(" ", "p_name", "p_type")).alias("seller_class")).agg(F.count("*").alias("n"))
+
+
+def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines of parts, as reports on companies: one for each part and supplier of an order's first line."""
+    line = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws(" ", "p_name", "p_brand").alias("company"))
+    r = line.join(part, "l_partkey").select(F.col("l_orderkey").alias("seq"), "company", F.col("l_extendedprice").alias("amount_cr"), instant("l_shipdate").alias("at"))
+    none = lambda kind: F.lit(None).cast(kind)
+    return r.select(
+        "seq", F.col("company").alias("title"), F.lit("").alias("url"), F.lit("x").alias("source"), "company", "amount_cr", none("string").alias("amount_raw"), F.array().cast("array<string>").alias("individuals"), none("string").alias("seller"),
+        F.lit("other").alias("deal_type"), F.lit("medium").alias("confidence"), F.lit("").alias("one_line"), F.lit("stated").alias("size_source"), none("string").alias("size_band"), F.lit(False).alias("confirmed"), "at",
+    )
+
+
+def _open_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("part "), F.col("s_name")).alias("company"), F.col("s_acctbal").alias("amount_cr"))
+    part = table(spark, sf_dir, "part").select((F.col("p_partkey") + 1_000_000).alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("company"), (F.col("p_retailprice") * 20).alias("amount_cr"))
+    return schemas.conform(o.unionByName(part).withColumn("created_at", at("1997-03-01") + F.make_dt_interval(F.col("id").cast("int") % 400)).withColumn("confirmed", F.lit(False)).withColumn("individuals", F.array().cast("array<string>")), schemas.STATE["deals"])
+
+
+@query(
+    """
+    WITH d AS (SELECT id, company, amount_cr, TIMESTAMP '1997-03-01' + to_days((id % 400)::INTEGER) AS created_at FROM (
+        SELECT s_suppkey AS id, 'part ' || s_name AS company, s_acctbal AS amount_cr FROM supplier
+        UNION ALL SELECT p_partkey + 1000000, p_name || ' ' || p_brand, p_retailprice * 20 FROM part)),
+    r AS (SELECT l_orderkey AS seq, p_name || ' ' || p_brand AS company, l_extendedprice AS amount_cr, l_shipdate AS seen FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1),
+    dt AS (SELECT *, list_filter(regexp_split_to_array(lower(company), '[^a-z0-9]+'), lambda w: length(w) > 1) AS t FROM d),
+    rt AS (SELECT *, list_filter(regexp_split_to_array(lower(company), '[^a-z0-9]+'), lambda w: length(w) > 1) AS t FROM r),
+    m AS (SELECT seq, dt.id, created_at FROM rt JOIN dt ON list_has_any(rt.t, dt.t) AND (
+        (epoch_us(seen) - epoch_us(created_at) BETWEEN 0 AND 72 * 3600000000 AND (list_has_all(rt.t, dt.t) OR list_has_all(dt.t, rt.t)))
+        OR (epoch_us(seen) - epoch_us(created_at) BETWEEN 0 AND 168 * 3600000000 AND rt.amount_cr > 0 AND dt.amount_cr > 0 AND abs(rt.amount_cr - dt.amount_cr) <= 0.05 * greatest(rt.amount_cr, dt.amount_cr))))
+    SELECT seq, arg_max(id, (created_at, id)) AS deal_id FROM m GROUP BY 1
+    """
+)
+def open_deal_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.open_matches(_reports(spark, sf_dir), _open_deals(spark, sf_dir))
+
+
+@query()
+def cluster_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event user's reports against no open deals: the ordered fold in components of shared tokens."""
+    e = table(spark, sf_dir, "events")
+    r = _reports(spark, sf_dir).limit(0)
+    named = e.select(F.col("event_id").alias("seq"), F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("company"), F.col("value").alias("amount_cr"), instant("ts").alias("at"))
+    full = schemas.conform(named.withColumn("confirmed", F.lit(False)).withColumn("individuals", F.array().cast("array<string>")), cluster.REPORT)
+    return cluster.cluster(r.unionByName(full), schemas.empty(spark, "deals")).select("seq", "deal_ref", "is_new", "fires", "note", "amount_cr")
+
+
+@query(
+    """
+    SELECT s_suppkey AS seq, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(s_name), '[^a-z0-9]+'), lambda w: length(w) > 1))), ' ') AS person_key FROM supplier
+    """
+)
+def person_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("seq"), F.col("s_name").alias("person_name"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("company_key"))
+    return cluster.resolve_people(s, schemas.empty(spark, "individual_sales")).select("seq", "person_key")
+
+
+# ---- joins to state
+
+
+@query(
+    """
+    WITH j AS (SELECT c.event_id, p.event_id AS purchase_id, row_number() OVER (PARTITION BY c.event_id ORDER BY p.ts DESC, p.event_id DESC) AS r
+      FROM events c JOIN events p ON c.user_id = p.user_id AND p.event_type = 'purchase' AND p.ts <= c.ts AND p.ts >= c.ts - INTERVAL 7 DAYS WHERE c.event_type = 'click')
+    SELECT event_id, purchase_id FROM j WHERE r = 1
+    """
+)
+def asof_ttl_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As-of join of a table with itself: one range window, no join."""
+    w = Window.partitionBy("user_id").orderBy(F.unix_micros(instant("ts"))).rangeBetween(-7 * 86_400_000_000, 0)
+    bought = F.max(F.when(F.col("event_type") == "purchase", F.struct("ts", "event_id"))).over(w)
+    return table(spark, sf_dir, "events").withColumn("p", bought).filter("event_type = 'click' AND p IS NOT NULL").select("event_id", F.col("p.event_id").alias("purchase_id"))
+
+
+@query(
+    """
+    WITH q AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY fetched_at DESC) AS r FROM (
+        SELECT 'T' || (o_custkey % 50) AS ticker, o_totalprice AS market_cap_cr, max(o_orderdate) OVER (PARTITION BY o_orderkey) AS fetched_at, o_orderkey FROM orders)
+      WHERE fetched_at >= TIMESTAMP '2001-07-15' - INTERVAL 7 DAYS),
+    c AS (SELECT c_custkey, 'T' || (c_custkey % 50) AS ticker FROM customer)
+    SELECT c_custkey, ticker, max(fetched_at) AS fetched_at FROM c LEFT JOIN (SELECT ticker, fetched_at FROM q WHERE r = 1) USING (ticker) GROUP BY ALL
+    """
+)
+def market_cap_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ticker = lambda c: F.concat(F.lit("T"), (F.col(c) % 50).cast("string"))
+    cache = table(spark, sf_dir, "orders").select(ticker("o_custkey").alias("ticker"), F.col("o_totalprice").alias("market_cap_cr"), instant("o_orderdate").alias("fetched_at"))
+    found = state.lookup_fresh(table(spark, sf_dir, "customer").select("c_custkey", ticker("c_custkey").alias("ticker")), cache, "ticker", at("2001-07-15"), 7)
+    return found.select("c_custkey", "ticker", F.col("fetched_at").cast("timestamp_ntz").alias("fetched_at"))
+
+
+@query(
+    """
+    WITH f AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS r FROM events)
+    SELECT event_type, count(*) AS first_surfaced FROM f WHERE r = 1 GROUP BY 1
+    """
+)
+def first_to_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    return dedup.first_of(e, ["user_id", "day"], F.col("ts"), F.col("event_id")).groupBy("event_type").agg(F.count("*").alias("first_surfaced"))
+
+
+@query(
+    """
+    WITH iq AS (SELECT DISTINCT 'u' || user_id AS item_id, event_type AS query FROM events),
+    m AS (SELECT event_id AS id, user_id % 40 AS deal_id, 'url' || user_id AS url, ts AS attached_at FROM events),
+    i AS (SELECT DISTINCT 'u' || user_id AS item_id, 'url' || user_id AS url FROM events),
+    t AS (SELECT *, row_number() OVER (PARTITION BY deal_id ORDER BY attached_at, id, item_id) AS r FROM m JOIN i USING (url)),
+    s AS (SELECT query, count(*) AS first_surfaced FROM t JOIN iq USING (item_id) WHERE r = 1 GROUP BY 1),
+    p AS (SELECT query, count(*) AS produced FROM iq GROUP BY 1)
+    SELECT query, coalesce(produced, 0) AS produced, coalesce(first_surfaced, 0) AS first_surfaced FROM p FULL JOIN s USING (query)
+    """
+)
+def query_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, now = table(spark, sf_dir, "events"), at("2024-02-01")
+    user = F.col("user_id").cast("string")
+    iq = e.select(F.concat(F.lit("u"), user).alias("item_id"), F.col("event_type").alias("query")).distinct().withColumn("created_at", now)
+    members = e.select(F.col("event_id").alias("id"), (F.col("user_id") % 40).alias("deal_id"), F.concat(F.lit("url"), user).alias("url"), instant("ts").alias("attached_at"))
+    items = e.select(F.concat(F.lit("u"), user).alias("id"), F.concat(F.lit("url"), user).alias("url")).distinct()
+    deals = e.select((F.col("user_id") % 40).alias("id")).distinct().withColumn("created_at", now)
+    return reports.query_stats(iq, members, items, deals, now)
+
+
+@query(
+    """
+    WITH k AS (SELECT p_name || p_brand || p_type AS name, max(p_partkey) AS id, count(*) AS n FROM part GROUP BY 1)
+    SELECT name, id FROM k WHERE n = 1
+    """
+)
+def unique_key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = table(spark, sf_dir, "part").groupBy(F.concat("p_name", "p_brand", "p_type").alias("name")).agg(F.max("p_partkey").alias("id"), F.count("*").alias("n"))
+    return k.filter("n = 1").select("name", "id")
+
+
+@query(
+    """
+    WITH n AS (SELECT * FROM (SELECT lower(c_name) AS name, any_value(c_custkey) AS k, count(*) AS c FROM customer GROUP BY 1) WHERE c = 1),
+    m AS (SELECT * FROM (SELECT lower(s_name) AS name, any_value(s_suppkey) AS k, count(*) AS c FROM supplier GROUP BY 1) WHERE c = 1),
+    x AS (SELECT c_custkey AS id, c_name AS company FROM customer UNION ALL SELECT -s_suppkey, s_name FROM supplier)
+    SELECT id, coalesce(n.k || '.NS', m.k || '.BO') AS ticker FROM x LEFT JOIN n ON n.name = lower(company) LEFT JOIN m ON m.name = lower(company)
+    """
+)
+def ticker_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    nse = sizing.ticker_map(c.select(F.col("c_custkey").cast("string").alias("symbol"), F.col("c_name").alias("name")), "symbol", ".NS")
+    bse = sizing.ticker_map(s.select(F.col("s_suppkey").cast("string").alias("code"), F.col("s_name").alias("name")), "code", ".BO")
+    asked = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("company")).unionByName(s.select((-F.col("s_suppkey")).alias("id"), F.col("s_name").alias("company")))
+    return sizing.resolve_tickers(asked, F.col("company"), nse, bse).select("id", "ticker")
+
+
+@query("SELECT d.doc_id, source FROM documents d ANTI JOIN labels l ON d.doc_id = l.doc_id")
+def seen_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "source").withColumns({"fetched_at": F.lit(0), "seq": F.col("doc_id")})
+    return dedup.unseen(d, table(spark, sf_dir, "labels").select("doc_id"), "doc_id").select("doc_id", "source")
+
+
+@query("SELECT * FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+def orphan_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").filter("lang = 'en'")
+    return state.delete_keys(table(spark, sf_dir, "labels"), d, ["doc_id"])
+
+
+# ---- state tables
+
+
+@query(
+    """
+    WITH old AS (SELECT user_id AS item_id, CASE WHEN bool_or(event_type = 'purchase') THEN 'stage2' ELSE 'stage1' END AS stage, count(*) AS attempts FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1),
+    new AS (SELECT user_id AS item_id, CASE WHEN bool_or(event_type = 'purchase') THEN 'stage2' ELSE 'stage1' END AS stage, count(*) AS attempts FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1)
+    SELECT CAST(coalesce(o.item_id, n.item_id) AS VARCHAR) AS item_id, CASE WHEN o.stage = 'stage2' OR n.stage = 'stage2' THEN 'stage2' ELSE 'stage1' END AS stage,
+           CAST(coalesce(o.attempts, 0) + coalesce(n.attempts, 0) AS INTEGER) AS attempts FROM old o FULL JOIN new n ON o.item_id = n.item_id
+    """
+)
+def upsert_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("item_id"), F.when(F.col("event_type") == "purchase", "stage2").otherwise("stage1").alias("stage"), instant("ts").alias("ts"))
+    border = at("2024-01-15")
+    first = state.enqueue_retries(schemas.empty(spark, "classify_retry"), e.filter(F.col("ts") < border), border)
+    return state.enqueue_retries(first, e.filter(F.col("ts") >= border), at("2024-02-01")).select("item_id", "stage", "attempts")
+
+
+@query(
+    """
+    WITH q AS (SELECT CAST(user_id AS VARCHAR) AS item_id, count(*) AS attempts, min(ts) AS first FROM events WHERE event_type = 'purchase' GROUP BY 1),
+    i AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS item_id FROM events WHERE event_type = 'click')
+    SELECT item_id, 'expired' AS fate FROM q JOIN i USING (item_id) WHERE attempts >= 6 OR first < TIMESTAMP '2024-01-04' - INTERVAL 24 HOURS
+    UNION ALL SELECT item_id, 'kept' FROM q JOIN i USING (item_id) WHERE NOT (attempts >= 6 OR first < TIMESTAMP '2024-01-04' - INTERVAL 24 HOURS)
+    """
+)
+def retry_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("item_id", F.col("user_id").cast("string"))
+    q = e.filter("event_type = 'purchase'").groupBy("item_id").agg(F.lit("stage1").alias("stage"), F.count("*").cast("int").alias("attempts"), F.min(instant("ts")).alias("first_failed_at"), F.max(instant("ts")).alias("last_attempt_at"))
+    expired, left = state.expire_retries(q, e.filter("event_type = 'click'").select(F.col("item_id").alias("id")).distinct(), at("2024-01-04"))
+    return expired.select("item_id", F.lit("expired").alias("fate")).unionByName(left.select("item_id", F.lit("kept").alias("fate")))
+
+
+@query("SELECT ticker, arg_max(v, (ts, event_id)) AS market_cap_cr FROM (SELECT 'T' || user_id AS ticker, value AS v, ts, event_id FROM events) GROUP BY 1")
+def replace_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("T"), F.col("user_id").cast("string")).alias("ticker"), F.col("value").alias("market_cap_cr"), F.struct(instant("ts").alias("t"), F.col("event_id")).alias("fetched_at"))
+    old, new = e.filter("fetched_at.t < '2024-01-10'"), e.filter("fetched_at.t >= '2024-01-10'")
+    return state.replace(old, new, ["ticker"], "fetched_at").drop("fetched_at")
+
+
+@query("SELECT user_id, event_type, min(ts) AS created_at FROM events GROUP BY ALL HAVING min(ts) >= TIMESTAMP '2024-01-31' - INTERVAL 29 DAYS")
+def insert_and_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", instant("ts").alias("created_at"))
+    early, late = e.filter("created_at < '2024-01-10'"), e.filter("created_at >= '2024-01-10'")
+    once = state.insert_absent(e.limit(0), early, ["user_id", "event_type"], F.col("created_at"))
+    kept = state.prune(state.insert_absent(once, late, ["user_id", "event_type"], F.col("created_at")), "created_at", at("2024-01-31"), 29)
+    return kept.withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+
+
+@query("SELECT * FROM (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place, count(*) OVER (PARTITION BY o_custkey) AS group_size FROM orders) WHERE place <= 3")
+def topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return reports.top_per_group(o, "o_custkey", 3, F.desc("o_totalprice"), F.col("o_orderkey")).drop("hidden")
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1")
+def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return dedup.first_of(o, ["o_custkey"], F.desc("o_orderdate"), F.desc("o_orderkey")).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+# ---- reports
+
+
+@query(
+    """
+    WITH r AS (SELECT CASE event_type WHEN 'click' THEN 'Rule 1' WHEN 'purchase' THEN 'Rule 8' ELSE 'Rule ?' END AS rule FROM events)
+    SELECT rule, count(*) AS n, CASE rule WHEN 'Rule 1' THEN 'pure debt' WHEN 'Rule 8' THEN 'under 250cr' ELSE 'unclassified' END AS label FROM r GROUP BY rule
+    """
+)
+def suppression_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = F.when(F.col("event_type") == "click", "Rule 1").when(F.col("event_type") == "purchase", "Rule 8").otherwise("Rule ?")
+    return reports.suppressed_by_rule(table(spark, sf_dir, "events").select(rule.alias("rule")))
+
+
+@query("SELECT event_id AS id, value AS amount_cr FROM events ORDER BY value DESC NULLS LAST, event_id LIMIT 1")
+def largest_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.largest_suppressed(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("value").alias("amount_cr")))
+
+
+@query(
+    """
+    SELECT count(*) AS runs, sum(n)::BIGINT AS fetched, sum(c)::BIGINT AS already_seen, sum(p)::BIGINT AS structural_dropped, 0::BIGINT AS title_deduped, 0::BIGINT AS bse_mcap_gated,
+           0::BIGINT AS pre_api_gated, 0::BIGINT AS reached_stage1, 0::BIGINT AS reached_stage2, sum(p)::BIGINT AS alerted
+    FROM (SELECT CAST(ts AS DATE) AS day, count(*) AS n, count_if(event_type = 'click') AS c, count_if(event_type = 'purchase') AS p FROM events GROUP BY 1)
+    """
+)
+def funnel_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = lambda k: F.count_if(F.col("event_type") == k)
+    days = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("fetched"), kind("click").alias("already_seen"), kind("purchase").alias("structural_dropped"), kind("purchase").alias("alerted"))
+    return reports.funnel_totals(schemas.conform(days, schemas.STATE["funnel_runs"]))
+
+
+@query(
+    """
+    SELECT coalesce(lang, 'unknown') AS value, 'lang' AS field, count(*) AS n FROM labels l LEFT JOIN documents d USING (doc_id) WHERE quality = 0 GROUP BY lang
+    UNION ALL SELECT coalesce(source, 'unknown'), 'source', count(*) FROM labels l LEFT JOIN documents d USING (doc_id) WHERE quality = 0 GROUP BY source
+    """
+)
+def feedback_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "labels").filter("quality = 0").join(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id", "left")
+    return reports.breakdowns(rows, ["lang", "source"])
+
+
+@query(
+    """
+    SELECT v.verdict, count(l.doc_id) AS n FROM (VALUES ('useful'), ('already_knew'), ('noise')) v(verdict)
+    LEFT JOIN labels l ON v.verdict = CASE WHEN quality = 1 THEN 'useful' ELSE 'noise' END GROUP BY 1
+    """
+)
+def verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.verdict_counts(spark, table(spark, sf_dir, "labels").select(F.when(F.col("quality") == 1, "useful").otherwise("noise").alias("verdict")))
+
+
+@query(
+    """
+    SELECT n_name AS query, coalesce(c, 0) AS produced, coalesce(s, 0) AS first_surfaced FROM nation
+    LEFT JOIN (SELECT c_nationkey AS k, count(*) AS c FROM customer GROUP BY 1) a ON a.k = n_nationkey LEFT JOIN (SELECT s_nationkey AS k, count(*) AS s FROM supplier GROUP BY 1) b ON b.k = n_nationkey
+    """
+)
+def stats_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation")
+    c = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("produced"))
+    s = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("first_surfaced"))
+    both = c.join(s, "n_nationkey", "full_outer")
+    return nation.join(both, "n_nationkey", "left").select(F.col("n_name").alias("query"), F.coalesce("produced", F.lit(0)).alias("produced"), F.coalesce("first_surfaced", F.lit(0)).alias("first_surfaced"))
+
+
+@query("SELECT o_custkey AS deal_id, c_name AS company, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL HAVING count(*) >= 2")
+def clusters_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("deal_id"), F.col("o_orderstatus").alias("title"), F.col("o_orderdate").alias("attached_at"))
+    deals = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("company"))
+    return reports.merged_clusters(deals, members).drop("titles")
+
+
+@query(
+    """
+    WITH s AS (SELECT event_type AS filter, CAST(event_id AS VARCHAR) AS title, ts FROM events UNION ALL SELECT 'title_dedup', 'o' || o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'F'),
+    r AS (SELECT *, row_number() OVER (PARTITION BY filter ORDER BY ts DESC, title) AS place, count(*) OVER (PARTITION BY filter) AS group_size FROM s)
+    SELECT filter, title, place, group_size FROM r WHERE place <= 50
+    """
+)
+def shadow_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("filter"), F.col("event_id").cast("string").alias("title"), F.lit("").alias("url"), F.lit("").alias("reason"), F.col("ts").alias("created_at"))
+    o = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("title"), F.lit("").alias("url"), F.lit("").alias("matched_title"), F.lit(1.0).alias("similarity"), F.col("o_orderdate").alias("created_at"))
+    return reports.top_per_group(reports.shadow_rows(e, o), "filter", 50, F.desc("created_at"), F.col("title")).select("filter", "title", "place", "group_size")
+
+
+@query("SELECT l_returnflag AS size_source, count(*) AS n FROM lineitem GROUP BY 1")
+def size_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.size_mix(table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("size_source")))
+
+
+# ---- text
+
+HEADLINE = "string_split(coalesce(text, ''), chr(10))[1]"
+TITLE = f"trim(regexp_replace(regexp_replace(lower(regexp_replace(trim({HEADLINE}), '\\s+-\\s+[^-]+$', '')), '[^\\pL\\pN_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+STOP = "('promoter','promoters','sells','sell','sold','sale','stake','shares','share','block','bulk','deal','crore','cr','rs','worth','per','cent','buy','buys','acquires','acquired','in','for','to','of','the','a','at','via','after','as','over','likely')"
+
+
+def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)).alias("title"))
+
+
+@query(f"SELECT doc_id, {TITLE} AS title_norm FROM documents")
+def normalise_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return headlines(spark, sf_dir).select("doc_id", text.normalise_title(F.col("title")).alias("title_norm"))
+
+
+@query(
+    f"""
+    WITH t AS (SELECT DISTINCT list_sort(list_distinct(list_filter(string_split({TITLE}, ' '), lambda w: w <> '' AND w NOT IN {STOP}))) AS t FROM documents),
+    p AS (SELECT a.t AS a, b.t AS b, len(list_intersect(a.t, b.t)) AS n FROM t a JOIN t b ON a.t < b.t AND len(a.t) > 0 AND len(b.t) > 0)
+    SELECT array_to_string(a, ' ') AS a, array_to_string(b, ' ') AS b, n / (len(a) + len(b) - n) AS similarity FROM p WHERE n / (len(a) + len(b) - n) > 0.85
+    """
+)
+def title_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = headlines(spark, sf_dir).select(text.title_tokens(text.normalise_title(F.col("title"))).alias("tokens"))
+    return dedup.similar_sets(t, 0.85).select(F.array_join("a", " ").alias("a"), F.array_join("b", " ").alias("b"), "similarity")
+
+
+@query(
+    f"""
+    WITH t AS (SELECT doc_id AS seq, {TITLE} AS n FROM documents),
+    e AS (SELECT seq, n, list_sort(list_distinct(list_filter(string_split(n, ' '), lambda w: w <> '' AND w NOT IN {STOP}))) AS t FROM t WHERE n <> ''),
+    u AS (SELECT t, min(seq) AS first FROM e WHERE len(t) > 0 GROUP BY 1),
+    x AS (SELECT a.t, min(b.first) AS first FROM u a JOIN u b ON len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) > 0.85 GROUP BY 1),
+    m AS (SELECT n, min(seq) AS first FROM e GROUP BY 1)
+    SELECT seq, coalesce(m.first < seq, false) OR coalesce(x.first < seq, false) AS is_duplicate FROM t LEFT JOIN e USING (seq) LEFT JOIN m ON m.n = e.n LEFT JOIN x ON x.t = e.t
+    """
+)
+def title_dedup_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dataclasses import replace
+
+    from tradesift.config import DEFAULT
+
+    batch = headlines(spark, sf_dir).select(F.col("doc_id").alias("seq"), "title", F.lit("press").alias("source"))
+    history = spark.createDataFrame([], "title_norm string")
+    return dedup.title_duplicates(batch, history, replace(DEFAULT, enforce=False)).select("seq", "is_duplicate")
+
+
+@query()
+def title_dedup_enforce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch = headlines(spark, sf_dir).select(F.col("doc_id").alias("seq"), "title", F.lit("press").alias("source"))
+    return dedup.title_duplicates(batch, spark.createDataFrame([], "title_norm string")).select("seq", "is_duplicate", "matched_title", "similarity")
+
+
+@query("SELECT o_orderkey, o_orderkey % 500 + 0.25::DOUBLE AS stated, o_orderkey % 500 < 250 AS fires FROM orders")
+def amount_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = F.concat(F.lit("Promoter sells stake for ₹"), F.format_number(F.col("o_orderkey") % 500 + 0.25, 2), F.lit(" crore in block deal"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.stated_max(title).alias("stated"), filters.amount_gate(title, F.lit("")).alias("fires"))
+
+
+@query(
+    """
+    SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderkey % 900 + 1 AS DOUBLE) WHEN o_orderkey % 4 = 1 THEN NULL WHEN o_orderkey % 4 = 2 THEN NULL ELSE (o_orderkey % 90 + 1) * 1e6 * 88 / 1e7 END AS gated,
+           CASE WHEN o_orderkey % 4 = 3 THEN (o_orderkey % 90 + 1) * 1e6 * 88 / 1e7 WHEN o_orderkey % 4 = 2 THEN NULL ELSE CAST(o_orderkey % 900 + 1 AS DOUBLE) END AS largest FROM orders
+    """
+)
+def proximity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deal figures count, revenue figures don't, share counts are no money, dollars convert."""
+    n, m = (F.col("o_orderkey") % 900 + 1).cast("string"), (F.col("o_orderkey") % 90 + 1).cast("string")
+    k = F.col("o_orderkey") % 4
+    said = (
+        F.when(k == 0, F.concat(F.lit("block deal of Rs "), n, F.lit(" crore")))
+        .when(k == 1, F.concat(F.lit("revenue of Rs "), n, F.lit(" crore")))
+        .when(k == 2, F.concat(F.lit("sale of "), n, F.lit(" crore Thyrocare shares")))
+        .otherwise(F.concat(F.lit("stake sold for $"), m, F.lit(" million")))
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.gated_amount(said).alias("gated"), text.stated_max(said).alias("largest"))
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount = 0 THEN NULL ELSE round(l_discount * 100, 2) END AS pct FROM lineitem"
+)
+def stake_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.concat(F.lit("promoter sells "), F.round(F.col("l_discount") * 100, 2).cast("string"), F.lit("% stake"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.stake_percent(said).alias("pct"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN x * 10.0 ELSE x END AS amount, o_orderkey % 3 = 0 AS fixed FROM (SELECT o_orderkey, CAST(o_orderkey % 500 + 1 AS DOUBLE) AS x FROM orders)")
+def reconcile_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = (F.col("o_orderkey") % 500 + 1).cast("double")
+    shown = F.when(F.col("o_orderkey") % 3 == 0, x * 10).otherwise(x).cast("long").cast("string")
+    fixed = text.reconcile(x, F.concat(F.lit("₹"), shown, F.lit(" crore")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", fixed["amount"].alias("amount"), fixed["fixed"].alias("fixed"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
+def date_multi_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey") % 3
+    raw = F.when(k == 0, F.date_format("o_orderdate", "dd-MMM-yyyy")).when(k == 1, F.date_format("o_orderdate", "d-M-yyyy")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(dates.parse_trade_date(raw), "yyyy-MM-dd").alias("day"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal = floor(c_acctbal) THEN format('Rs {:,.0f}cr', c_acctbal) ELSE format('Rs {:,.1f}cr', c_acctbal) END AS shown FROM customer")
+def money_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", format.amount(F.col("c_acctbal")).alias("shown"))
+
+
+@query(
+    """
+    SELECT c_custkey, '🟡 *' || replace(c_name, '_', '\\_') || '* · promoter sale · Rs 300cr' || chr(10) || chr(10) || '_' || c_mktsegment || '_' || chr(10) || chr(10) || '💰 ' || c_name || ' (selling)' || chr(10) || chr(10) || '[x](http://u)' AS text FROM customer
+    """
+)
+def alert_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    a = {"confidence": F.lit("medium"), "company": F.col("c_name"), "is_update": F.lit(False), "deal_type": F.lit("promoter sale"), "amount_cr": F.lit(300.0), "size_source": F.lit("stated"), "size_band": none,
+         "one_line": F.col("c_mktsegment"), "individuals": F.array().cast("array<string>"), "seller": F.col("c_name"), "source": F.lit("x"), "url": F.lit("http://u"), "note": none}
+    return table(spark, sf_dir, "customer").select("c_custkey", format.alert(a).alias("text"))
+
+
+@query("SELECT page_id, contains(lower(url), '/liveblog/') OR contains(lower(url), '/slideshow/') OR regexp_matches(lower(url), 'live updates\\s*:') AS noise FROM pages")
+def structural_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", filters.structural_noise(F.col("url"), F.col("url"), F.lit("")).alias("noise"))
+
+
+# ---- feeds
+
+
+@query(
+    """
+    WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS href FROM pages)
+    SELECT page_id, href, count(*) AS n FROM l GROUP BY ALL
+    """
+)
+def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.links(table(spark, sf_dir, "pages")).groupBy("page_id", "href").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS total FROM events GROUP BY 1")
+def json_extract_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(k).alias("total"))
+
+
+def _deal_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = table(spark, sf_dir, "lineitem")
+    raw = F.struct(
+        F.date_format("l_shipdate", "dd-MMM-yyyy").alias("date"), F.concat(F.lit("S"), F.col("l_partkey").cast("string")).alias("symbol"), F.lit("Sec").alias("name"), F.concat(F.lit("Client "), F.col("l_suppkey").cast("string")).alias("clientName"),
+        F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("buySell"), F.format_number(F.col("l_quantity") * 10000, 0).alias("qty"), F.format_number("l_extendedprice", 2).alias("watp"),
+    )
+    json = line.select(F.to_json(F.struct(F.array(raw).alias("BULK_DEALS_DATA"))).alias("j"))
+    return json.select(F.from_json("j", schemas.LARGE_DEALS).alias("d")).select("d.*")
+
+
+@query(
+    """
+    SELECT 'S' || l_partkey AS symbol, 'Client ' || l_suppkey AS client_name, count(*) AS n, sum(l_quantity * 10000) AS quantity FROM lineitem
+    WHERE l_returnflag = 'R' AND l_quantity * l_extendedprice > 0 GROUP BY ALL
+    """
+)
+def large_deal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = feeds.large_deals(_deal_json(spark, sf_dir)).filter(filters.is_sell(F.col("buy_sell"), F.col("value_cr")))
+    return rows.groupBy("symbol", "client_name").agg(F.count("*").alias("n"), F.sum("quantity").alias("quantity"))
+
+
+@query(
+    """
+    SELECT 'C' || o_custkey AS symbol, CAST(o_orderkey AS VARCHAR) AS person_name, round_even(o_totalprice / 1e7, 3) AS value_cr FROM orders
+    WHERE o_orderstatus = 'F' AND o_totalprice > 0 AND round_even(o_totalprice / 1e7, 3) > 0
+    """
+)
+def disclosure_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    raw = F.to_json(F.struct(F.lit("").alias("date"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("intimDt"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("SYMBOL"), F.col("o_orderkey").cast("string").alias("personName"), F.lit(" Promoter ").alias("category"), F.when(F.col("o_orderstatus") == "F", "Market Sale").otherwise("Buy").alias("acqMode"), F.col("o_totalprice").cast("decimal(20,2)").cast("string").alias("secValue")))
+    return sales.selected_disclosures(feeds.disclosures(o.select(raw.alias("value")))).select("symbol", "person_name", "value_cr")
+
+
+@query("SELECT 'http://x/' || event_id AS id, 'T ' || event_type AS title, 'Google News' AS source, event_type AS source_query FROM events")
+def rss_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    entry = F.concat(F.lit("<rss><item><title><![CDATA[T "), F.col("event_type"), F.lit("]]></title><link>http://x/"), F.col("event_id").cast("string"), F.lit("</link></item><item></item></rss>"))
+    kinds = ("click", "purchase", "view", "signup", "logout", "login", "error", "search", "refund")
+    parts = [feeds.rss(e.filter(F.col("event_type") == k).select(entry.alias("value")), "Google News", k) for k in kinds]
+    rest = feeds.rss(e.filter(~F.col("event_type").isin(*kinds)).select(entry.alias("value")), "Google News", "other")
+    return feeds.union_all([*parts, rest]).select("id", "title", "source", "source_query")
+
+
+@query("SELECT event_id AS update_id, CASE WHEN event_id % 3 < 2 THEN CAST(user_id AS VARCHAR) END AS deal_id, CASE event_id % 3 WHEN 0 THEN 'useful' WHEN 1 THEN 'noise' END AS verdict FROM events WHERE event_id > 10")
+def callback_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    word = F.when(F.col("event_id") % 3 == 0, "useful").when(F.col("event_id") % 3 == 1, "noise").otherwise("nonsense")
+    data = F.concat(F.lit("fb:"), F.col("user_id").cast("string"), F.lit(":"), word)
+    updates = e.select(F.col("event_id").alias("update_id"), F.struct(data.alias("data"), F.struct(F.struct(F.lit(1).cast("long").alias("id")).alias("chat")).alias("message")).alias("callback_query"))
+    return feeds.callbacks(updates, 10).withColumn("deal_id", F.col("deal_id").cast("string")).drop("chat_id")
+
+
+# ---- models
+
+
+@query(
+    """
+    SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 25 AS batch, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) % 25 AS INTEGER) AS place,
+           CASE o_orderkey % 4 WHEN 0 THEN 'suppress' ELSE 'pass' END AS route, CASE o_orderkey % 4 WHEN 0 THEN 'Rule 1' END AS rule FROM orders
+    """
+)
+def stage_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed batches through the stand-in model; answers come back to their places."""
+    title = F.when(F.col("o_orderkey") % 4 == 0, "Firm issues debentures").otherwise("Promoter sells stake")
+    items = table(spark, sf_dir, "orders").select("o_orderkey", title.alias("title"), F.lit("").alias("description")).withColumn("prompt", classify.prompt(F.col("title"), F.col("description")))
+    asked = classify.ask(items, classify.RuleClassifier().stage1, ["o_orderkey"])
+    return classify.route_stage1(asked.withColumn("verdict", classify.stage1_verdict(F.col("reply")))).select("o_orderkey", "batch", "place", "route", "rule")
+
+
+@query(
+    """
+    SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice / 100 WHEN o_orderkey % 3 = 1 THEN round_even(o_totalprice / 100 * 10 / 100, 1) END AS amount_cr,
+      CASE o_orderkey % 3 WHEN 0 THEN 'stated' WHEN 1 THEN 'computed' ELSE 'mcap_plausible' END AS size_source,
+      CASE WHEN o_orderkey % 3 = 2 AND o_totalprice / 100 < 350 THEN 'Rule 8' WHEN o_orderkey % 3 = 0 AND o_totalprice / 100 < 250 THEN 'Rule 8' WHEN o_orderkey % 3 = 1 AND round_even(o_totalprice / 100 * 10 / 100, 1) < 250 THEN 'Rule 8' END AS rule
+    FROM orders
+    """
+)
+def size_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, cap = F.col("o_orderkey") % 3, F.col("o_totalprice") / 100
+    said = F.when(k == 1, "sells 10% stake").otherwise("sells a stake")
+    deals = table(spark, sf_dir, "orders").select("o_orderkey", F.when(k == 0, cap).alias("amount_cr"), F.when(k != 0, sizing.computed_size(cap, said)).alias("size"), F.lit("UNKNOWN").alias("size_band"), F.lit("").alias("size_basis"))
+    return sizing.size_gates(deals).select("o_orderkey", "amount_cr", "size_source", "rule")
+
+
+# ---- streams
+
+
+@query("SELECT event_type AS id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS r FROM events) WHERE r = 1")
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tradesift.streaming import jobs
+
+    e = table(spark, sf_dir, "events")
+    source = spark.readStream.schema(e.schema).parquet(*[f"{sf_dir}/events.parquet*"]).select(F.col("event_type").alias("id"), "event_id", "ts")
+    out = jobs.scratch(spark, "stream-dedup")
+    jobs.dedup_stream(source, "id", ("ts", "event_id"), f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return spark.read.option("recursiveFileLookup", True).schema("id string, event_id long, ts timestamp_ntz").parquet(f"{out}/rows").select("id", "event_id")
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event-time windows as a stream in complete mode, equal to the batch aggregate."""
+    from tradesift.streaming import jobs
+
+    e = table(spark, sf_dir, "events")
+    source = spark.readStream.schema(e.schema).parquet(f"{sf_dir}/events.parquet*").withColumn("at", instant("ts"))
+    out = jobs.scratch(spark, "stream-windows")
+    counted = jobs.windowed_counts(source, "at", "1 hour", "1 day", "event_type", "value")
+    counted.writeStream.outputMode("complete").foreachBatch(lambda df, epoch: df.write.mode("overwrite").parquet(f"{out}/rows")).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))

@@ -18,6 +18,7 @@ an empty table writes no shard and returns no rows. Only doc_id and text are rea
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradesift.llm.bpe import read_ranks
+from tradesift.llm.bpe import pieces, read_ranks
 from tradesift.llm.common import materialise, scratch_path, text_of
 
 LENGTH, SHARD, KEY, ROUNDS = 256, 16_384, 0x5EED, 6
@@ -75,7 +76,7 @@ def write_shards(docs: DataFrame, path: str, pattern: str, out: str | None = Non
         from pyspark import TaskContext
 
         ids = tokenizer(given.value, pattern)
-        n = sum(len(ids.encode_ordinary(t.as_py())) // length + 1 for b in batches for t in b.column(0))
+        n = sum(len(ids.encode_ordinary(t)) // length + 1 for b in batches for t in b.column(0).to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64())], ["split", "n"])
 
     counts = {r["split"]: r["n"] for r in docs.select(text_of().alias("text")).mapInArrow(count, "split long, n long").collect()}
@@ -93,18 +94,25 @@ def write_shards(docs: DataFrame, path: str, pattern: str, out: str | None = Non
         number, expected = starts.value.get(TaskContext.get().partitionId(), (0, 0))
         last = number + expected
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                some = batch.slice(a, 500)
-                coded = [np.array([*ids.encode_ordinary(t.as_py()), end], wide) for t in some.column(1)]
+            texts = batch.column(1).to_pylist()
+            for a, b in pieces(texts):
+                coded = []
+                for t in texts[a:b]:
+                    own = array(wide.char, ids.encode_ordinary(t))
+                    own.append(end)
+                    coded.append(own)
                 sizes = np.array([-(-len(x) // length) for x in coded])
                 rows = np.repeat(np.arange(len(coded)), sizes)
                 seq = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                # Sequences lie one after the other, so one buffer with their borders is the whole column.
+                held = np.minimum(length, np.array([len(x) for x in coded])[rows] - seq * length)
+                borders = np.concatenate(([0], np.cumsum(held * wide.itemsize))).astype(np.int32)
                 slots = permuted(number + np.arange(len(rows)), total, key)
                 number += len(rows)
                 if number > last:
                     raise RuntimeError("an input split holds other rows than when it was counted")
-                payload = [x[k : k + length].tobytes() for x in coded for k in range(0, len(x), length)]
-                yield pa.RecordBatch.from_arrays([pa.array(slots), some.column(0).take(pa.array(rows)), pa.array(seq, pa.int64()), pa.array(payload, pa.binary())], ["slot", "doc_id", "seq", "ids"])
+                payload = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(borders), pa.py_buffer(b"".join(coded))])
+                yield pa.RecordBatch.from_arrays([pa.array(slots), batch.column(0).take(pa.array(a + rows)), pa.array(seq, pa.int64()), payload], ["slot", "doc_id", "seq", "ids"])
         if number != last:
             raise RuntimeError("an input split holds other rows than when it was counted")
 
@@ -127,12 +135,13 @@ def write_shards(docs: DataFrame, path: str, pattern: str, out: str | None = Non
             if not np.array_equal(slots, np.arange(expected, expected + len(slots))):
                 raise RuntimeError(f"slots of {name} are not in sequence")
             expected += len(slots)
-            n = []
-            for record in batch.column(3):
-                raw = record.as_py()
-                n.append(len(raw) // wide.itemsize)
-                file.write(raw + np.full(length - n[-1], end, wide).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(n, pa.int32()), pa.array(slots // shard), pa.array(slots % shard * stride)], ["slot", "doc_id", "seq", "n_tokens", "shard", "offset"])
+            ids = batch.column(3)
+            borders = np.frombuffer(ids.buffers()[1], np.int64 if pa.types.is_large_binary(ids.type) else np.int32)[ids.offset : ids.offset + len(ids) + 1]
+            n = np.diff(borders) // wide.itemsize
+            records = np.full((len(ids), length), end, wide)
+            records[np.arange(length) < n[:, None]] = np.frombuffer(ids.buffers()[2], np.uint8)[borders[0] : borders[-1]].view(wide)
+            file.write(records.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(n.astype(np.int32)), pa.array(slots // shard), pa.array(slots % shard * stride)], ["slot", "doc_id", "seq", "n_tokens", "shard", "offset"])
         if file is not None:
             file.close()
             store.move(temp, name)

@@ -1,8 +1,7 @@
 """The two jobs end to end: news and filings, and confirmed trades with split-up patterns.
 
 Each is a function of its input, the state store, the classifier, an explicit ``as_of`` and a config. State is committed
-at the end, after the sink took the alerts; a dry run commits nothing. Stage outputs that feed several later stages are
-persisted, so no model is asked twice."""
+at the end, after the sink took the alerts; a dry run commits nothing."""
 
 from __future__ import annotations
 
@@ -53,11 +52,7 @@ def run_news(
     spark, at, out = items.sparkSession, F.lit(as_of).cast("timestamp"), Outcome()
     no_map = spark.createDataFrame([], "name_key string, ticker string")
     nse, bse = nse if nse is not None else no_map, bse if bse is not None else no_map
-    kept: list[DataFrame] = []
-
-    def hold(df: DataFrame) -> DataFrame:
-        kept.append(df.persist())
-        return kept[-1]
+    hold = dedup.cut  # each stage is stored once: no model is asked twice, plans stay small, a lost executor costs little
 
     writes: dict[str, DataFrame] = {}
     known = hold(store.read("items"))
@@ -143,9 +138,6 @@ def run_news(
         writes["title_dedup_log"] = store.read("title_dedup_log").unionByName(writes["title_dedup_log"].select(*store.read("title_dedup_log").columns))
         for name, df in writes.items():
             store.write(name, df)
-    out.alerts = spark.createDataFrame(out.alerts.collect(), out.alerts.schema)  # the alerts of one run; outlives the caches
-    for df in kept:
-        df.unpersist()
     return out
 
 
@@ -202,29 +194,29 @@ def run_trades(
 ) -> dict[str, DataFrame]:
     """confirmed: alert texts of large single trades; patterns: of split-up sales. ``trades``: of schemas.TRADE,
     ``disclosures``: of schemas.DISCLOSURE. Trades are marked seen and recorded whatever their size."""
-    spark, at = trades.sparkSession, F.lit(as_of).cast("timestamp")
-    seen = store.read("items").persist()
+    at = F.lit(as_of).cast("timestamp")
+    hold, seen = dedup.cut, store.read("items")
     as_items = lambda df, id_: dedup.unseen(df.withColumn("id", id_).withColumn("fetched_at", at).withColumn("seq", F.xxhash64("id")), seen)
-    t, d = as_items(trades, sales.trade_id()).persist(), as_items(disclosures, sales.disclosure_id()).persist()
+    t, d = hold(as_items(trades, sales.trade_id())), hold(as_items(disclosures, sales.disclosure_id()))
     chosen = sales.selected_trades(t, model.sellers)
     rows = chosen.select("seq", F.col("client_name").alias("person_name"), F.col("security_name").alias("company"), "trade_date", "value_cr", "deal_type", "exchange", "quantity", "price").unionByName(
         sales.selected_disclosures(d).select("seq", "person_name", "company", "trade_date", "value_cr", F.lit("PIT disclosure").alias("deal_type"), F.lit("NSE").alias("exchange"), F.lit(None).cast("double").alias("quantity"), F.lit(None).cast("double").alias("price"))
     )
-    rows = rows.withColumn("company_key", names.deal_key(F.col("company"))).persist()
-    total = recorded_sales(store, rows.select("seq", "person_name", "company", "company_key", "trade_date", "value_cr"), "confirmed", at)
+    rows = hold(rows.withColumn("company_key", names.deal_key(F.col("company"))))
+    total = hold(recorded_sales(store, rows.select("seq", "person_name", "company", "company_key", "trade_date", "value_cr"), "confirmed", at))
     deals = store.read("deals")
     reports = rows.filter(F.col("value_cr") >= config.threshold).select(
         "seq", F.concat("company", F.lit(" "), "deal_type").alias("title"), F.lit("").alias("url"), F.col("exchange").alias("source"), "company", F.col("value_cr").alias("amount_cr"), F.lit(None).cast("string").alias("amount_raw"),
         F.array("person_name").alias("individuals"), F.col("person_name").alias("seller"), "deal_type", F.lit("high").alias("confidence"), F.lit("").alias("one_line"), F.lit("stated").alias("size_source"),
         F.lit(None).cast("string").alias("size_band"), F.lit(True).alias("confirmed"), at.alias("at"),
     )
-    decided = cluster.cluster(reports, deals, config).persist()
+    decided = hold(cluster.cluster(reports, deals, config))
     new_deals, members, _ = deal_changes(reports, decided, deals, at)
     fired = decided.filter("fires").select("seq", (~F.col("is_new")).alias("is_update")).join(rows, "seq")
     confirmed = fired.withColumn("text", format.confirmed_alert({"security_name": F.col("company"), "client_name": F.col("person_name")} | {c: F.col(c) for c in ("is_update", "deal_type", "value_cr", "quantity", "price", "trade_date", "exchange")})).select("seq", "company", "value_cr", "is_update", "text")
     found = sales.patterns(total, store.read("pattern_alerts"), at, config=config)
     pattern = found.withColumn("text", format.pattern_alert(F.col("person_name"), F.col("company"), F.col("total_cr"), F.col("sales"), F.col("weeks")))
-    out = {k: spark.createDataFrame(df.collect(), df.schema) for k, df in (("confirmed", confirmed), ("patterns", pattern))}  # alerts of one run
+    out = {"confirmed": hold(confirmed), "patterns": hold(pattern)}
     if not dry:
         sent = sink is None or sink(out["patterns"])
         writes = {
@@ -238,8 +230,6 @@ def run_trades(
             writes["pattern_alerts"] = store.read("pattern_alerts").unionByName(state.with_ids(store.read("pattern_alerts"), fresh, "person_key", "company_key").select("id", "person_key", "company_key", "total_cr", "alerted_at"))
         for name, df in writes.items():
             store.write(name, df)
-    for df in (seen, t, d, rows, decided):
-        df.unpersist()
     return out
 
 

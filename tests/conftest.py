@@ -16,7 +16,7 @@ def spark(tmp_path_factory):
     os.environ["PYSPARK_PYTHON"] = sys.executable
     s = (
         SparkSession.builder.master("local[4]")
-        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.shuffle.partitions", "2")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")

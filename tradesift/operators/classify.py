@@ -80,15 +80,26 @@ def ask(items: DataFrame, call: Callable[[list[str]], str], order: list[str], co
     dealt = in_batches(items, order, config.batch_size)
     schema = items.schema.simpleString()[len("struct<") : -1] + ",batch:bigint,place:int,reply:string,failed:boolean"
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("place")
+    def answer(rows: pd.DataFrame) -> pd.DataFrame:
         try:
             answers = parse_array(call(rows["prompt"].tolist()), len(rows))
             return rows.assign(reply=[json.dumps(a) for a in answers], failed=False)
         except Exception:
             return rows.assign(reply=None, failed=True)
 
-    return dealt.groupBy("batch").applyInPandas(run, schema)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Frames sorted by batch and place; a batch may run over two of them."""
+        held = None
+        for frame in frames:
+            held = frame if held is None or not len(held) else pd.concat([held, frame], ignore_index=True)
+            whole = held["batch"] != held["batch"].iloc[-1] if len(held) else []
+            for _, rows in held[whole].groupby("batch", sort=False) if len(held) else []:
+                yield answer(rows)
+            held = held[~whole] if len(held) else held
+        if held is not None and len(held):
+            yield answer(held)
+
+    return dealt.repartition("batch").sortWithinPartitions("batch", "place").mapInPandas(run, schema)
 
 
 def stage1_verdict(reply: Column) -> Column:

@@ -102,9 +102,8 @@ def bse_large_deals(spark: SparkSession) -> DataFrame:
 
 def disclosures(rows: DataFrame, column: str = "value") -> DataFrame:
     """Schemaless JSON objects, one per row: each field is the first non-empty of its candidate keys."""
-    v = F.try_parse_json(column)
-    field = lambda name: F.coalesce(*[_text(F.try_variant_get(v, f"$.{k}", "string")) for k in PIT_FIELDS[name]])
-    got = rows.select(*[field(f).alias(f) for f in PIT_FIELDS])
+    field = lambda name: F.coalesce(*[_text(F.try_element_at("v", F.lit(k))) for k in PIT_FIELDS[name]])
+    got = rows.select(F.from_json(column, "map<string,string>").alias("v")).select(*[field(f).alias(f) for f in PIT_FIELDS])
     kept = got.filter("symbol IS NOT NULL AND person_name IS NOT NULL")
     return kept.select("trade_date", "symbol", F.coalesce("company", "symbol").alias("company"), "person_name", F.lower("category").alias("category"), F.lower("trans_type").alias("trans_type"), F.bround(number(F.col("value")) / 1e7, 3).alias("value_cr"))
 

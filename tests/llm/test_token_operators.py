@@ -113,6 +113,16 @@ def test_checksummed_tokens():
     assert secret_scan.find("ghp_" + body + "000000", words) == []
 
 
+def test_hostile_headers():
+    """Runs full of header starts are read once; headers nested without end are no headers."""
+    words = secret_scan.automaton()
+    assert secret_scan.find("eyJ" * 200_000, words) == []
+    nested = base64.urlsafe_b64encode(b'{"a":' + b"[" * 100_000).decode().rstrip("=")
+    assert secret_scan.find(f"{nested}.abcd.abcdefghijkl", words) == []
+    head = base64.urlsafe_b64encode(b'{"alg":"HS256"}').decode().rstrip("=")
+    assert secret_scan.find(f"x {head}.abcd.abcdefghijkl", words) == [("jwt", 2, 2 + len(head) + 18)]
+
+
 def test_secret_query(docs, empty, spark):
     got = secret_scan.digest(secret_scan.scan(docs)).collect()
     assert len(got) == len(TEXTS) and all(r.base_sha256 == hashlib.sha256(r.spans.encode()).hexdigest() for r in got)
@@ -200,6 +210,18 @@ def test_urls(spark):
     assert {r.verdict for r in url_filter.filter_urls(df, []).collect()} == {"allow"}
 
 
+def test_long_hosts(tmp_path):
+    """A host of any number of labels costs no more than the longest rule."""
+    path = tmp_path / "i.bin"
+    path.write_bytes(url_filter.pack(url_filter.RULES))
+    index = url_filter.Index(str(path))
+    hosts = ["a." * 500_000 + "example.net", "example.com", "xexample.com", "yexample.net", "a.example.com", "com", "a.com"]
+    paths = ["/de/8", "/en/7", "/en/7", "/de/8", "/en/7", "/en/", "/en/"]
+    assert index.judge(hosts, paths) == [("example.net/de/8", "block"), ("example.com/en/7", "allow"), ("com/en/", "block"), ("net/de/", "allow"), ("example.com/en/7", "allow"), ("com/en/", "block"), ("com/en/", "block")]
+    path.write_bytes(url_filter.pack([]))
+    assert url_filter.Index(str(path)).judge(["a.com"], ["/"]) == [(None, "allow")]
+
+
 def test_url_collisions_are_confirmed(tmp_path):
     path = tmp_path / "i.bin"
     path.write_bytes(url_filter.pack(url_filter.RULES))

@@ -9,7 +9,7 @@ an ordered aggregation puts each text's bytes together.
 
 Defined cases: null text encodes as empty (no ids, the digest of nothing); empty text likewise; texts of any length go
 through in pieces of bounded size; repeated rows and ties give equal rows; an empty table gives an empty result. Only
-doc_id and text are read by ``encode``; ``with_ids`` keeps all columns and replaces those it adds if they exist.
+doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

@@ -37,7 +37,8 @@ ASSIGN = re.compile(rb"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]+")
 CHECKED = {"github": re.compile(rb"gh[pousr]_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])"), "npm": re.compile(rb"npm_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")}
-JWT = re.compile(rb"(eyJ[0-9A-Za-z_-]{5,})\.[0-9A-Za-z_-]{2,}\.[0-9A-Za-z_-]{10,}")
+#: Starts where a run does, so one run is read once however many headers it seems to hold.
+JWT = re.compile(rb"(?<![0-9A-Za-z_-])(eyJ[0-9A-Za-z_-]{5,}+)\.[0-9A-Za-z_-]{2,}\.[0-9A-Za-z_-]{10,}")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 12, 18, 16
 HEX_CLASS = bytes(ord("h") if c in b"0123456789abcdef" else 32 for c in range(256))
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -58,7 +59,7 @@ def checksum_holds(body: bytes, check: bytes) -> bool:
 def is_jwt_header(part: bytes) -> bool:
     try:
         found = json.loads(base64.urlsafe_b64decode(part + b"=" * (-len(part) % 4)))
-    except ValueError:
+    except (ValueError, RecursionError):  # not JSON, or nested without end
         return False
     return isinstance(found, dict) and "alg" in found
 

@@ -62,6 +62,7 @@ class Index:
             at += 8 * size
         self.keys, self.offsets, self.hosts, self.blocks, self.lengths = views
         self.strings = data[at:]
+        self.longest_host = int(self.hosts.max()) if n else 0
 
     def string(self, row: int) -> str:
         return self.strings[int(self.offsets[row]) : int(self.offsets[row + 1])].tobytes().decode()
@@ -76,7 +77,10 @@ class Index:
         for i, (host, path) in enumerate(zip(hosts, paths)):
             if not host:
                 continue
-            suffix = host
+            # No rule's host is longer than longest_host, so a host of any length has few suffixes to try.
+            suffix = host[-self.longest_host - 1 :] if len(host) > self.longest_host else host
+            if len(host) > self.longest_host:
+                suffix = suffix.partition(".")[2]
             while suffix:
                 for k in lengths:
                     if k > len(path):

@@ -59,7 +59,9 @@ def test_trades(spark, tmp_path):
     pit = spark.createDataFrame([("2026-06-20", "ACME", "Acme Steel", "Ravi Kumar", "promoter", "market sale", 10.0)], schemas.DISCLOSURE)
     dry = pipeline.run_trades(trades, pit, store, classify.RuleClassifier(), T0, dry=True)
     assert store.version("individual_sales") == 0
-    out = pipeline.run_trades(trades, pit, store, classify.RuleClassifier(), T0)
+    taken = []
+    out = pipeline.run_trades(trades, pit, store, classify.RuleClassifier(), T0, sink=lambda df: taken.append(df.count()) is None)
+    assert taken == [1, 1]
     assert dry["confirmed"].count() == out["confirmed"].count() == 1
     assert [(r.person_name, r.total_cr) for r in out["patterns"].collect()] == [("Asha Rao", 270.0)]
     assert store.read("individual_sales").count() == 4

@@ -21,11 +21,11 @@ def general(value: Column) -> Column:
     """Up to six significant digits without trailing zeros, for figures from 1e-4 to under 1e6; larger ones in exponent form."""
     digits = F.floor(F.log10(F.abs(value))) + 1
     places = F.greatest(F.lit(0), 6 - digits).cast("int")
-    fixed = F.regexp_replace(F.regexp_replace(F.format_number(value, 6), ",", ""), r"0+$", "")
-    rounded = F.format_string("%.6f", F.bround(value * F.pow(F.lit(10.0), places), 0) / F.pow(F.lit(10.0), places))
-    plain = F.regexp_replace(F.regexp_replace(rounded, r"0+$", ""), r"\.$", "")
+    # format_number rounds the exact binary value half to even, as C's printf does; scaling first would round twice.
+    fixed = F.replace(F.call_function("format_number", value, places), F.lit(","), F.lit(""))
+    plain = F.regexp_replace(F.regexp_replace(fixed, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
     exponent = F.regexp_replace(F.regexp_replace(F.format_string("%.5e", value), r"0+e", "e"), r"\.e", "e")
-    return F.when(value == 0, "0").when(F.abs(value) >= 999999.5, exponent).when(F.abs(value) < 1e-4, exponent).otherwise(F.coalesce(plain, fixed))
+    return F.when(value == 0, "0").when(F.abs(value) >= 999999.5, exponent).when(F.abs(value) < 1e-4, exponent).otherwise(plain)
 
 
 def size_shown(value: Column, source: Column, band: Column) -> Column:

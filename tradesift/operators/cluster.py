@@ -21,11 +21,17 @@ DECISION = (
 )
 
 
-def token_pairs(a: DataFrame, b: DataFrame, key_a: str, key_b: str) -> DataFrame:
-    """Distinct pairs of keys that share a name token. ``a`` and ``b`` have tokens."""
-    x = a.select(F.col(key_a).alias("x"), F.explode("tokens").alias("token"))
-    y = b.select(F.col(key_b).alias("y"), F.explode("tokens").alias("token"))
-    return x.join(y, "token").select("x", "y").distinct()
+def subset_pairs(named: DataFrame, key: str) -> DataFrame:
+    """small, large: different keys of ``named`` (with tokens) of which the first's tokens are all in the second's. The
+    rarest token of the smaller set stands for it, so a token that most names have pairs nothing up; equal sets come
+    both ways."""
+    tokens = named.select(key, F.explode("tokens").alias("token"))
+    frequency = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    rare = tokens.join(frequency, "token").groupBy(key).agg(F.min_by("token", F.struct("df", "token")).alias("token"))
+    small = rare.join(named.select(key, "tokens"), key).select(F.col(key).alias("small"), "token", F.col("tokens").alias("less"))
+    large = tokens.join(named.select(key, "tokens"), key).select(F.col(key).alias("large"), "token", F.col("tokens").alias("more"))
+    both = small.join(large, "token").filter((F.col("small") != F.col("large")) & (F.size(F.array_except("less", "more")) == 0))
+    return both.select("small", "large")
 
 
 def open_matches(reports: DataFrame, deals: DataFrame, config: Config = DEFAULT) -> DataFrame:

@@ -103,20 +103,17 @@ TOKENS = """
 
 
 @query(
-    f"""
-    WITH p AS {TOKENS}
-    SELECT a.p_name AS a, b.p_name AS b, a.n * b.n AS pairs FROM p a JOIN p b ON a.p_name < b.p_name
-    WHERE len(a.t) > 0 AND len(b.t) > 0 AND (list_has_all(a.t, b.t) OR list_has_all(b.t, a.t))
+    """
+    WITH n AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT DISTINCT p_name || ' ' || p_brand FROM part),
+    p AS (SELECT name, list_distinct(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda w: length(w) > 1)) AS t FROM n)
+    SELECT a.name AS small, b.name AS large FROM p a JOIN p b ON a.name <> b.name WHERE len(a.t) > 0 AND list_has_all(b.t, a.t)
     """
 )
 def name_subset_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Different names only; the copies of each are counted, not joined."""
-    p = table(spark, sf_dir, "part").groupBy("p_name").agg(F.count("*").alias("n")).withColumn("tokens", names.company_tokens(F.col("p_name")))
-    pairs = cluster.token_pairs(p, p, "p_name", "p_name").filter("x < y")
-    a = p.select(F.col("p_name").alias("x"), F.col("n").alias("n_a"), F.col("tokens").alias("ta"))
-    b = p.select(F.col("p_name").alias("y"), F.col("n").alias("n_b"), F.col("tokens").alias("tb"))
-    both = pairs.join(a, "x").join(b, "y").filter(names.subset_match(F.col("ta"), F.col("tb")))
-    return both.select(F.col("x").alias("a"), F.col("y").alias("b"), (F.col("n_a") * F.col("n_b")).alias("pairs"))
+    """Different names, alone and with their brand, of which one contains the other."""
+    part = table(spark, sf_dir, "part")
+    named = part.select(F.col("p_name").alias("name")).unionByName(part.select(F.concat_ws(" ", "p_name", "p_brand").alias("name"))).distinct()
+    return cluster.subset_pairs(named.withColumn("tokens", names.company_tokens(F.col("name"))), "name")
 
 
 @query(
@@ -746,3 +743,300 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = jobs.windowed_counts(source, "at", "1 hour", "1 day", "event_type", "value")
     counted.writeStream.outputMode("complete").foreachBatch(lambda df, epoch: df.write.mode("overwrite").parquet(f"{out}/rows")).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{out}/rows").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+# ---- more feeds
+
+
+@query(
+    """
+    SELECT 'BSE:N' || o_orderkey AS id, 'Co' || o_custkey || ': ' || CASE WHEN o_orderkey % 2 = 0 THEN 'Head ' || o_orderkey ELSE CASE o_orderkey % 5 WHEN 2 THEN 'Sale of shares' ELSE 'News' END END AS title,
+           CASE WHEN o_orderkey % 3 = 0 THEN 'https://www.bseindia.com/xml-data/corpfiling/AttachLive/f.pdf' ELSE '' END AS url
+    FROM orders WHERE o_orderkey % 5 IN (0, 2, 4)
+    """
+)
+def bse_filing_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subcategories: a keyword to drop wins over one to keep; an empty subcategory is judged by the subject."""
+    k = F.col("o_orderkey")
+    category = F.element_at(F.array(*map(F.lit, ("Acquisition", "Board Meeting - Acquisition", "", "General", "Pledge"))), (k % 5 + 1).cast("int"))
+    row = F.struct(
+        category.alias("SUBCATNAME"), F.when(k % 5 == 2, "Sale of shares").otherwise("News").alias("NEWSSUB"), F.when(k % 2 == 0, F.concat(F.lit("Head "), k.cast("string"))).otherwise(" ").alias("HEADLINE"),
+        F.concat(F.lit("Co"), F.col("o_custkey").cast("string")).alias("SLONGNAME"), F.lit("1").alias("SCRIP_CD"), F.concat(F.lit("N"), k.cast("string")).alias("NEWSID"), F.lit("").alias("NEWS_DT"), F.when(k % 3 == 0, "f.pdf").otherwise("").alias("ATTACHMENTNAME"),
+    )
+    json = table(spark, sf_dir, "orders").select(F.to_json(F.struct(F.array(row).alias("Table"))).alias("j")).select(F.from_json("j", schemas.FILING).alias("d")).select("d.*")
+    return feeds.bse_filings(json).select("id", "title", "url")
+
+
+@query(
+    """
+    WITH a AS (SELECT 'S' || o_custkey AS symbol, repeat('long subject ', (o_orderkey % 30)::INTEGER) || o_orderkey AS subject, strftime(o_orderdate, '%d-%m-%Y') AS w FROM orders)
+    SELECT substr('NSE:' || symbol || ':' || w || ':' || subject, 1, 200) AS id, symbol || ': ' || subject AS title FROM a
+    """
+)
+def nse_announcement_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    subject = F.concat(F.repeat(F.lit("long subject "), (k % 30).cast("int")), k.cast("string"))
+    json = table(spark, sf_dir, "orders").select(F.to_json(F.struct(F.concat(F.lit("S"), F.col("o_custkey").cast("string")).alias("symbol"), F.lit(" ").alias("subject"), subject.alias("desc"), F.date_format("o_orderdate", "dd-MM-yyyy").alias("dt"))).alias("j"))
+    return feeds.nse_announcements(json.select(F.from_json("j", schemas.ANNOUNCEMENT).alias("d")).select("d.*")).select("id", "title")
+
+
+@query(
+    """
+    SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'https://www.sebi.gov.in/filings/' || o_orderkey ELSE 'http://x/drhp/' || o_orderkey END AS url,
+           CASE WHEN o_orderkey % 2 = 0 THEN 'Draft offer ' || o_orderkey ELSE 'Paper ' || o_orderkey END AS title FROM orders
+    """
+)
+def sebi_listing_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of three links a page: one of a keyword in its text or target, one without, one without text."""
+    k = F.col("o_orderkey").cast("string")
+    link = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("<a class='x' href='/filings/"), k, F.lit("'>Draft <b>offer</b>\n "), k, F.lit("</a>"))).otherwise(F.concat(F.lit('<a href="http://x/drhp/'), k, F.lit('">Paper '), k, F.lit("</a>")))
+    page = F.concat(F.lit("<p>"), link, F.lit('<a href="/about">About</a> <a href="/drhp/none"> </a></p>'))
+    return feeds.sebi_listing(table(spark, sf_dir, "orders").select(page.alias("html"))).select("url", "title")
+
+
+# ---- more state and joins
+
+
+def _queue(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A retry queue of event users and the items of those who bought."""
+    e = table(spark, sf_dir, "events").withColumn("item_id", F.col("user_id").cast("string"))
+    queue = e.groupBy("item_id").agg(F.when(F.max("event_id") % 2 == 0, "stage2").otherwise("stage1").alias("stage"), F.lit(1).alias("attempts"), F.min(instant("ts")).alias("first_failed_at"))
+    return queue, e.filter("event_type = 'purchase'").groupBy(F.col("item_id").alias("id")).agg(F.max("value").alias("value"))
+
+
+@query(
+    """
+    WITH q AS (SELECT CAST(user_id AS VARCHAR) AS item_id, max(event_id) AS m FROM events GROUP BY 1), i AS (SELECT CAST(user_id AS VARCHAR) AS item_id, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1)
+    SELECT item_id, value FROM q JOIN i USING (item_id) WHERE m % 2 = 0
+    """
+)
+def pending_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queue, items = _queue(spark, sf_dir)
+    return state.pending_retries(queue, items, "stage2").select("item_id", "value")
+
+
+@query(
+    """
+    SELECT event_id AS id, user_id AS deal_id, event_type AS verdict, c_name AS company FROM events LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON c_custkey = user_id
+    WHERE ts >= TIMESTAMP '2024-01-30' - INTERVAL 14 DAYS
+    """
+)
+def feedback_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feedback of the last two weeks with its deals, deals that are gone included."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("deal_id"), F.col("event_type").alias("verdict"), instant("ts").alias("created_at"))
+    deals = schemas.conform(table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("company")), schemas.STATE["deals"])
+    return reports.feedback_rows(e, deals, at("2024-01-30")).select("id", "deal_id", "verdict", "company")
+
+
+@query(
+    """
+    SELECT CASE o_custkey % 4 WHEN 0 THEN 'Ravi Kumar ' WHEN 2 THEN 'Acme Family Holdings Ltd ' END || o_custkey AS client_name, CASE o_custkey % 4 WHEN 0 THEN 'individual' ELSE 'ambiguous' END AS seller_class,
+           CASE o_custkey % 4 WHEN 0 THEN 'unclear' ELSE 'promoter' END AS seller_verdict, count(*) AS n
+    FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 4 IN (0, 2) GROUP BY ALL
+    """
+)
+def seller_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales by individuals and promoter vehicles: institutions go by keyword or, where the name is ambiguous, by the model."""
+    kind = F.element_at(F.array(*map(F.lit, ("Ravi Kumar ", "SBI Mutual Fund ", "Acme Family Holdings Ltd ", "Global Equity "))), (F.col("o_custkey") % 4 + 1).cast("int"))
+    trades = table(spark, sf_dir, "orders").select(F.concat(kind, F.col("o_custkey").cast("string")).alias("client_name"), F.when(F.col("o_orderstatus") == "F", "SELL").otherwise("BUY").alias("buy_sell"), F.col("o_totalprice").alias("value_cr"))
+    return sales.selected_trades(trades).groupBy("client_name", "seller_class", "seller_verdict").agg(F.count("*").alias("n"))
+
+
+@query(
+    """
+    WITH d AS (SELECT o_custkey AS id, max(o_totalprice) AS a FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1)
+    SELECT c_custkey AS id, CASE WHEN d.a > 300000 THEN d.a ELSE c_acctbal END AS amount_cr, c_name AS seller, d.id IS NOT NULL AS touched FROM customer LEFT JOIN d ON d.id = c_custkey
+    """
+)
+def partial_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that the delta leaves null stay; rows it has are touched."""
+    old = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("amount_cr"), F.col("c_name").alias("seller"), at("2024-01-01").alias("updated_at"))
+    largest = table(spark, sf_dir, "orders").filter("o_custkey % 3 = 0").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_totalprice").alias("a"))
+    delta = largest.select("id", F.when(F.col("a") > 300000, F.col("a")).alias("amount_cr"), F.lit(None).cast("string").alias("seller"))
+    new = state.update_columns(old, delta, "id", ["amount_cr", "seller"], at("2024-02-01"))
+    return new.select("id", "amount_cr", "seller", (F.col("updated_at") == at("2024-02-01")).alias("touched"))
+
+
+@query(
+    """
+    WITH m AS (SELECT max(c_custkey) AS top FROM customer)
+    SELECT s_name AS company, top + row_number() OVER (ORDER BY s_suppkey) AS id FROM supplier, m
+    """
+)
+def new_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of new deals follow the state's, densely and in order."""
+    deals = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    return state.with_ids(deals, table(spark, sf_dir, "supplier").select(F.col("s_name").alias("company"), "s_suppkey"), "s_suppkey").select("company", F.col("id").cast("long").alias("id"))
+
+
+@query(
+    """
+    WITH t AS (SELECT DISTINCT 'NSE:block deal:' || strftime(l_shipdate, '%Y-%m-%d') || ':S' || l_partkey || ':C' || l_suppkey || ':SELL:' || l_quantity AS id, l_orderkey FROM lineitem),
+    s AS (SELECT id FROM t WHERE l_orderkey % 2 = 0)
+    SELECT DISTINCT id FROM t WHERE id NOT IN (SELECT id FROM s)
+    """
+)
+def trade_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades by their compound id, once each, that the state has not seen."""
+    t = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", F.lit("NSE").alias("exchange"), F.lit("block deal").alias("deal_type"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("trade_date"), F.concat(F.lit("S"), F.col("l_partkey").cast("string")).alias("symbol"),
+        F.concat(F.lit("C"), F.col("l_suppkey").cast("string")).alias("client_name"), F.lit("SELL").alias("buy_sell"), F.col("l_quantity").alias("quantity"),
+    ).withColumn("id", sales.trade_id()).withColumns({"fetched_at": F.lit(0), "seq": F.col("l_orderkey")})
+    return dedup.unseen(t, t.filter("l_orderkey % 2 = 0").select("id")).select("id")
+
+
+@query(
+    """
+    WITH r AS (SELECT o_custkey, min(o_orderkey) AS seq, arg_min(o_totalprice, o_orderkey) / 10 AS a FROM orders GROUP BY 1),
+    f AS (SELECT seq, c_custkey, c_acctbal AS b, a, (b = 0 OR (b > 0 AND abs(a - b) / b > 0.2)) AS fires FROM r JOIN customer ON c_custkey = o_custkey)
+    SELECT seq, 'd' || c_custkey AS deal_ref, false AS is_new, fires, CASE WHEN NOT fires THEN '' WHEN b = 0 THEN 'amount added' ELSE 'amount revised ' || printf('%g', b) || '→' || printf('%g', a) || ' cr' END AS note,
+           CASE WHEN fires THEN a ELSE b END AS amount_cr FROM f
+    """
+)
+def deal_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One repeat report for each open deal: it fires if the amount is new or moves by more than a fifth."""
+    name = lambda c: F.concat(F.lit("acme"), F.col(c).cast("string"))
+    deals = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), name("c_custkey").alias("company"), F.col("c_acctbal").alias("amount_cr"), at("2024-01-01").alias("created_at"), F.lit(False).alias("confirmed"), F.array().cast("array<string>").alias("individuals"))
+    first = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min(F.struct("o_orderkey", "o_totalprice")).alias("o"))
+    seen = first.select(F.col("o.o_orderkey").alias("seq"), name("o_custkey").alias("company"), (F.col("o.o_totalprice") / 10).alias("amount_cr"), at("2024-01-01 05:00:00").alias("at"), F.lit(False).alias("confirmed"), F.array().cast("array<string>").alias("individuals"))
+    found = cluster.cluster(schemas.conform(seen, cluster.REPORT), schemas.conform(deals, schemas.STATE["deals"]))
+    return found.select("seq", "deal_ref", "is_new", "fires", "note", "amount_cr")
+
+
+# ---- more gates, models and reports
+
+
+@query(
+    """
+    WITH c AS (SELECT c_name, c_custkey, lower(c_name) AS k, c_acctbal * 0.5 AS cap FROM customer)
+    SELECT c_custkey, round_even(cap, 1) AS market_cap_cr, c_custkey % 2 = 0 AND round_even(cap, 1) < 1000 AS small FROM c
+    """
+)
+def filing_mcap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filings of companies known to be small: name before the colon, ticker, quoted cap, gate."""
+    c = table(spark, sf_dir, "customer").withColumn("source", F.when(F.col("c_custkey") % 2 == 0, "BSE").otherwise("NSE")).withColumn("title", F.concat("c_name", F.lit(": sale of stake")))
+    master = sizing.ticker_map(c.select(F.col("c_custkey").cast("string").alias("code"), F.col("c_name").alias("name")), "code", ".BO")
+    none = spark.createDataFrame([], "name_key string, ticker string")
+    quotes = c.select(F.concat(F.col("c_custkey").cast("string"), F.lit(".BO")).alias("ticker"), (F.col("c_acctbal") * 0.5).alias("market_cap_cr"))
+    capped = sizing.market_caps(sizing.resolve_tickers(c, F.split_part("title", F.lit(":"), F.lit(1)), none, master), schemas.empty(spark, "market_caps"), at("2024-01-01"), quotes)
+    return capped.select("c_custkey", "market_cap_cr", filters.filing_mcap_gate(F.col("source"), F.col("market_cap_cr")).alias("small"))
+
+
+@query(
+    """
+    SELECT 'structural' AS filter, 'T' || event_id AS title, 'reason ' || event_type AS reason FROM events WHERE event_type = 'click'
+    """
+)
+def shadow_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a gate in shadow mode logs; everything goes on."""
+    from dataclasses import replace
+
+    from tradesift.config import DEFAULT
+
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("T"), F.col("event_id").cast("string")).alias("title"), F.lit("").alias("url"), "event_type", (F.col("event_type") == "click").alias("fires"))
+    _, log = filters.apply_gate(e, "fires", "structural", F.concat(F.lit("reason "), F.col("event_type")), at("2024-01-01"), replace(DEFAULT, enforce=False))
+    return log.select("filter", "title", "reason")
+
+
+@query(
+    """
+    SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'retry' WHEN 1 THEN 'suppress' ELSE 'pass' END AS route, CASE o_orderkey % 4 WHEN 1 THEN 'Rule P' END AS rule,
+           CASE WHEN o_orderkey % 4 = 2 THEN 'block deal' ELSE 'unknown' END AS deal_type, 'medium' AS confidence, 'UNKNOWN' AS size_band, 'no information' AS size_basis,
+           CASE o_orderkey % 4 WHEN 2 THEN CAST(o_orderkey % 500 + 1 AS DOUBLE) * 10 WHEN 3 THEN CAST(o_orderkey % 500 + 1 AS DOUBLE) END AS amount_cr FROM orders
+    """
+)
+def stage2_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second-stage answers: defaults for what is missing, a tenfold slip repaired from the quoted figure, failures apart."""
+    k = F.col("o_orderkey")
+    n = (k % 500 + 1).cast("double")
+    quoted = F.concat(F.lit("₹"), (n * 10).cast("long").cast("string"), F.lit(" crore"))
+    reply = (
+        F.when(k % 4 == 1, F.to_json(F.struct(F.lit(False).alias("qualify"))))
+        .when(k % 4 == 2, F.to_json(F.struct(F.lit(True).alias("qualify"), F.lit("block deal").alias("deal_type"), n.alias("amount_cr"), quoted.alias("amount_raw"), F.lit("").alias("confidence"))))
+        .when(k % 4 == 3, F.to_json(F.struct(F.lit(True).alias("qualify"), F.lit("").alias("deal_type"), n.alias("amount_cr"))))
+    )
+    asked = table(spark, sf_dir, "orders").select("o_orderkey", reply.alias("reply"), (k % 4 == 0).alias("failed"))
+    routed = classify.route_stage2(asked.withColumn("result", classify.stage2_result(F.col("reply"))))
+    return routed.select("o_orderkey", "route", "rule", *[f"result.{c}" for c in ("deal_type", "confidence", "size_band", "size_basis", "amount_cr")])
+
+
+@query(
+    """
+    SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN 'Rule S' END AS rule, CASE WHEN o_orderkey % 3 = 1 THEN 'band' ELSE 'unknown' END AS size_source FROM orders
+    """
+)
+def band_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A guess of a small size counts only if it has a basis."""
+    k = F.col("o_orderkey")
+    band = F.when(k % 3 == 0, "UNDER_100").when(k % 3 == 1, "100_TO_500").otherwise("UNKNOWN")
+    none = F.lit(None).cast("struct<computed_cr:double,mcap_cr:double>")
+    deals = table(spark, sf_dir, "orders").select("o_orderkey", F.lit(None).cast("double").alias("amount_cr"), none.alias("size"), band.alias("size_band"), F.when(k % 2 == 0, "headline").otherwise(" No information ").alias("size_basis"))
+    return sizing.size_gates(deals).select("o_orderkey", "rule", "size_source")
+
+
+@query("SELECT o_orderkey, printf('%g', o_totalprice / (o_orderkey % 7 + 1)) AS shown FROM orders")
+def general_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", format.general(F.col("o_totalprice") / (F.col("o_orderkey") % 7 + 1)).alias("shown"))
+
+
+@query(
+    """
+    SELECT l_orderkey, l_linenumber, '🟢 CONFIRMED' || CASE WHEN l_linenumber > 1 THEN ' UPDATE' ELSE '' END || ' · *Acme Steel* · block deal · ' || format('Rs {:,.0f}cr', l_linenumber * 250.0) || chr(10) || chr(10) || 'Client\_' || l_suppkey || ' sold '
+           || format('{:,.0f}', l_quantity) || ' shares at Rs ' || printf('%g', l_linenumber * 2.5) || chr(10) || chr(10) || 'Settles T+1 · trade date ' || strftime(l_shipdate, '%Y-%m-%d') || chr(10) || 'NSE daily deal file' AS text FROM lineitem
+    """
+)
+def confirmed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("l_linenumber")
+    row = {"is_update": n > 1, "security_name": F.lit("Acme Steel"), "deal_type": F.lit(""), "value_cr": n * 250.0, "client_name": F.concat(F.lit("Client_"), F.col("l_suppkey").cast("string")), "quantity": F.col("l_quantity"), "price": n * 2.5,
+           "trade_date": F.date_format("l_shipdate", "yyyy-MM-dd"), "exchange": F.lit("NSE")}
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", format.confirmed_alert(row).alias("text"))
+
+
+@query(
+    """
+    WITH o AS (SELECT o_custkey % 100 AS person, list(struct_pack(d := strftime(o_orderdate, '%Y-%m-%d'), v := floor(o_totalprice)) ORDER BY o_orderdate, o_orderkey) AS s, sum(floor(o_totalprice)) AS total,
+                      greatest(1, round_even(date_diff('day', min(o_orderdate)::DATE, max(o_orderdate)::DATE) / 7, 0)::INTEGER) AS weeks FROM orders GROUP BY 1)
+    SELECT person, '🟣 PATTERN · *P\_' || person || '* · Acme · ' || format('Rs {:,.0f}cr', total) || ' over ' || len(s) || ' sales' || chr(10) || chr(10)
+      || CASE WHEN len(s) > 20 THEN '… ' || (len(s) - 20) || ' earlier sales totalling ' || format('Rs {:,.0f}cr', list_sum(list_transform(s[:len(s) - 20], lambda x: x.v))) || ' …' || chr(10) ELSE '' END
+      || array_to_string(list_transform(s[greatest(len(s) - 19, 1):], lambda x: x.d || '  ' || format('Rs {:,.0f}cr', x.v)), chr(10)) || chr(10) || chr(10) || weeks || ' weeks · no single sale crossed the threshold' AS text FROM o
+    """
+)
+def pattern_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last twenty sales are listed, earlier ones summed."""
+    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("person"), F.struct("o_orderdate", "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("trade_date"), F.floor("o_totalprice").cast("double").alias("value_cr")).alias("s"))
+    g = o.groupBy("person").agg(F.array_sort(F.collect_list("s")).alias("s"), F.sum("s.value_cr").alias("total"))
+    weeks = dates.span_weeks(F.transform("s", lambda x: dates.parse_trade_date(x["trade_date"])))
+    return g.select("person", format.pattern_alert(F.concat(F.lit("P_"), F.col("person").cast("string")), F.lit("Acme"), F.col("total"), F.col("s"), weeks).alias("text"))
+
+
+@query(
+    """
+    WITH s AS (SELECT event_id AS id, 'T' || event_id AS title, CASE event_type WHEN 'click' THEN 'pure debt' WHEN 'purchase' THEN 'under 250cr' ELSE 'other' END AS label, value FROM events WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 24 HOURS)
+    SELECT 'suppressed' AS section, label AS name, count(*) AS n, NULL::DOUBLE AS amount FROM s GROUP BY label
+    UNION ALL SELECT 'largest', arg_max(title, (value, -id)), 1, max(value) FROM s
+    UNION ALL SELECT 'confirmed', 'deals', count(*), NULL FROM customer WHERE c_custkey % 3 = 0
+    UNION ALL SELECT 'pattern', 'alerts', count(*), NULL FROM orders WHERE o_orderdate >= TIMESTAMP '2024-01-20' - INTERVAL 24 HOURS
+    UNION ALL SELECT 'funnel', unnest(['runs', 'fetched', 'already_seen', 'structural_dropped', 'title_deduped', 'bse_mcap_gated', 'pre_api_gated', 'reached_stage1', 'reached_stage2', 'alerted']), unnest([1, 7, 0, 0, 0, 0, 0, 0, 0, 2]), NULL
+    """
+)
+def daily_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sections of a day's digest."""
+    e = table(spark, sf_dir, "events")
+    rule = F.when(F.col("event_type") == "click", "Rule 1").when(F.col("event_type") == "purchase", "Rule 8").otherwise("unheard of")
+    suppressed = e.select(F.col("event_id").alias("id"), F.concat(F.lit("T"), F.col("event_id").cast("string")).alias("title"), rule.alias("rule"), F.col("value").alias("amount_cr"), instant("ts").alias("created_at"))
+    deals = table(spark, sf_dir, "customer").select(at("2024-01-20").alias("updated_at"), (F.col("c_custkey") % 3 == 0).alias("confirmed"))
+    alerts = table(spark, sf_dir, "orders").select(instant("o_orderdate").alias("alerted_at"))
+    runs = schemas.conform(spark.range(1).select(F.lit(7).alias("fetched"), F.lit(2).alias("alerted"), at("2024-01-20").alias("created_at")), schemas.STATE["funnel_runs"])
+    return reports.digest(spark, suppressed, deals, alerts, runs, at("2024-01-20"))
+
+
+@query(
+    """
+    WITH s AS (SELECT event_type AS query, count(*) AS n FROM events GROUP BY 1)
+    SELECT q.query, coalesce(n, 0) AS produced, coalesce(2 * n, 0) AS first_surfaced FROM (VALUES ('click'), ('nothing'), ('view')) q(query) LEFT JOIN s USING (query)
+    """
+)
+def configured_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every configured query has a row, whether it brought anything or not."""
+    stats = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("query")).agg(F.count("*").alias("produced")).withColumn("first_surfaced", 2 * F.col("produced"))
+    return reports.configured_query_stats(spark, ("click", "nothing", "view"), stats)

@@ -218,6 +218,8 @@ def run_trades(
     pattern = found.withColumn("text", format.pattern_alert(F.col("person_name"), F.col("company"), F.col("total_cr"), F.col("sales"), F.col("weeks")))
     out = {"confirmed": hold(confirmed), "patterns": hold(pattern)}
     if not dry:
+        if sink is not None:  # confirmed trades are recorded whether or not the sink took them
+            sink(out["confirmed"])
         sent = sink is None or sink(out["patterns"])
         writes = {
             "items": seen.unionByName(schemas.conform(t.select("id", "fetched_at").unionByName(d.select("id", "fetched_at")), schemas.STATE["items"])),

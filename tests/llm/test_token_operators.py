@@ -21,7 +21,7 @@ RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 SCHEMA = "doc_id long, text string, ids string, spans string, base string"
 rnd = random.Random(4)
 NOISE = "".join(rnd.choice("aehnt") for _ in range(900))
-TEXTS = [None, "", " ", "Hello  world\n\n it's", "a" * 5000, "ab" * 400, NOISE, "👩‍👩‍👧 é ١٢ 日本語　x", base64.b64encode(rnd.randbytes(500)).decode(), "same", "same"]
+TEXTS = [None, "", " ", "Hello  world\n\n it's", "a" * 5000, "ab" * 400, NOISE, "👩‍👩‍👧 é ١٢ 日本語　x", base64.b64encode(rnd.randbytes(500)).decode(), "same", "same", "<|end|> <|end"]
 
 
 @pytest.fixture(scope="module")

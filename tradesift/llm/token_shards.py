@@ -18,7 +18,6 @@ an empty table writes no shard and returns no rows. Only doc_id and text are rea
 from __future__ import annotations
 
 import json
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,10 +54,22 @@ def permuted(numbers: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
+_held: tuple = (None, None, None)
+
+
 def tokenizer(tokens: list[bytes], pattern: str):
-    import tiktoken
+    """The encoder of a vocabulary; a worker process keeps the last one for its next tasks."""
+    global _held
+    if _held[0] is not tokens or _held[1] != pattern:
+        import tiktoken
+
+        _held = (tokens, pattern, tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={"<|end|>": len(tokens)}))
+    return _held[2]
+
 
-    return tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+def ids_of(encoder, text: str) -> np.ndarray:
+    """A text's ids, handed over as one buffer. No special token is ever read from a text."""
+    return encoder.encode_to_numpy(text, disallowed_special=())
 
 
 def write_shards(docs: DataFrame, path: str, pattern: str, out: str | None = None, length: int = LENGTH, shard: int = SHARD, key: int = KEY) -> DataFrame:
@@ -76,7 +87,7 @@ def write_shards(docs: DataFrame, path: str, pattern: str, out: str | None = Non
         from pyspark import TaskContext
 
         ids = tokenizer(given.value, pattern)
-        n = sum(len(ids.encode_ordinary(t)) // length + 1 for b in batches for t in b.column(0).to_pylist())
+        n = sum(len(ids_of(ids, t)) // length + 1 for b in batches for t in b.column(0).to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64())], ["split", "n"])
 
     counts = {r["split"]: r["n"] for r in docs.select(text_of().alias("text")).mapInArrow(count, "split long, n long").collect()}
@@ -98,8 +109,9 @@ def write_shards(docs: DataFrame, path: str, pattern: str, out: str | None = Non
             for a, b in pieces(texts):
                 coded = []
                 for t in texts[a:b]:
-                    own = array(wide.char, ids.encode_ordinary(t))
-                    own.append(end)
+                    found = ids_of(ids, t)
+                    own = np.empty(len(found) + 1, wide)
+                    own[:-1], own[-1] = found, end
                     coded.append(own)
                 sizes = np.array([-(-len(x) // length) for x in coded])
                 rows = np.repeat(np.arange(len(coded)), sizes)

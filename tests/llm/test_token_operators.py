@@ -79,6 +79,17 @@ def test_shards(spark, docs, empty, library, tmp_path):
     assert len(token_shards.read_sequences(str(tmp_path / "e"), 0, 5)) == 0
 
 
+@pytest.mark.parametrize("size", [1, 3, 10, 1000])
+def test_slices_hold_every_text(size):
+    import pyarrow as pa
+
+    texts = ["", "a" * 50, "é", "", "bc", "d" * 7, ""]
+    turns = list(token_shards.slices(pa.array(texts), size))
+    assert [t for _, part in turns for t in part] == texts
+    assert [a for a, _ in turns] == list(itertools.accumulate([0, *(len(part) for _, part in turns[:-1])]))
+    assert list(token_shards.slices(pa.array([], pa.string()), size)) == []
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 100, 4097])
 def test_slots_are_a_permutation(n):
     slots = token_shards.permuted(np.arange(n), n)

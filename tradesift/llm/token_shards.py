@@ -22,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradesift.llm.bpe import pieces, read_ranks
+from tradesift.llm.bpe import CHARS, read_ranks
 from tradesift.llm.common import materialise, scratch_path, text_of
 
 LENGTH, SHARD, KEY, ROUNDS = 256, 16_384, 0x5EED, 6
@@ -72,6 +73,15 @@ def ids_of(encoder, text: str) -> np.ndarray:
     return encoder.encode_to_numpy(text, disallowed_special=())
 
 
+def slices(column: pa.Array, size: int = CHARS) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of a column in turns of about ``size`` bytes, so that few texts are Python strings at a time."""
+    turn = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)) // size
+    borders = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(column)]
+    for a, b in zip(borders, borders[1:]):
+        if a < b:
+            yield a, column.slice(a, b - a).to_pylist()
+
+
 def write_shards(docs: DataFrame, path: str, pattern: str, out: str | None = None, length: int = LENGTH, shard: int = SHARD, key: int = KEY) -> DataFrame:
     """slot, doc_id, seq, n_tokens, shard, offset of every sequence; the shards and manifest.json lie in ``out`` (a new
     folder in the shared one if None)."""
@@ -87,7 +97,7 @@ def write_shards(docs: DataFrame, path: str, pattern: str, out: str | None = Non
         from pyspark import TaskContext
 
         ids = tokenizer(given.value, pattern)
-        n = sum(len(ids_of(ids, t)) // length + 1 for b in batches for t in b.column(0).to_pylist())
+        n = sum(len(ids_of(ids, t)) // length + 1 for b in batches for _, texts in slices(b.column(0)) for t in texts)
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64())], ["split", "n"])
 
     counts = {r["split"]: r["n"] for r in docs.select(text_of().alias("text")).mapInArrow(count, "split long, n long").collect()}
@@ -105,10 +115,9 @@ def write_shards(docs: DataFrame, path: str, pattern: str, out: str | None = Non
         number, expected = starts.value.get(TaskContext.get().partitionId(), (0, 0))
         last = number + expected
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in pieces(texts):
+            for a, texts in slices(batch.column(1)):
                 coded = []
-                for t in texts[a:b]:
+                for t in texts:
                     found = ids_of(ids, t)
                     own = np.empty(len(found) + 1, wide)
                     own[:-1], own[-1] = found, end

@@ -981,7 +981,7 @@ def general_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    SELECT l_orderkey, l_linenumber, '🟢 CONFIRMED' || CASE WHEN l_linenumber > 1 THEN ' UPDATE' ELSE '' END || ' · *Acme Steel* · block deal · ' || format('Rs {:,.0f}cr', l_linenumber * 250.0) || chr(10) || chr(10) || 'Client\_' || l_suppkey || ' sold '
+    SELECT l_orderkey, l_linenumber, '🟢 CONFIRMED' || CASE WHEN l_linenumber > 1 THEN ' UPDATE' ELSE '' END || ' · *Acme Steel* · block deal · ' || format('Rs {:,.0f}cr', l_linenumber * 250.0) || chr(10) || chr(10) || 'Client\\_' || l_suppkey || ' sold '
            || format('{:,.0f}', l_quantity) || ' shares at Rs ' || printf('%g', l_linenumber * 2.5) || chr(10) || chr(10) || 'Settles T+1 · trade date ' || strftime(l_shipdate, '%Y-%m-%d') || chr(10) || 'NSE daily deal file' AS text FROM lineitem
     """
 )
@@ -996,7 +996,7 @@ def confirmed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     WITH o AS (SELECT o_custkey % 100 AS person, list(struct_pack(d := strftime(o_orderdate, '%Y-%m-%d'), v := floor(o_totalprice)) ORDER BY o_orderdate, o_orderkey) AS s, sum(floor(o_totalprice)) AS total,
                       greatest(1, round_even(date_diff('day', min(o_orderdate)::DATE, max(o_orderdate)::DATE) / 7, 0)::INTEGER) AS weeks FROM orders GROUP BY 1)
-    SELECT person, '🟣 PATTERN · *P\_' || person || '* · Acme · ' || format('Rs {:,.0f}cr', total) || ' over ' || len(s) || ' sales' || chr(10) || chr(10)
+    SELECT person, '🟣 PATTERN · *P\\_' || person || '* · Acme · ' || format('Rs {:,.0f}cr', total) || ' over ' || len(s) || ' sales' || chr(10) || chr(10)
       || CASE WHEN len(s) > 20 THEN '… ' || (len(s) - 20) || ' earlier sales totalling ' || format('Rs {:,.0f}cr', list_sum(list_transform(s[:len(s) - 20], lambda x: x.v))) || ' …' || chr(10) ELSE '' END
       || array_to_string(list_transform(s[greatest(len(s) - 19, 1):], lambda x: x.d || '  ' || format('Rs {:,.0f}cr', x.v)), chr(10)) || chr(10) || chr(10) || weeks || ' weeks · no single sale crossed the threshold' AS text FROM o
     """

@@ -188,6 +188,15 @@ def test_repeat_documents(docs, empty):
     assert source_mixing.repeat_documents(empty).count() == 0
 
 
+def test_repeat_documents_keeps_texts_that_tie(spark):
+    """Null and repeated ids with texts of one length, of one source: no text takes the copies of another."""
+    rows = [(None if i % 2 else 5, f"text number {i}", "s", i // 4) for i in range(40)] + [(5, "text number 0", "s", 77), (5, "text number 0", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang long")
+    # At twice its size a single source takes each row exactly twice.
+    out = source_mixing.repeat_documents(docs, share=(2, 1)).collect()
+    assert Counter(map(tuple, out)) == Counter(rows * 2)
+
+
 def test_pipeline_equals_its_stages(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     columns = docs.columns

@@ -15,7 +15,8 @@ ranks inside a slice come from a window on that slice alone, so a source that ho
 
 Defined cases: null text counts zero words; a null source is a source of its own, weighed last; sources without words
 get target zero and take nothing; repeated rows are separate documents, of which each takes its own copies; an empty
-table gives an empty result. Only doc_id, text and source are read by ``mix``.
+table gives an empty result. Only doc_id, text and source are read by ``mix``. ``repeat_documents`` tells rows that tie in
+doc_id, source and size apart by a hash of text and all other columns.
 """
 
 from __future__ import annotations
@@ -38,8 +39,14 @@ LARGE_PARTS = 200
 SEED = 20240229
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.size(words_of(text_of())).cast("long").alias("size"))
+def sized(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select("doc_id", "source", F.size(words_of(text_of())).cast("long").alias("size"), *more)
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A hash of a whole row: equal for rows that agree in every column, a null text and an empty one being different."""
+    others = F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != "text"])
+    return F.xxhash64(docs["text"], docs["text"].isNull(), F.to_json(others))
 
 
 def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, share: tuple[int, int] = SHARE, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -80,18 +87,24 @@ def crossed(rate: Column) -> Column:
 
 def mix(docs: DataFrame, slice_rows: int = SLICE_ROWS, seed: int = SEED, **kinds) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken: one row per row of ``docs``."""
-    base = materialise(sized(docs).withColumn("class", size_class()).withColumn("x", F.xxhash64(F.lit(seed), "doc_id")), "sized")
+    return mix_sized(sized(docs), slice_rows, seed, **kinds)
+
+
+def mix_sized(docs: DataFrame, slice_rows: int = SLICE_ROWS, seed: int = SEED, **kinds) -> DataFrame:
+    """``mix`` of what ``sized`` returns; further columns are carried along and order rows that tie."""
+    more = docs.columns[3:]
+    base = materialise(docs.withColumn("class", size_class()).withColumn("x", F.xxhash64(F.lit(seed), "doc_id")), "sized")
     classes = base.groupBy("source", "class").agg(F.count("*").alias("rows"), F.sum("size").alias("words"))
     share = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), **kinds)
     share = share.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     cut = classes.select(F.col("source").alias("c_source"), F.col("class").alias("c_class"), F.ceil(F.col("rows") / slice_rows).cast("long").alias("slices"))
     laid = base.join(cut, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("class") == F.col("c_class")))
-    laid = laid.select("doc_id", "source", "size", "class", "x", F.floor(F.shiftrightunsigned("x", 33) * F.col("slices") / float(1 << 31)).alias("slice"))
+    laid = laid.select("doc_id", "source", "size", *more, "class", "x", F.floor(F.shiftrightunsigned("x", 33) * F.col("slices") / float(1 << 31)).alias("slice"))
     parts = laid.groupBy("source", "class", "slice").agg(F.count("*").alias("rows"))
     parts = parts.withColumn("before", F.coalesce(F.sum("rows").over(Window.partitionBy("source").orderBy("class", "slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     share = share.withColumnRenamed("source", "s_source")
     parts = parts.join(share, F.col("source").eqNullSafe(F.col("s_source"))).select(F.col("source").alias("p_source"), F.col("class").alias("p_class"), F.col("slice").alias("p_slice"), "before", "source_size", "target", "rate")
-    rank = F.row_number().over(Window.partitionBy("source", "class", "slice").orderBy("x", "doc_id", "size"))
+    rank = F.row_number().over(Window.partitionBy("source", "class", "slice").orderBy("x", "doc_id", "size", *more))
     ranked = laid.withColumn("rank", rank)
     placed = ranked.join(parts, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("class") == F.col("p_class")) & (F.col("slice") == F.col("p_slice")))
     placed = materialise(placed.withColumn("end", F.col("before") + F.col("rank")).drop("rank", "before", "p_source", "p_class", "p_slice", "x", "slice"), "placed")
@@ -102,18 +115,19 @@ def mix(docs: DataFrame, slice_rows: int = SLICE_ROWS, seed: int = SEED, **kinds
     rest = (F.col("target") - F.coalesce("drawn", F.lit(0))) / F.nullif((F.col("source_size") - F.coalesce("drawn_size", F.lit(0))).cast("double"), F.lit(0.0))
     most = F.lit(float(kinds.get("max_repeat", MAX_REPEAT)))
     copies = F.when(F.col("source_size") == 0, F.lit(0)).when(large, crossed(F.col("rate"))).otherwise(crossed(F.least(F.greatest(rest, F.lit(0.0)), most)))
-    return both.withColumn("copies", copies.cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return both.withColumn("copies", copies.cast("long")).select("doc_id", "source", "size", *more, "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def repeat_documents(docs: DataFrame, slice_rows: int = SLICE_ROWS, seed: int = SEED, **kinds) -> DataFrame:
-    """The rows of ``docs``, each as many times as the mix takes it, with their columns. Rows that tie in doc_id, source
-    and size are emitted through one of them, as many times as all of them together."""
+    """The rows of ``docs``, each as many times as the mix takes it, with their columns. Rows that agree in every column
+    are emitted through one of them, as many times as all of them together."""
     names = docs.columns
-    taken = mix(docs, slice_rows, seed, **kinds)
-    key = ["_id", "_source", "_size"]
-    copies = taken.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.sum("copies").alias("_copies"), (F.count("*") > 1).alias("_tied"))
+    taken = mix_sized(sized(docs, row_key(docs).alias("row_key")), slice_rows, seed, **kinds)
+    key = ["_id", "_source", "_size", "_key"]
+    copies = taken.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("row_key").alias("_key")).agg(F.sum("copies").alias("_copies"), (F.count("*") > 1).alias("_tied"))
     copies = materialise(copies.filter("_copies > 0").select(*key, F.struct("_copies", "_tied").alias("_mix")), "copies")
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in names]).alias("_row"), F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.size(words_of(text_of())).cast("long").alias("_n"))
-    kept = rows.join(copies, F.col("_d").eqNullSafe(F.col("_id")) & F.col("_s").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in names]).alias("_row"), F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.size(words_of(text_of())).cast("long").alias("_n"), row_key(docs).alias("_k"))
+    same = F.col("_d").eqNullSafe(F.col("_id")) & F.col("_s").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")) & (F.col("_k") == F.col("_key"))
+    kept = rows.join(copies, same)
     once = kept.filter(~F.col("_mix._tied")).unionByName(kept.filter("_mix._tied").dropDuplicates(key))
     return once.select("_row", F.explode(F.sequence(F.lit(1), F.col("_mix._copies"))).alias("_k")).select("_row.*")

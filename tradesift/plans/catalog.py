@@ -179,7 +179,8 @@ def seller_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines of parts, as reports on companies: one for each part and supplier of an order's first line."""
+    """Lines of number 1, as reports on companies. Several lines of an order may have that number and share its seq, as in
+    the SQL; ``open_deal_matches_all`` takes every line."""
     line = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1")
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws(" ", "p_name", "p_brand").alias("company"))
     r = line.join(part, "l_partkey").select(F.col("l_orderkey").alias("seq"), "company", F.col("l_extendedprice").alias("amount_cr"), instant("l_shipdate").alias("at"))
@@ -214,6 +215,15 @@ def open_deal_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.open_matches(_reports(spark, sf_dir), _open_deals(spark, sf_dir))
 
 
+@query()
+def open_deal_matches_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of every line: a line is known by all of its columns, so only lines that agree in each are one report."""
+    line = table(spark, sf_dir, "lineitem")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws(" ", "p_name", "p_brand").alias("company"))
+    r = line.join(part, "l_partkey").select(F.struct(*line.columns).alias("seq"), "company", F.col("l_extendedprice").alias("amount_cr"), instant("l_shipdate").alias("at"))
+    return cluster.open_matches(r, _open_deals(spark, sf_dir)).select("seq.*", "deal_id")
+
+
 @query()
 def cluster_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event user's reports against no open deals: the ordered fold in components of shared tokens."""

@@ -529,6 +529,12 @@ def title_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.similar_sets(t, 0.85).select(F.array_join("a", " ").alias("a"), F.array_join("b", " ").alias("b"), "similarity")
 
 
+@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(string_split({TITLE}, ' '), lambda w: w <> '' AND w NOT IN {STOP}))), ' ') AS tokens FROM documents")
+def title_near_dup_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token set of each document, as ``title_near_dup`` names it."""
+    return headlines(spark, sf_dir).select("doc_id", F.array_join(text.title_tokens(text.normalise_title(F.col("title"))), " ").alias("tokens"))
+
+
 @query(
     f"""
     WITH t AS (SELECT doc_id AS seq, {TITLE} AS n FROM documents),

@@ -844,6 +844,19 @@ def feedback_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.feedback_rows(e, deals, at("2024-01-30")).select("id", "deal_id", "verdict", "company")
 
 
+@query(
+    """
+    SELECT event_id AS id, user_id AS deal_id, event_type AS verdict, c_name AS company FROM events LEFT JOIN customer ON c_custkey = user_id
+    WHERE ts >= TIMESTAMP '2024-01-30' - INTERVAL 14 DAYS
+    """
+)
+def feedback_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every customer."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("deal_id"), F.col("event_type").alias("verdict"), instant("ts").alias("created_at"))
+    deals = schemas.conform(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("company")), schemas.STATE["deals"])
+    return reports.feedback_rows(e, deals, at("2024-01-30")).select("id", "deal_id", "verdict", "company")
+
+
 @query(
     """
     SELECT CASE o_custkey % 4 WHEN 0 THEN 'Ravi Kumar ' WHEN 2 THEN 'Acme Family Holdings Ltd ' END || o_custkey AS client_name, CASE o_custkey % 4 WHEN 0 THEN 'individual' ELSE 'ambiguous' END AS seller_class,

@@ -57,11 +57,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table; what a stage leaves in the shared folder goes once its output is stored."""
     docs, stored = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        since = common.scratch_count()
-        path = f"{common.shared_dir(spark)}/tradesift/stage-{name}-{common.unique()}"
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(path)
-        common.clear_scratch(spark, since)
+        path = common.scratch_path(spark, f"stage-{name}")
+        with common.scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
         if stored:
             common.delete_path(spark, stored)
         docs, stored = spark.read.schema(out.schema).parquet(path), path

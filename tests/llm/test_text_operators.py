@@ -230,3 +230,32 @@ def quality_ok(spark, rows):
         df = spark.createDataFrame(list(rows.values()))
         _cache.update({r.doc_id: r.kept for r in quality_rules.quality(df).collect()})
     return _cache
+
+
+def weak(norm):
+    """A hash of four values: nearly all keys collide."""
+    return F.shiftleft(F.xxhash64(norm).bitwiseAND(3), 62)
+
+
+@pytest.mark.parametrize("bucket_keys", [1, 1000])
+def test_chains_compare_bytes(docs, bucket_keys):
+    strong = sorted(map(repr, exact_dedup.exact_groups(docs).collect()))
+    assert sorted(map(repr, exact_dedup.exact_groups(docs, bucket_keys, hash_of=weak).collect())) == strong
+    found = exact_dedup.build(docs, bucket_keys, hash_of=weak)
+    for r in found.index.groupBy("bucket", "key").agg(F.sort_array(F.collect_list("chain")).alias("c"), F.first("links").alias("n")).collect():
+        assert r.c == list(range(1, r.n + 1))
+    want = sorted({lower(r.text) for r in docs.collect()})
+    assert sorted(lower(r.text) for r in exact_dedup.drop_copies(docs, bucket_keys, hash_of=weak).collect()) == want
+
+
+def test_hot_text_and_many_buckets(spark):
+    """A third of all rows is one text; 5,000 texts split the directory; ids repeat and are null."""
+    rows = [(i % 9000 if i % 7 else None, f"Text {i % 3 and i}") for i in range(9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    top, size = {}, Counter(t.lower() for _, t in rows)
+    for i, t in rows:
+        top[t.lower()] = max((x for x in (top.get(t.lower()), i) if x is not None), default=None)
+    got = exact_dedup.exact_groups(df, bucket_keys=300)
+    assert Counter(map(tuple, got.select("doc_id", "keep_id", "group_size", "text_sha256").collect())) == Counter((i, top[t.lower()], size[t.lower()], hashlib.sha256(t.lower().encode()).hexdigest()) for i, t in rows)
+    assert exact_dedup.build(df, bucket_keys=300).index.select("bucket").distinct().count() > 8
+    assert exact_dedup.drop_copies(df, bucket_keys=300).count() == len(size)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,10 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_scratch: list[str] = []
+#: Tables written in the current ``scratch`` block; own folders by application; folders that go with the application.
+_scratch: contextvars.ContextVar[list[str]] = contextvars.ContextVar("scratch", default=[])
+_own: dict[str, str] = {}
+_roots: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,21 +48,35 @@ def words_of(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of our own in local mode
+    (tests); a cluster without it is an error, since machine-local folders are lost with their machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='tradesift-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='tradesift-')}")
 
 
 def unique() -> str:
     return uuid.uuid4().hex
 
 
+def _path(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
-    path = f"{shared_dir(spark)}/tradesift/{what}-{unique()}"
-    _scratch.append(path)
+    """A new folder for a table of this application. The enclosing ``scratch`` block deletes it; what is written outside
+    of any block goes when the application ends."""
+    root = f"{shared_dir(spark)}/tradesift/{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        _roots.add(root)
+        fs, target = _path(spark, root)
+        fs.deleteOnExit(target)
+    path = f"{root}/{what}-{unique()}"
+    _scratch.get().append(path)
     return path
 
 
@@ -70,19 +89,19 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def scratch_count() -> int:
-    return len(_scratch)
-
-
-def clear_scratch(spark: SparkSession, since: int = 0) -> None:
-    """Delete the scratch tables written since ``scratch_count`` was ``since``. Only for a caller that has stored every
-    result built on them."""
-    gone = _scratch[since:]
-    del _scratch[since:]
-    for path in gone:
-        delete_path(spark, path)
+    fs, target = _path(spark, path)
+    fs.delete(target, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialise`` writes inside the block, and only those, are deleted at its end. For callers that have
+    stored every result built on them by then. Blocks of other threads or runs are not touched."""
+    mine: list[str] = []
+    token = _scratch.set(mine)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for path in mine:
+            delete_path(spark, path)

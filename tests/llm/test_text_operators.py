@@ -131,7 +131,7 @@ def test_links_find_every_component(spark, hot):
     """Chains and clouds of near fingerprints, through hot and ordinary anchors."""
     rng = np.random.default_rng(5)
     prints = {0, 2**64 - 1}
-    for _ in range(30):
+    for _ in range(8):
         f = int(rng.integers(0, 2**63)) * 2 + int(rng.integers(0, 2))
         for _ in range(int(rng.integers(1, 25))):
             prints.add(f)
@@ -175,8 +175,17 @@ def test_mix(spark, docs, empty):
         assert r.source_size == size[r.source] and r.taken == r.copies * r.size <= 2 * r.size
         assert math.isclose(r.target, capped.get(r.source, weight[r.source] * rest / w), abs_tol=1e-9)
         taken[r.source] += r.taken
+    longest = Counter()
     for r in got:
-        assert abs(taken[r.source] - r.target) <= max(30, 0.03 * r.target), r.source
+        longest[r.source] = max(longest[r.source], r.size)
+    for r in got:  # the bound of the docstring: the longest document, and an eighth of sizes inside the classes
+        assert abs(taken[r.source] - r.target) <= longest[r.source] + 0.02 * r.target, r.source
+    # One prefix sum for each source, rebuilt from the order alone.
+    key = lambda r, n: int(hashlib.md5(f"{source_mixing.SEED}:{r}".encode()).hexdigest()[:n], 16)
+    for s in names:
+        own = sorted((r for r in got if r.source == s), key=lambda r: ((r.size.bit_length() * 8 + (r.size * 8 >> r.size.bit_length() - 1)) if r.size else 0, key("" if r.doc_id is None else r.doc_id, 15)))
+        rate, u = own[0].target / size[s] if size[s] else 0, key(f"{int(s is None)}:{s or ''}", 13) / 2**52
+        assert [r.copies for r in own] == [math.floor(k * rate + u) - math.floor((k - 1) * rate + u) for k in range(1, len(own) + 1)]
     again = source_mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5), slice_rows=16).collect()
     assert sorted(map(repr, got)) == sorted(map(repr, again))
     assert source_mixing.mix(empty).count() == 0 and source_mixing.mix(docs).count() == docs.count()
@@ -197,6 +206,19 @@ def test_repeat_documents_keeps_texts_that_tie(spark):
     assert Counter(map(tuple, out)) == Counter(rows * 2)
 
 
+def test_expected_copies_over_all_offsets(spark):
+    """Over seeds every document is taken target/size times on average."""
+    df = spark.createDataFrame([(i, "w " * (1 if i else 500), f"s{i % 2}") for i in range(12)], "doc_id long, text string, source string")
+    total = Counter()
+    for seed in range(8):
+        for r in source_mixing.mix(df, seed=seed).collect():
+            total[r.doc_id] += r.copies
+            rate = r.target / r.source_size
+            assert r.copies in (math.floor(rate), math.ceil(rate))
+    rates = {r.doc_id: r.target / r.source_size for r in source_mixing.mix(df).collect()}
+    assert all(abs(total[i] / 8 - rates[i]) < 0.6 for i in rates)
+
+
 def test_pipeline_equals_its_stages(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     columns = docs.columns

@@ -69,6 +69,29 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_source_mixing"] = op2_source_mixing
+_weights = ", ".join(map(str, source_mixing.WEIGHTS))
+_up, _down = source_mixing.SHARE
+#: Targets by their definition: sources over the level are capped one round after another, until none is.
+ORACLES["op2_source_mixing"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [{_weights}][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(source_mixing.WEIGHTS)} + 1)::INTEGER]::BIGINT AS weight FROM d GROUP BY source),
+rounds AS (
+  SELECT source, source_size, weight, false AS capped, 0 AS n, NULL::DOUBLE AS level FROM s
+  UNION ALL
+  (WITH r AS (SELECT *, (sum(source_size) OVER () * {_up} - {_down} * coalesce(sum(source_size * {source_mixing.MAX_REPEAT}) FILTER (capped) OVER (), 0))::DOUBLE
+                      / (coalesce(sum(weight) FILTER (NOT capped) OVER (), 0) * {_down})::DOUBLE AS now FROM rounds)
+   SELECT source, source_size, weight, capped OR now >= (source_size * {source_mixing.MAX_REPEAT})::DOUBLE / weight, n + 1, now FROM r
+   WHERE n <= (SELECT count(*) FROM s) AND now IS DISTINCT FROM level)),
+t AS (SELECT source, source_size, CASE WHEN capped THEN (source_size * {source_mixing.MAX_REPEAT})::DOUBLE ELSE weight * level END AS target FROM rounds WHERE n = (SELECT max(n) FROM rounds)),
+x AS (SELECT *, CASE WHEN size > 0 THEN length(bin(size)) * 8 + ((size * 8) >> (length(bin(size)) - 1)::INTEGER) ELSE 0 END AS class,
+             ('0x' || left(md5('{source_mixing.SEED}:' || coalesce(doc_id::VARCHAR, '')), 15))::BIGINT AS x FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, x, doc_id, size) AS k FROM x),
+j AS (SELECT p.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+             ('0x' || left(md5('{source_mixing.SEED}:' || (p.source IS NULL)::INTEGER || ':' || coalesce(p.source, '')), 13))::BIGINT / {1 << 52}::DOUBLE AS u
+      FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, (floor(k * rate + u) - floor((k - 1) * rate + u))::BIGINT AS copies FROM j)
+SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM c
+"""
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,19 @@
 """Mixing sources to target weights by systematic sampling.
 
 Each source gets a target of words by weight, at most ``max_repeat`` times its size; what a capped source cannot take is
-shared again by weight among the rest. A document of a source is expected target/size times. Documents are laid in a
-fixed order, their expected copies are prefix-summed from one hashed offset per source, and a document is emitted once
-for each integer boundary its interval crosses, so no document is emitted more than ceil(target/size) times.
+shared again by weight among the rest. A document of a source is expected rate = target/size times. Documents are laid in
+a fixed order, their expected copies are prefix-summed from one hashed offset per source, and a document is emitted once
+for each integer boundary its interval crosses, so none is emitted more than ceil(rate) times, and over all offsets each
+is emitted rate times on average.
 
-Large documents (over a 200th of their source) are drawn first at the source's rate; the rate of all others is then set
-to what is left of the target, so one long document that is or isn't drawn doesn't shift its source. A document's
-expected copies over all offsets stay target/size.
+The order is by size class (an eighth of a doubling), then by hash. The boundaries crossed by any prefix of the order
+differ from its expected copies by less than one, so with sizes in order a source's taken words miss its target by no more
+than its longest document and the spread inside the classes; a long document that is or isn't repeated is the one thing
+that no offset can even out.
 
-The order is by size class, then by hash: neighbours are of like size, which keeps the taken words near the target.
 The prefix sum is two-level: slices of a bounded number of documents are summed, the sums are added up over slices, and
 ranks inside a slice come from a window on that slice alone, so a source that holds a third of all rows is spread out.
+Sources are numbered, and their caps summed up, over range partitions: there may be as many as hosts.
 
 Defined cases: null text counts zero words; a null source is a source of its own, weighed last; sources without words
 get target zero and take nothing; repeated rows are separate documents, of which each takes its own copies; an empty
@@ -27,15 +29,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradesift.llm.common import materialise, text_of, words_of
+from tradesift.operators.numbering import numbered, running
 
 WEIGHTS = (5, 2, 1)
 #: The share of all words that is taken, as a fraction, and the most times a source repeats.
 SHARE = (3, 2)
 MAX_REPEAT = 2
-SLICE_ROWS = 200_000
-CLASSES_PER_DOUBLING = 8
-#: A document over 1/LARGE_PARTS of its source is large; a source has fewer than LARGE_PARTS of them.
-LARGE_PARTS = 200
+SLICE_ROWS = 20_000
 SEED = 20240229
 
 
@@ -49,40 +49,38 @@ def row_key(docs: DataFrame) -> Column:
     return F.xxhash64(docs["text"], docs["text"].isNull(), F.to_json(others))
 
 
+def digits(value: Column, n: int) -> Column:
+    """The first ``n`` hexadecimal digits of a text's MD5 as a number."""
+    return F.conv(F.substring(F.md5(value), 1, n), 16, 10).cast("long")
+
+
 def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, share: tuple[int, int] = SHARE, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """source, source_size -> with target: capped sources are a prefix in the order of cap per weight, so one running sum
-    over the sources finds the level at which no target is above its cap."""
+    """source, source_size -> with target. In the order of cap per weight the capped sources are a prefix, so one running
+    sum over the sources finds the level that the others share at."""
     up, down = share
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (place % len(weights) + 1).cast("int")).cast("long")
-    weighed = sources.withColumn("weight", weight).withColumn("cap", F.col("source_size") * max_repeat)
-    order = Window.orderBy(F.col("cap").cast("double") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, everything = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    level = (
-        weighed.withColumn("want", F.sum("source_size").over(everything) * up)
-        .withColumn("rest_weight", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-        .withColumn("rest", F.col("want") - down * F.coalesce(F.sum("cap").over(before), F.lit(0)))
-    )
-    # The level that weights would share at; a source is capped while that level reaches its cap per weight.
+    store = lambda df: materialise(df, "sources")
+    placed = numbered(sources, [F.col("source")], store)
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights) + 1).cast("int")).cast("long")
+    weighed = placed.withColumn("weight", weight).withColumn("cap", F.col("source_size") * max_repeat)
     ratio = F.col("cap").cast("double") / F.col("weight")
-    level = level.withColumn("level", F.col("rest").cast("double") / (F.col("rest_weight") * down).cast("double")).withColumn("capped", F.col("level") >= ratio)
-    first = F.min(F.when(~F.col("capped"), F.struct(ratio.alias("r"), F.col("source").isNull().alias("z"), F.col("source").alias("s"), "level"))).over(everything)
-    return level.withColumn("first", first).select("source", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("weight") * F.col("first.level")).alias("target"))
+    summed = running(weighed, [ratio, F.col("source")], {"cap_before": F.col("cap"), "weight_before": F.col("weight")}, store)
+    size, weights_sum = weighed.agg(F.sum("source_size"), F.sum("weight")).first()
+    # The level that weights would share at; a source is capped while that level reaches its cap per weight.
+    level = (F.lit((size or 0) * up) - F.col("cap_before") * down).cast("double") / ((F.lit(weights_sum or 0) - F.col("weight_before")) * down).cast("double")
+    level = summed.withColumn("level", level).withColumn("capped", F.col("level") >= ratio)
+    level = level.withColumn("at", F.struct(ratio.alias("r"), F.col("source").isNull().alias("z"), F.col("source").alias("s"), "level"))
+    shared = level.agg(F.min(F.when(~F.col("capped"), F.col("at")))["level"]).first()[0]
+    return level.select("source", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("weight") * F.lit(shared)).alias("target"))
 
 
 def size_class() -> Column:
-    return F.when(F.col("size") > 0, F.floor(F.log2("size") * CLASSES_PER_DOUBLING)).otherwise(F.lit(-1)).cast("int")
+    """Eighths of a doubling, in whole numbers: the bits of the size, then the next three bits."""
+    return F.when(F.col("size") > 0, F.expr("length(bin(size)) * 8 + shiftright(size * 8, length(bin(size)) - 1)")).otherwise(F.lit(0)).cast("int")
 
 
 def offset(seed: int) -> Column:
-    """One offset in [0, 1) for each source."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce("source", F.lit("")), F.col("source").isNull()), 11).cast("double") / float(1 << 53)
-
-
-def crossed(rate: Column) -> Column:
-    """Integer boundaries in a document's interval of expected copies."""
-    u = offset(SEED)
-    return (F.floor(F.col("end") * rate + u) - F.floor((F.col("end") - 1) * rate + u)).cast("long")
+    """One offset in [0, 1) for each source: 52 bits of a hash."""
+    return digits(F.concat_ws(":", F.lit(str(seed)), F.col("source").isNull().cast("int").cast("string"), F.coalesce("source", F.lit(""))), 13).cast("double") / float(1 << 52)
 
 
 def mix(docs: DataFrame, slice_rows: int = SLICE_ROWS, seed: int = SEED, **kinds) -> DataFrame:
@@ -93,29 +91,25 @@ def mix(docs: DataFrame, slice_rows: int = SLICE_ROWS, seed: int = SEED, **kinds
 def mix_sized(docs: DataFrame, slice_rows: int = SLICE_ROWS, seed: int = SEED, **kinds) -> DataFrame:
     """``mix`` of what ``sized`` returns; further columns are carried along and order rows that tie."""
     more = docs.columns[3:]
-    base = materialise(docs.withColumn("class", size_class()).withColumn("x", F.xxhash64(F.lit(seed), "doc_id")), "sized")
+    x = digits(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 15)
+    base = materialise(docs.withColumn("class", size_class()).withColumn("x", x), "sized")
     classes = base.groupBy("source", "class").agg(F.count("*").alias("rows"), F.sum("size").alias("words"))
     share = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), **kinds)
     share = share.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     cut = classes.select(F.col("source").alias("c_source"), F.col("class").alias("c_class"), F.ceil(F.col("rows") / slice_rows).cast("long").alias("slices"))
     laid = base.join(cut, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("class") == F.col("c_class")))
-    laid = laid.select("doc_id", "source", "size", *more, "class", "x", F.floor(F.shiftrightunsigned("x", 33) * F.col("slices") / float(1 << 31)).alias("slice"))
+    laid = laid.select("doc_id", "source", "size", *more, "class", "x", F.floor(F.shiftright("x", 29) * F.col("slices") / float(1 << 31)).alias("slice"))
     parts = laid.groupBy("source", "class", "slice").agg(F.count("*").alias("rows"))
+    # Slices of one source: its documents over slice_rows, and its size classes.
     parts = parts.withColumn("before", F.coalesce(F.sum("rows").over(Window.partitionBy("source").orderBy("class", "slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     share = share.withColumnRenamed("source", "s_source")
     parts = parts.join(share, F.col("source").eqNullSafe(F.col("s_source"))).select(F.col("source").alias("p_source"), F.col("class").alias("p_class"), F.col("slice").alias("p_slice"), "before", "source_size", "target", "rate")
     rank = F.row_number().over(Window.partitionBy("source", "class", "slice").orderBy("x", "doc_id", "size", *more))
     ranked = laid.withColumn("rank", rank)
     placed = ranked.join(parts, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("class") == F.col("p_class")) & (F.col("slice") == F.col("p_slice")))
-    placed = materialise(placed.withColumn("end", F.col("before") + F.col("rank")).drop("rank", "before", "p_source", "p_class", "p_slice", "x", "slice"), "placed")
-    # Documents over a small share of their source are drawn first; the rate of the rest makes up what they missed.
-    large = F.col("size") * LARGE_PARTS > F.col("source_size")
-    drawn = placed.filter(large).withColumn("taken", crossed(F.col("rate")) * F.col("size")).groupBy(F.col("source").alias("d_source")).agg(F.sum("taken").alias("drawn"), F.sum("size").alias("drawn_size"))
-    both = placed.join(drawn, F.col("source").eqNullSafe(F.col("d_source")), "left")
-    rest = (F.col("target") - F.coalesce("drawn", F.lit(0))) / F.nullif((F.col("source_size") - F.coalesce("drawn_size", F.lit(0))).cast("double"), F.lit(0.0))
-    most = F.lit(float(kinds.get("max_repeat", MAX_REPEAT)))
-    copies = F.when(F.col("source_size") == 0, F.lit(0)).when(large, crossed(F.col("rate"))).otherwise(crossed(F.least(F.greatest(rest, F.lit(0.0)), most)))
-    return both.withColumn("copies", copies.cast("long")).select("doc_id", "source", "size", *more, "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    end, u = F.col("before") + F.col("rank"), offset(seed)
+    copies = F.floor(end * F.col("rate") + u) - F.floor((end - 1) * F.col("rate") + u)
+    return placed.withColumn("copies", copies.cast("long")).select("doc_id", "source", "size", *more, "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def repeat_documents(docs: DataFrame, slice_rows: int = SLICE_ROWS, seed: int = SEED, **kinds) -> DataFrame:

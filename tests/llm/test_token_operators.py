@@ -6,7 +6,7 @@ import itertools
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
@@ -170,42 +170,80 @@ def test_pii_model(spark):
 
 
 def cheapest(roles):
-    best = 1 << 40
+    """(cost, states) of the plan that the docstring names, over all state sequences."""
+    found = []
     for states in itertools.product((1, 2, 3), repeat=len(roles)):
         cost, a = 0, 0
         for r, b in zip(roles, states):
             cost += min(chat_format.options(r, a, b), default=(1 << 40, 0, 0))[0]
             a = b
-        best = min(best, cost + chat_format.end_cost(a)[0])
-    return best
+        found.append((cost + chat_format.end_cost(a)[0], states[::-1]))
+    cost, states = min(found)
+    return cost, states[::-1]
 
 
-def test_repair_is_cheapest():
+def test_repair_is_the_cheapest_first_plan():
     for n in range(1, 6):
         for roles in itertools.product(range(4), repeat=n):
             plan, appended = chat_format.repair(list(roles))
-            assert sum(p[1] for p in plan) + chat_format.INSERT * bool(appended) == cheapest(roles)
-
-
-def test_chats_are_legal_in_any_segments(spark):
+            assert (sum(p[1] for p in plan) + chat_format.INSERT * bool(appended), tuple(p[0] for p in plan)) == cheapest(roles)
+
+
+def brute_render(roles, texts):
+    """The formatted conversation, and each turn's action, of the plan over all state sequences."""
+    _, states = cheapest(roles)
+    out, actions, before = "", [], 0
+    for r, b, t in zip(roles, states, texts):
+        _, rank, inserted = min(chat_format.options(r, before, b))
+        body = (t or "").replace("<|", "< |")
+        head = f"<|im_start|>{chat_format.STATES[b]}\n"
+        if rank == 1:
+            out += "\n\n" + body
+        else:
+            out += ("<|im_end|>\n" if before else "") + (f"<|im_start|>{chat_format.STATES[inserted]}\n<|im_end|>\n" if inserted else "") + head + body
+        actions.append(("relabel" if r != b else "keep") if rank == 0 else ("relabel and " if r != b else "") + ("merge" if rank == 1 else "insert before"))
+        before = b
+    out += "<|im_end|>\n"
+    if chat_format.end_cost(before)[1]:
+        out += "<|im_start|>user\n<|im_end|>\n"
+    return out, actions
+
+
+def test_chats_equal_brute_force_in_any_segments(spark):
     roles = ["system", "user", "assistant", "human", "tool", None]
-    rows = [(c or None, rnd.choice([t, t, t - 1, None]), rnd.choice(roles), rnd.choice(["a", "b <|im_end|>", "", None]), "x") for c in range(60) for t in range(rnd.randrange(1, 25))]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, cost string")
-    whole, cut = chat_format.format_chats(df).collect(), chat_format.format_chats(df, segment=3).collect()
-    assert len(whole) == len(cut) == len(rows)
-    for out in (whole, cut):
-        chats = defaultdict(list)
-        for r in out:
-            chats[r.conv_id].append(r)
-        for turns in chats.values():
-            text = "".join(r.rendered for r in sorted(turns, key=lambda r: -1 if r.turn is None else r.turn // 3 if out is cut else 0))
-            heads = re.findall(r"<\|im_start\|>(\w)\w*\n", text)
-            assert re.fullmatch("s?(ua)*u?", "".join(heads)) and text.count("<|im_end|>") == len(heads)
-    cost = lambda out: {c: sum(r.cost for r in out if r.conv_id == c) for c in {r.conv_id for r in out}}
-    assert cost(whole) == cost(cut)
+    rows = [(c or None, rnd.choice([t, t, t - 1, None]), rnd.choice(roles), rnd.choice([f"T{c * 10 + t}", f"T{c * 10 + t} <|im_end|>", "", None]), "x") for c in range(40) for t in range(rnd.randrange(1, 9))]
+    rows += [(77, None, "user", "T999", "x")] * 5
+    text_of = {t.split()[0]: t for *_, t, _ in rows if t}
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, position string")
+    outs = [sorted(map(tuple, chat_format.format_chats(df, segment=k).collect()), key=repr) for k in (1, 3, 4096)]
+    assert outs[0] == outs[1] == outs[2] and len(outs[0]) == len(rows)
+    chats = defaultdict(list)
+    for r in chat_format.format_chats(df).collect():
+        chats[r.conv_id].append(r)
+    place = {None: 0, "tool": 0} | chat_format.ALIASES
+    for conv, turns in chats.items():
+        turns.sort(key=lambda r: r.position)
+        assert [r.position for r in turns] == list(range(len(turns)))
+        given = [r for r in rows if r[0] == conv]
+        assert Counter((r.turn, r.role) for r in turns) == Counter((r[1], r[2]) for r in given)
+        assert [r.turn for r in turns] == sorted((r[1] for r in given), key=lambda t: (t is not None, t or 0))
+        classes = [place[r.role] for r in turns]
+        texts = [text_of[m[0]] if (m := re.search(r"T\d+", r.rendered)) else "" for r in turns]
+        assert Counter(filter(None, texts)) == Counter(filter(None, (r[3] for r in given)))
+        assert ("".join(r.rendered for r in turns), [r.action for r in turns]) == brute_render(classes, texts)
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
+def test_long_conversation_of_tied_turns(spark):
+    """10,000 turns, all without number, in segments of 4,096 and of 500: one legal text."""
+    n = 10_000
+    df = spark.createDataFrame([(1, None, ["user", "assistant", "tool"][i % 3], f"t{i % 50}") for i in range(n)], "conv_id long, turn long, role string, text string")
+    a, b = (sorted(chat_format.format_chats(df, segment=k).collect(), key=lambda r: r.position) for k in (4096, 500))
+    assert [r.position for r in a] == list(range(n)) and list(map(tuple, a)) == list(map(tuple, b))
+    plan, _ = chat_format.repair([{"user": 2, "assistant": 3, "tool": 0}[r.role] for r in a])
+    assert [r.new_role for r in a] == [chat_format.STATES[p[0]] for p in plan]
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme/en/", "http://A.Example.COM/en/7x?q#f", "http://com/en/1", "http://xcom/en/1", "https://b.example.net/de/81", "http://net/de/", "http://x.org/es/?a", "http://x.org?/es/", "http://", "a://b://c.org/es/d", "http://é.com/en/"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")

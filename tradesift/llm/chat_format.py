@@ -2,26 +2,30 @@
 
 A conversation is legal if it is an optional system turn, then user and assistant turns in alternation from a user turn
 on. Dynamic programming over that automaton's states decides for each turn, at the least total cost, whether it keeps its
-role, takes another (RELABEL), joins the turn before it (MERGE) or has an empty turn put before it (INSERT). Ties go to
-keeping, then merging, then inserting, and to the earlier state in STATES.
+role, takes another (RELABEL), joins the turn before it (MERGE) or has an empty turn put before it (INSERT). Of plans of
+equal cost the one stands whose last turn has the earlier state in STATES, then the turn before it, and so on back to the
+first; between two states, keeping comes before merging and merging before inserting.
 
-The costs of a stretch of turns form a matrix between states, and stretches chain by (min, +) products. A long
-conversation is therefore cut into segments of SEGMENT turn numbers: matrices of segments are chained first, on keys
-alone, which fixes the states at the cuts; each segment is then repaired by itself. Texts move once.
+Conversations of up to SEGMENT turns are repaired whole. Longer ones are cut into segments of at most SEGMENT turns: a
+stretch of turns is a matrix between states that holds, for each pair, the least cost and, for each state it ends in, how
+its start states rank by the tie order. Such matrices chain exactly, so the states at the cuts are those of the plan over
+the whole conversation, and each segment is then repaired by itself. The result is the same for any SEGMENT.
 
-The result has one row per input turn; its ``rendered`` pieces, concatenated by turn, are the formatted conversation.
+The result has one row per input turn; ``position`` numbers the turns of a conversation from 0, and its ``rendered``
+pieces, concatenated by position, are the formatted conversation.
 
 Defined cases: a null or unknown role may take any role for UNKNOWN; null text is empty; a null conv_id is a conversation
-of its own; null turn numbers come first; rows that tie on a turn go by role, then by text, and repeated rows stay; a
-conversation of system turns only gets an empty user turn at its end; an empty table gives an empty result. Markers
-inside texts are defused. Only conv_id, turn, role and text are read.
+of its own; null turn numbers come first; rows that tie on a turn go by role class, then by a hash of role and text, then
+by role and text, so tied turns may lie in several segments; repeated rows stay; a conversation of system turns only gets
+an empty user turn at its end; an empty table gives an empty result. Markers inside texts are defused. Only conv_id, turn,
+role and text are read.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,17 +61,33 @@ def best_option(role: int, source: int, target: int) -> tuple[int, int, int]:
 
 #: By role class, source and target state.
 BEST = [[[best_option(r, a, b) if b else (NEVER, 3, 0) for b in range(4)] for a in range(4)] for r in range(4)]
-COST = np.array([[[x[0] for x in row] for row in m] for m in BEST], np.int64)
+COST = [[[x[0] for x in row] for row in m] for m in BEST]
 
 
-def chain(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.minimum((a[:, :, None] + b[None, :, :]).min(axis=1), NEVER)
+#: Of one turn: a path is its two states, so start states rank by number whatever it ends in.
+RANK = [[0, 1, 2, 3]] * 4
+Matrix = tuple[list[list[int]], list[list[int]]]
 
 
-def matrix_of(roles: list[int]) -> np.ndarray:
-    out = COST[roles[0]]
+def chain(one: Matrix, two: Matrix) -> Matrix:
+    """Both stretches after each other. Costs are by start and end state; ranks by end state, then start state."""
+    (c1, r1), (c2, r2) = one, two
+    cost, rank = [[NEVER] * 4 for _ in range(4)], [[0] * 4 for _ in range(4)]
+    for b in range(4):
+        way = []
+        for a in range(4):
+            total, later, middle = min((c1[a][m] + c2[m][b], r2[b][m], m) for m in range(4))
+            cost[a][b] = min(total, NEVER)
+            way.append((later, r1[middle][a], a))
+        for place, (_, _, a) in enumerate(sorted(way)):
+            rank[b][a] = place
+    return cost, rank
+
+
+def matrix_of(roles: list[int]) -> Matrix:
+    out: Matrix = (COST[roles[0]], RANK)
     for r in roles[1:]:
-        out = chain(out, COST[r])
+        out = chain(out, (COST[r], RANK))
     return out
 
 
@@ -133,40 +153,46 @@ def role_class() -> Column:
 
 def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for (conv, seg), rows in groups(batches, 2):
-        yield pa.RecordBatch.from_arrays([pa.array([conv], rows.schema.field(0).type), pa.array([seg], pa.int64()), pa.array([matrix_of(rows.column(2).to_pylist()).ravel().tolist()], pa.list_(pa.int64()))], ["conv_id", "seg", "matrix"])
+        cost, rank = matrix_of(rows.column(2).to_pylist())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([conv], rows.schema.field(0).type), pa.array([seg], pa.int64()), pa.array([rows.num_rows], pa.int64()), pa.array([sum(cost + rank, [])], pa.list_(pa.int64()))], ["conv_id", "seg", "n", "matrix"]
+        )
 
 
 def _borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entry and exit state of each segment of a conversation that has several."""
+    """First position, entry and exit state of each segment of a long conversation."""
     for (conv,), rows in groups(batches, 1):
-        segs = rows.column(1).to_pylist()
-        matrices = [np.array(m, np.int64).reshape(4, 4) for m in rows.column(2).to_pylist()]
-        cost, back = [0, NEVER, NEVER, NEVER], []
-        for m in matrices:
-            came = [min((cost[a] + int(m[a][b]), a) for a in range(4)) for b in range(4)]
-            cost = [c for c, _ in came]
-            back.append([a for _, a in came])
-        state = min((1, 2, 3), key=lambda b: (cost[b] + end_cost(b)[0], b))
+        segs, sizes = rows.column(1).to_pylist(), rows.column(2).to_pylist()
+        flat = [[m[k : k + 4] for k in range(0, 32, 4)] for m in rows.column(3).to_pylist()]
+        before, vectors = [0, NEVER, NEVER, NEVER], []
+        for m in flat:
+            vectors.append(before)
+            before = [min(before[a] + m[a][b] for a in range(4)) for b in range(4)]
+        state = min((1, 2, 3), key=lambda b: (before[b] + end_cost(b)[0], b))
         entry, leave = [], []
-        for came in reversed(back):
+        for m, vector in zip(reversed(flat), reversed(vectors)):
             leave.append(state)
-            state = came[state]
+            state = min(range(4), key=lambda a: (vector[a] + m[a][state], m[4 + state][a]))
             entry.append(state)
+        firsts = [0, *itertools.accumulate(sizes[:-1])]
         last = [False] * (len(segs) - 1) + [True]
-        yield pa.RecordBatch.from_arrays([pa.array([conv] * len(segs), rows.schema.field(0).type), pa.array(segs, pa.int64()), pa.array(entry[::-1], pa.int32()), pa.array(leave[::-1], pa.int32()), pa.array(last, pa.bool_())], ["conv_id", "seg", "entry", "leave", "last"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([conv] * len(segs), rows.schema.field(0).type), pa.array(segs, pa.int64()), pa.array(firsts, pa.int64()), pa.array(entry[::-1], pa.int32()), pa.array(leave[::-1], pa.int32()), pa.array(last, pa.bool_())],
+            ["conv_id", "seg", "first", "entry", "leave", "last"],
+        )
 
 
 ACTIONS = {(0, False): "keep", (0, True): "relabel", (1, False): "merge", (1, True): "relabel and merge", (2, False): "insert before", (2, True): "relabel and insert before"}
 
 
 def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for (conv, seg), rows in groups(batches, 2):
+    """Rows conv_id, seg, tag, turn, class, role, text, first, entry, leave, last; a segment's border row has tag 0."""
+    for (conv, _), rows in groups(batches, 2):
         columns = [c.to_pylist() for c in rows.columns]
-        first = 0
-        entry, leave, last = 0, None, True
-        if columns[2][0] == 0:  # the border row
-            entry, leave, last, first = columns[7][0], columns[8][0], columns[9][0], 1
-        turns, classes, roles, texts = (columns[k][first:] for k in (3, 4, 5, 6))
+        first, entry, leave, last, skip = 0, 0, None, True, 0
+        if columns[2][0] == 0:
+            (first, entry, leave, last), skip = (columns[k][0] for k in (7, 8, 9, 10)), 1
+        turns, classes, roles, texts = (columns[k][skip:] for k in (3, 4, 5, 6))
         plan, appended = repair(classes, entry, leave)
         if leave is not None and last:
             appended = end_cost(leave)[1]
@@ -186,6 +212,7 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 pa.array([conv] * len(plan), kind.field(0).type),
                 pa.array(turns, kind.field(3).type),
+                pa.array(range(first, first + len(plan)), pa.int64()),
                 pa.array(roles, pa.string()),
                 pa.array([STATES[p[0]] for p in plan], pa.string()),
                 pa.array([ACTIONS[p[2], c != p[0]] for p, c in zip(plan, classes)], pa.string()),
@@ -193,23 +220,54 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([p[1] for p in plan], pa.int32()),
                 pa.array(pieces, pa.string()),
             ],
-            ["conv_id", "turn", "role", "new_role", "action", "inserted", "cost", "rendered"],
+            ["conv_id", "turn", "position", "role", "new_role", "action", "inserted", "cost", "rendered"],
         )
 
 
+ROW = ("conv_id", "seg", "tag", "turn", "class", "role", "text", "first", "entry", "leave", "last")
+
+
+def _cut(given: DataFrame, segment: int) -> DataFrame:
+    """Long conversations with seg, a number that grows along each conversation and that at most ``segment`` of its turns
+    share, and at, the place inside. Rows are sorted over ranges, and equal rows may be parted, so no turn number, tie or
+    repeated row decides how much lies in one task."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for batch in batches:
+            yield batch.append_column("at", pa.array(range(n, n + batch.num_rows), pa.int64()))
+            n += batch.num_rows
+
+    order = ["conv_id", "turn", "class", "h", "role", "text"]
+    spread = given.withColumn("h", F.xxhash64("role", "text")).withColumn("salt", F.monotonically_increasing_id())
+    ranged = spread.repartitionByRange("conv_id", "turn", "class", "h", "salt").sortWithinPartitions(*order).withColumn("part", F.spark_partition_id().cast("long"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema.fields)
+    counted = materialise(ranged.mapInArrow(count, f"{kinds}, at long"), "turns")
+    return counted.withColumn("seg", F.shiftleft("part", 40) + F.floor(F.col("at") / segment)).drop("part", "salt", "h")
+
+
 def format_chats(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """conv_id, turn, role, new_role, action, inserted, cost, rendered: one row per row of ``turns``."""
+    """conv_id, turn, position, role, new_role, action, inserted, cost, rendered: one row per row of ``turns``."""
     conv, turn = (turns.schema[c].dataType.simpleString() for c in ("conv_id", "turn"))
-    seg = F.coalesce(F.floor(F.col("turn") / segment), F.lit(-(1 << 62))).cast("long")
-    given = turns.select("conv_id", seg.alias("seg"), F.lit(1).alias("tag"), "turn", role_class().alias("class"), "role", "text")
-    # Conversations of several segments, on keys alone; few or none in most inputs.
-    spans = given.groupBy("conv_id").agg(F.min("seg").alias("a"), F.max("seg").alias("b")).filter("a < b").select(F.col("conv_id").alias("_id"), F.lit(True).alias("_long"))
-    # Ties on a turn go by class before anything else, so classes alone fix the matrices.
-    keys = given.select("conv_id", "seg", "turn", "class").join(spans, F.col("conv_id").eqNullSafe(F.col("_id"))).select("conv_id", "seg", "class", "turn")
-    matrices = keys.repartition("conv_id", "seg").sortWithinPartitions("conv_id", "seg", "turn", "class").select("conv_id", "seg", "class").mapInArrow(_matrices, f"conv_id {conv}, seg long, matrix array<long>")
-    borders = materialise(matrices.repartition("conv_id").sortWithinPartitions("conv_id", "seg").mapInArrow(_borders, f"conv_id {conv}, seg long, entry int, leave int, last boolean"), "borders")
-    rows = given.select("*", F.lit(0).alias("entry"), F.lit(0).alias("leave"), F.lit(True).alias("last")).unionByName(
-        borders.select("conv_id", "seg", F.lit(0).alias("tag"), F.lit(None).cast(turn).alias("turn"), F.lit(0).alias("class"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("text"), "entry", "leave", "last")
-    )
-    dealt = rows.repartition("conv_id", "seg").sortWithinPartitions("conv_id", "seg", "tag", "turn", "class", "role", "text")
-    return dealt.mapInArrow(_render, f"conv_id {conv}, turn {turn}, role string, new_role string, action string, inserted string, cost int, rendered string")
+    given = turns.select("conv_id", "turn", role_class().alias("class"), "role", "text")
+    # Long conversations: fewer than rows / segment, few or none in most inputs.
+    long = materialise(given.groupBy("conv_id").agg(F.count("*").alias("n")).filter(F.col("n") > segment).select(F.col("conv_id").alias("_id")), "long")
+    same = F.col("conv_id").eqNullSafe(F.col("_id"))
+    nothing = {"first": F.lit(0).cast("long"), "entry": F.lit(0), "leave": F.lit(0), "last": F.lit(True)}
+
+    def rows_of(df: DataFrame) -> DataFrame:
+        return df.withColumns({"tag": F.lit(1), **nothing})
+
+    short = rows_of(given.join(long, same, "left_anti").withColumn("seg", F.lit(0).cast("long")).withColumn("h", F.xxhash64("role", "text")))
+    made = f"conv_id {conv}, turn {turn}, position long, role string, new_role string, action string, inserted string, cost int, rendered string"
+    out = short.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "class", "h", "role", "text").select(*ROW).mapInArrow(_render, made)
+    if long.isEmpty():
+        return out
+    pieces = _cut(given.join(long, same, "left_semi"), segment)
+    keys = pieces.select("conv_id", "seg", "class", "at").repartition("conv_id", "seg").sortWithinPartitions("conv_id", "seg", "at")
+    matrices = keys.select("conv_id", "seg", "class").mapInArrow(_matrices, f"conv_id {conv}, seg long, n long, matrix array<long>")
+    borders = matrices.repartition("conv_id").sortWithinPartitions("conv_id", "seg").mapInArrow(_borders, f"conv_id {conv}, seg long, first long, entry int, leave int, last boolean")
+    borders = materialise(borders, "borders").withColumns({"tag": F.lit(0), "turn": F.lit(None).cast(turn), "class": F.lit(0), "role": F.lit(None).cast("string"), "text": F.lit(None).cast("string"), "at": F.lit(0).cast("long")})
+    both = rows_of(pieces).unionByName(borders)
+    dealt = both.repartition("conv_id", "seg").sortWithinPartitions("conv_id", "seg", "tag", "at").select(*ROW)
+    return out.unionByName(dealt.mapInArrow(_render, made))

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -63,6 +64,40 @@ def test_bpe_equals_the_library(coder, library, text):
     assert ids.tolist() == library.encode_ordinary(text) and coder.decode([ids])[0] == text.encode()
 
 
+def naive(ranks, word):
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while True:
+        found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+        if not found:
+            return [ranks[p] for p in parts]
+        _, i = min(found)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_many_contractions_in_a_step(seed, monkeypatch):
+    """Vocabularies in random order, where tokens rank below their parts: each word as by one contraction at a time."""
+    monkeypatch.setattr(bpe, "LONG_WORD", 1)
+    r = random.Random(seed)
+    letters = "ab" if seed % 3 == 0 else "abc"
+    more = list({"".join(r.choice(letters) for _ in range(r.randrange(2, 7))).encode() for _ in range(r.choice([6, 25, 80]))})
+    r.shuffle(more)
+    tokens = [bytes([i]) for i in range(256)] + more
+    ranks = {t: i for i, t in enumerate(tokens)}
+    words = list({"".join(r.choice(letters) for _ in range(r.randrange(2, 60))) for _ in range(150)} | {"a" * k for k in range(2, 30)})
+    lengths, ids = bpe.Bpe(tokens, bpe.merge_table(tokens), r"\S+").contract([w.encode() for w in words])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [naive(ranks, w.encode()) for w in words]
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "ACGT", "abcXYZ019+/", "a"])
+def test_long_words(coder, library, letters):
+    """Words of 100,000 characters, in seconds."""
+    word = "".join(rnd.choice(letters) for _ in range(100_000))
+    began = time.monotonic()
+    assert coder.encode([word])[0].tolist() == library.encode_ordinary(word)
+    assert time.monotonic() - began < 60
+
+
 def test_shards(spark, docs, empty, library, tmp_path):
     rows = token_shards.write_shards(docs, RANKS, P.PATTERN, out=str(tmp_path / "s"), length=32, shard=50).collect()
     n = len(rows)

@@ -2,13 +2,13 @@
 
 Encoding: each text is split by the tokenizer's pattern. The different words of a batch become token-position rows, one
 for each byte; a recursive query joins neighbours with the merge table and contracts each word's leftmost minimum-rank
-pair, until no word has one. Long words contract the places of the minimum-rank pair from the left in one step, up to
-the first whose new token could merge with a neighbour at a lower rank: the same contractions in the same order.
-Recursion is cut into bounded rounds, so its working table stays small. Decoding: position rows join the vocabulary and
+pair, until no word has one. Long words contract many pairs in one step: those of which it is certain that no other
+contraction can come before theirs or take their parts (see LONG_STEP). The result is that of one contraction at a time,
+and a word of 100,000 letters takes some dozens of steps instead of tens of thousands. Recursion is cut into bounded rounds, so its working table stays small. Decoding: position rows join the vocabulary and
 an ordered aggregation puts each text's bytes together.
 
-Defined cases: null text encodes as empty (no ids, the digest of nothing); empty text likewise; texts of any length go
-through in pieces of bounded size; repeated rows and ties give equal rows; an empty table gives an empty result. Only
+Defined cases: null text encodes as empty (no ids, the digest of nothing); empty text likewise; texts go through whole,
+several at a time up to CHARS characters, and words in groups of START_ROWS bytes, one at least; repeated rows and ties give equal rows; an empty table gives an empty result. Only
 doc_id and text are read, so other columns may have any name.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradesift.llm.common import text_of
+from tradesift.llm.common import scratch_path, text_of
 
 LONG_WORD = 48
 ROUNDS = 64
@@ -46,27 +47,50 @@ WITH RECURSIVE step AS (
    FROM m JOIN least USING (word)
    WHERE before IS DISTINCT FROM (best & 4294967295) AND depth < {rounds}))
 """
+#: Places are pairs of neighbours; ``stop`` is where the left token ends. A pair is safe if it will certainly be contracted
+#: as it stands: its rank is below its left neighbour's and not above its right one's (of a run of equal pairs every
+#: other one counts), no token of the vocabulary could take one of its parts first, and none could take the new token
+#: at a lower rank. Such tokens stand in the word (``spans``). One that takes a part ends where the left part ends and
+#: begins before the left neighbour does, or begins where the right part begins and ends after the right neighbour does.
+#: Then contractions before the pair's turn neither need its parts nor see a pair of the new token come first, so doing
+#: it at once changes nothing else. The leftmost minimum-rank pair is safe by
+#: definition, so is every pair of that rank, up to the first whose new token could merge at a lower rank.
 LONG_STEP = """
 WITH RECURSIVE step AS (
   SELECT word, pos, tok, 0 AS depth FROM start
   UNION ALL
   (WITH p AS MATERIALIZED (
-     SELECT word, pos, tok, depth, lag(tok) OVER w AS prev, lead(tok) OVER w AS next, lead(tok, 2) OVER w AS after, row_number() OVER w AS place
-     FROM step WINDOW w AS (PARTITION BY word ORDER BY pos)),
+     SELECT word, pos, tok, depth, lag(tok) OVER w AS prev, lead(tok) OVER w AS next, lead(tok, 2) OVER w AS after,
+            lag(pos) OVER w AS before, lead(pos) OVER w AS stop, coalesce(lead(pos, 2) OVER w, ends.stop) AS close, lead(pos, 3) OVER w AS beyond,
+            row_number() OVER w AS place
+     FROM step JOIN ends USING (word) WINDOW w AS (PARTITION BY word ORDER BY pos)),
    m AS MATERIALIZED (SELECT p.*, m.id FROM p LEFT JOIN merges m ON m.l = tok AND m.r = next),
    least AS (SELECT word, min(id) AS best FROM m WHERE id IS NOT NULL GROUP BY word),
-   hits AS MATERIALIZED (SELECT m.*, best, coalesce(id = best, false) AS hit FROM m JOIN least USING (word)),
-   runs AS (SELECT *, place - row_number() OVER (PARTITION BY word, hit ORDER BY pos) AS run FROM hits),
-   turns AS (SELECT *, hit AND row_number() OVER (PARTITION BY word, hit, run ORDER BY pos) % 2 = 1 AS turn FROM runs),
+   hits AS MATERIALIZED (
+     SELECT m.*, best, coalesce(id = best, false) AS hit, lag(id) OVER w AS left_id, lead(id) OVER w AS right_id
+     FROM m JOIN least USING (word) WINDOW w AS (PARTITION BY word ORDER BY pos)),
+   runs AS (SELECT *, sum((id IS DISTINCT FROM left_id)::INTEGER) OVER (PARTITION BY word ORDER BY pos) AS run FROM hits),
+   turns AS MATERIALIZED (
+     SELECT *, id IS NOT NULL AND row_number() OVER r % 2 = 1 AS turn, first_value(left_id) OVER r AS run_left
+     FROM runs WINDOW r AS (PARTITION BY word, run ORDER BY pos)),
+   taken AS (
+     SELECT t.pos FROM turns t JOIN spans s ON s.stop = t.stop WHERE turn AND s.pos < t.before AND s.id <= t.id
+     UNION SELECT t.pos FROM turns t JOIN spans s ON s.pos = t.stop WHERE turn AND s.stop > t.beyond AND s.id < t.id
+     UNION SELECT t.pos FROM turns t JOIN spans s ON s.stop = t.close WHERE turn AND s.pos < t.pos AND s.id < t.id
+     UNION SELECT t.pos FROM turns t JOIN spans s ON s.pos = t.pos WHERE turn AND s.stop > t.close AND s.id < t.id),
    risky AS (
-     SELECT t.*, t.turn AND (a.l IS NOT NULL OR b.l IS NOT NULL OR c.l IS NOT NULL) AS risk
-     FROM turns t LEFT JOIN early a ON a.l = prev AND a.r = best AND a.id < best
+     SELECT t.*, turn AND (taken.pos IS NOT NULL OR coalesce(run_left < t.id, false) OR coalesce(right_id < t.id, false)) AS bad,
+            turn AND hit AND (a.l IS NOT NULL OR b.l IS NOT NULL OR c.l IS NOT NULL) AS risk
+     FROM turns t LEFT JOIN taken ON taken.pos = t.pos
+                  LEFT JOIN early a ON a.l = prev AND a.r = best AND a.id < best
                   LEFT JOIN early b ON b.l = best AND b.r = after AND b.id < best
                   LEFT JOIN early c ON c.l = best AND c.r = best AND c.id < best),
    picked AS (
-     SELECT *, turn AND coalesce(sum(risk::INTEGER) OVER (PARTITION BY word ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS pick FROM risky),
+     SELECT *, turn AND (sum(bad::INTEGER) OVER (PARTITION BY word, run ORDER BY pos) = 0
+                         OR hit AND coalesce(sum(risk::INTEGER) OVER (PARTITION BY word ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0) AS pick
+     FROM risky),
    gone AS (SELECT *, lag(pick, 1, false) OVER (PARTITION BY word ORDER BY pos) AS gone FROM picked)
-   SELECT word, pos, CASE WHEN pick THEN best ELSE tok END, depth + 1 FROM gone WHERE NOT gone AND depth < {rounds}))
+   SELECT word, pos, CASE WHEN pick THEN id ELSE tok END, depth + 1 FROM gone WHERE NOT gone AND depth < {rounds}))
 """
 #: A word's rows at its last depth, and whether it may contract further.
 LAST = """
@@ -95,14 +119,17 @@ def merge_table(tokens: list[bytes]) -> np.ndarray:
 class Bpe:
     """Encoder and decoder of one task."""
 
-    def __init__(self, tokens: list[bytes], merges: np.ndarray, pattern: str):
+    def __init__(self, tokens: list[bytes], merges: np.ndarray, pattern: str, spill: str = ""):
+        """``spill``: a folder for what DuckDB cannot hold in memory; without one it fails there instead."""
         import duckdb
         import regex
 
         self.split: Callable[[str], list[str]] = regex.compile(pattern).findall
         self.ranks = {t: i for i, t in enumerate(tokens)}
+        self.sizes = np.array([len(t) for t in tokens], np.int32)
+        self.automaton = None
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": "1", "memory_limit": "250MB", "preserve_insertion_order": "false"})
+        self.db = duckdb.connect(config={"threads": "1", "memory_limit": "250MB", "preserve_insertion_order": "false", "temp_directory": f"{spill}/{uuid.uuid4().hex}" if spill else ""})
         #: Merges that rank below one of their parts.
         early = merges[(merges[:, 2] < merges[:, 0]) | (merges[:, 2] < merges[:, 1])]
         for name, rows in (("merges", merges), ("early", early)):
@@ -110,6 +137,21 @@ class Bpe:
         self._put("vocabulary", id=np.arange(len(tokens), dtype=np.int32), hex=pa.array([t.hex() for t in tokens], pa.string()))
         self.forget()
 
+    def tokens_in(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and id of every token of three bytes or more that stands in ``text``, overlapping ones included."""
+        if self.automaton is None:
+            import ahocorasick
+
+            self.automaton = ahocorasick.Automaton()
+            for token, rank in self.ranks.items():
+                if len(token) > 2:
+                    self.automaton.add_word(token.decode("latin-1"), rank)
+            self.automaton.make_automaton()
+        found = list(self.automaton.iter(text.decode("latin-1")))
+        ends = np.fromiter((e for e, _ in found), np.int32, len(found)) + 1
+        ids = np.fromiter((i for _, i in found), np.int32, len(found))
+        return (ends - self.sizes[ids]).astype(np.int32), ends, ids
+
     def forget(self) -> None:
         self.index: dict[str, int] = {}
         self.ids, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -126,7 +168,11 @@ class Bpe:
         done = [(np.flatnonzero(whole >= 0), whole[whole >= 0])]
         for step, chosen in ((SHORT_STEP, np.flatnonzero((whole < 0) & (size <= LONG_WORD))), (LONG_STEP, np.flatnonzero((whole < 0) & (size > LONG_WORD)))):
             for now in np.split(chosen, np.flatnonzero(np.diff(np.cumsum(size[chosen]) // START_ROWS)) + 1) if len(chosen) else []:
-                rows = (np.repeat(now.astype(np.int32), size[now]), np.arange(size[now].sum(), dtype=np.int32), self.byte[np.frombuffer(b"".join([words[i] for i in now.tolist()]), np.uint8)])
+                text = b"".join([words[i] for i in now.tolist()])
+                rows = (np.repeat(now.astype(np.int32), size[now]), np.arange(len(text), dtype=np.int32), self.byte[np.frombuffer(text, np.uint8)])
+                if step is LONG_STEP:
+                    self._put("spans", **dict(zip(("pos", "stop", "id"), self.tokens_in(text))))
+                    self._put("ends", word=now.astype(np.int32), stop=np.cumsum(size[now]).astype(np.int32))
                 while len(rows[0]):
                     self._put("start", word=rows[0], pos=rows[1], tok=rows[2])
                     got = self.db.execute((step + LAST).format(rounds=ROUNDS)).fetchnumpy()
@@ -192,13 +238,19 @@ def loaded(docs: DataFrame, path: str):
     return docs.sparkSession.sparkContext.broadcast((tokens, merge_table(tokens)))
 
 
+def spill_folder(docs: DataFrame) -> str:
+    """A folder in the shared one where that can be reached as a file; other schemes leave DuckDB without spilling."""
+    path = scratch_path(docs.sparkSession, "duckdb")
+    return path.removeprefix("file://").removeprefix("file:") if path.startswith(("/", "file:")) else ""
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: one row per row of ``docs``."""
-    given = loaded(docs, path)
+    given, spill = loaded(docs, path), spill_folder(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(*given.value, pattern)
+        bpe = Bpe(*given.value, pattern, spill)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             n, ids_sha, text_sha = [], [], []
@@ -214,11 +266,11 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def with_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids (array of int), round_trip (the ids decode to the text's bytes)."""
-    given = loaded(docs, path)
+    given, spill = loaded(docs, path), spill_folder(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(*given.value, pattern)
+        bpe = Bpe(*given.value, pattern, spill)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in pieces(texts):

@@ -4,21 +4,21 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tradesift.operators.dedup import shared_folder
+
 #: White space of every contract here: space and \x09-\x0D, nothing else.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Tables written in the current ``scratch`` block; own folders by application; folders that go with the application.
+#: Tables written in the current ``scratch`` block; folders that go with the application.
 _scratch: contextvars.ContextVar[list[str]] = contextvars.ContextVar("scratch", default=[])
-_own: dict[str, str] = {}
 _roots: set[str] = set()
 
 
@@ -48,14 +48,8 @@ def words_of(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of our own in local mode
-    (tests); a cluster without it is an error, since machine-local folders are lost with their machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _own.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='tradesift-')}")
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own in local mode (tests)."""
+    return shared_folder(spark)
 
 
 def unique() -> str:

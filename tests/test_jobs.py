@@ -48,8 +48,73 @@ def test_failed_model_is_retried(spark, tmp_path):
     assert [r.attempts for r in store.read("classify_retry").collect()] == [1]
     out = pipeline.run_news(news(spark, item), store, classify.RuleClassifier(), T0 + dt.timedelta(hours=1))
     assert out.funnel["alerted"] == 1 and store.read("classify_retry").count() == 0
-    assert pipeline.classifier_health(store, 1, 1, T0) == "warn" and pipeline.classifier_health(store, 1, 1, T0) is None
-    assert pipeline.classifier_health(store, 0, 1, T0) == "recovered"
+
+
+def test_health_messages(spark, tmp_path):
+    """One warning in the cool-down with up to three reasons, one message when it is back, none for a run without items."""
+    store = state.StateStore(spark, f"file://{tmp_path}")
+
+    def step(reasons, judged, minutes):
+        changes, message = pipeline.classifier_health(store, reasons, judged, 7, T0 + dt.timedelta(minutes=minutes))
+        if changes:
+            store.commit({"kv_state": store.values(changes)})
+        return message
+
+    first = step(["b", "a", "a", "c", "d"], 0, 0)
+    assert "7 item(s)" in first and first.endswith("- a\n- b\n- c")
+    assert step(["a"], 3, 30) is None and step([], 0, 40) is None
+    assert "back" in step([], 2, 45) and step([], 2, 50) is None
+    assert step(["a"], 0, 55) is not None
+
+
+def test_refused_alerts_are_due_again(spark, tmp_path):
+    store = state.StateStore(spark, f"file://{tmp_path}")
+    item = [("1", "press", "Acme promoter sells stake for ₹900 crore", "u1", "", "q")]
+    assert not pipeline.run_news(news(spark, item), store, classify.RuleClassifier(), T0, sink=lambda df: False).sent
+    assert store.read("items").count() == 0 and store.read("deals").count() == 0
+    assert pipeline.run_news(news(spark, item), store, classify.RuleClassifier(), T0, sink=lambda df: df.count() == 1).sent
+    assert store.read("items").count() == 1 and store.read("deals").count() == 1
+
+
+def test_market_caps_are_kept(spark, tmp_path):
+    """A quote is stored when it was asked for, and the second run, without quotes, finds it in the cache."""
+    store = state.StateStore(spark, f"file://{tmp_path}")
+    nse = spark.createDataFrame([("acme steel", "ACME.NS")], "name_key string, ticker string")
+    quotes = spark.createDataFrame([("ACME.NS", 5000.04), ("OTHER.NS", 1.0)], "ticker string, market_cap_cr double")
+    filing = lambda i: news(spark, [(i, "BSE", "Acme Steel: promoter sells 10% stake", f"u{i}", "", None)])
+    pipeline.run_news(filing("1"), store, classify.RuleClassifier(), T0, nse=nse, quotes=quotes)
+    assert [tuple(r)[:2] for r in store.read("market_caps").collect()] == [("ACME.NS", 5000.0)]
+    again = pipeline.run_news(filing("2"), store, classify.RuleClassifier(), T0 + dt.timedelta(days=1), nse=nse, quotes=quotes.limit(0))
+    assert again.funnel["bse_mcap_gated"] == 0 and store.read("market_caps").count() == 1
+
+
+def test_feedback_over_two_runs(spark, tmp_path):
+    store = state.StateStore(spark, f"file://{tmp_path}")
+    press = lambda i, data: (i, (data, ((99,),)))
+    kind = "update_id long, callback_query struct<data:string,message:struct<chat:struct<id:long>>>"
+    updates = spark.createDataFrame([press(5, "fb:3:useful"), press(6, "junk"), press(7, "fb:4:noise")], kind)
+    seen = []
+    assert pipeline.run_feedback(updates, store, T0, lambda *r: seen.append(r), dry=True).count() == 3 and not seen
+    pipeline.run_feedback(updates, store, T0, lambda *r: seen.append(r))
+    assert seen == [(5, "99", "useful"), (6, "99", None), (7, "99", "noise")]
+    assert sorted((r.id, r.deal_id, r.verdict) for r in store.read("feedback").collect()) == [(1, 3, "useful"), (2, 4, "noise")]
+    later = updates.unionByName(spark.createDataFrame([press(8, "fb:3:already_knew")], kind))
+    pipeline.run_feedback(later, store, T0)
+    assert store.get(pipeline.OFFSET) == "9" and store.read("feedback").count() == 3
+
+
+def test_backfill_and_broken_feeds(spark, tmp_path):
+    store = state.StateStore(spark, f"file://{tmp_path}")
+    broken = spark.createDataFrame([("x",)], "trade_date string").selectExpr("trade_date", *[f"raise_error('feed') AS {c}" if c == "symbol" else f"cast(null AS {t}) AS {c}" for c, t in (f.split() for f in schemas.TRADE.split(", ")[1:])])
+    pit = spark.createDataFrame([("2026-06-20", "ACME", "Acme Steel", "Ravi Kumar", "promoter", "market sale", 10.0)], schemas.DISCLOSURE)
+    assert pipeline.pit_days(store) == 90
+    none = pipeline.run_trades(None, pit.limit(0), store, classify.RuleClassifier(), T0)
+    assert none["errors"].count() == 0 and pipeline.pit_days(store) == 90
+    out = pipeline.run_trades(broken, pit, store, classify.RuleClassifier(), T0)
+    assert [r.stage for r in out["errors"].collect()] == ["trades"]
+    assert store.read("individual_sales").count() == 1 and pipeline.pit_days(store) == 7
+    assert pipeline.pit_window(store, T0) == (dt.date(2026, 6, 24), dt.date(2026, 7, 1))
+    assert [(r.person_key, r.n) for r in state.distinct_people(store.read("individual_sales")).collect()] == [("kumar ravi", 1)]
 
 
 def test_trades(spark, tmp_path):
@@ -78,3 +143,69 @@ def test_streams_equal_batches(spark, tmp_path):
     found = jobs.pattern_stream(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), "1 day", 90, 250, 2, 0.7, 2.0)
     found.writeStream.format("memory").queryName("patterns").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
     assert [(r.total_cr, r.n) for r in spark.table("patterns").collect()] == [(360.0, 3)]
+
+
+def test_news_stream_equals_batches(spark, tmp_path):
+    """Files one after another through the stream, and the same items at once: equal state, in order of arrival."""
+    import json
+    import os
+
+    from tradesift.streaming import jobs
+
+    titles = ["Acme promoter sells stake for ₹900 crore", "Acme promoter sells stake for ₹900 crore", "Beta founder sells shares worth ₹700 crore", "Acme promoter block deal worth ₹1,500 crore", "Gamma family sells stake for ₹800 crore"]
+    rows = [{"id": f"{9 - i}", "source": "press", "title": t, "url": f"u{i}", "description": "", "source_query": "q"} for i, t in enumerate(titles)]
+    os.makedirs(tmp_path / "in")
+    for i, part in enumerate((rows[:3], rows[3:])):
+        (tmp_path / "in" / f"{9 - i}.json").write_text("\n".join(map(json.dumps, part)))
+        os.utime(tmp_path / "in" / f"{9 - i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
+    one, two = (state.StateStore(spark, f"file://{tmp_path}/{k}") for k in "ab")
+    jobs.news_stream(spark, f"{tmp_path}/in", one, classify.RuleClassifier(), f"{tmp_path}/c", clock=lambda: T0).awaitTermination()
+    pipeline.run_news(news(spark, [tuple(r.values()) for r in rows]), two, classify.RuleClassifier(), T0)
+    for name, columns in {"deals": ("id", "company", "amount_cr", "url"), "deal_members": ("id", "deal_id", "url"), "title_dedup_log": ("id", "url"), "items": ("id", "title_norm")}.items():
+        a, b = (sorted(map(tuple, s.read(name).select(*columns).collect())) for s in (one, two))
+        assert a == b and a, name
+    assert [r.url for r in one.read("deal_members").orderBy("id").collect()][0] == "u0"
+
+
+def test_commits_are_whole(spark, tmp_path):
+    store = state.StateStore(spark, f"file://{tmp_path}")
+    row = lambda k: spark.createDataFrame([(k, "v")], schemas.STATE["kv_state"])
+    store.commit({"kv_state": row("a")})
+    broken = row("b").selectExpr("key", "raise_error('lost') AS value")
+    try:
+        store.commit({"classify_retry": spark.createDataFrame([], schemas.STATE["classify_retry"])}, {"kv_state": broken})
+    except Exception:
+        pass
+    assert [r.key for r in store.read("kv_state").collect()] == ["a"] and store.version("classify_retry") == 0
+    store.MOST_PARTS = 3
+    for k in "bcdef":
+        store.append("kv_state", row(k))
+    assert sorted(r.key for r in store.read("kv_state").collect()) == list("abcdef") and store.version("kv_state") == 6
+
+
+def test_session_warms_up_once():
+    import http.server
+    import threading
+
+    from tradesift.sources.session import Session
+
+    asked = []
+
+    class Site(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append((self.path, self.headers.get("Cookie")))
+            self.send_response(200)
+            self.send_header("Set-Cookie", "k=1")
+            self.end_headers()
+            self.wfile.write(b"ok")
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    home = f"http://127.0.0.1:{server.server_port}"
+    s = Session(f"{home}/", pause=0)
+    assert s.get(f"{home}/a") == s.get(f"{home}/b") == b"ok"
+    assert asked == [("/", None), ("/a", "k=1"), ("/b", "k=1")]
+    server.shutdown()

@@ -56,6 +56,14 @@ def test_title_dedup_matches_the_sequential_rule(spark):
     assert enforced <= shadow
 
 
+def test_copies_of_a_headline_add_no_rows(spark):
+    df = spark.range(10_000).selectExpr("id AS seq", "'Acme promoter sells big stake today' AS title", "'press' AS source")
+    none = spark.createDataFrame([], "title_norm string")
+    assert dedup.title_matches(dedup.prepared(df), none).count() == 1
+    for enforce in (False, True):
+        assert dedup.title_duplicates(df, none, replace(DEFAULT, enforce=enforce)).filter("is_duplicate").count() == 9_999
+
+
 def report(seq, company, amount, hours, **more):
     row = {"seq": seq, "title": company, "url": "", "source": "x", "company": company, "amount_cr": amount, "amount_raw": None, "individuals": [], "seller": None, "deal_type": "other", "confidence": "medium", "one_line": "", "size_source": "stated", "size_band": None, "confirmed": False, "at": T0 + dt.timedelta(hours=hours)}
     return row | more

@@ -10,15 +10,15 @@ VALUATION_WORDS = ("revenue", "turnover", "profit", "pat", "ebitda", "market cap
 STRUCTURAL_URLS = ("/liveblog/", "/stock-liveblog/", "/slideshow/", "/photostory/", "/videoshow/")
 STRUCTURAL_TITLES = ("share price live updates", "stock price live")
 DEDUP_EXEMPT_SOURCES = ("NSE", "BSE", "SEBI")
-DEDUP_STOPWORDS = tuple(
-    "promoter promoters sells sell sold sale stake shares share block bulk deal crore cr rs worth per cent buy buys acquires "
-    "acquired in for to of the a at via after as over likely".split()
-)
+DEDUP_STOPWORDS = (
+    "promoter", "promoters", "sells", "sell", "sold", "sale", "stake", "shares", "share", "block", "bulk", "deal", "crore", "cr", "rs", "worth",
+    "per", "cent", "buy", "buys", "acquires", "acquired", "in", "for", "to", "of", "the", "a", "at", "via", "after", "as", "over", "likely",
+)
 NORMALISE_STOPWORDS = ("private", "limited", "ltd", "pvt", "inc", "corp", "technologies", "industries", "enterprises")
-CLUSTER_STOPWORDS = tuple(
-    "private limited ltd pvt inc corp corporation technologies technology industries enterprises group holdings india company "
-    "co and the engineering services solutions".split()
-)
+CLUSTER_STOPWORDS = (
+    "private", "limited", "ltd", "pvt", "inc", "corp", "corporation", "technologies", "technology", "industries", "enterprises", "group", "holdings",
+    "india", "company", "co", "and", "the", "engineering", "services", "solutions",
+)
 TRAIL_MARKERS = ("formerly", "erstwhile", "a unit of", "division of", "arm of", "business of")
 PERSON_TITLES = ("mr", "mrs", "ms", "miss", "shri", "smt", "dr", "kum", "km", "late")
 INSTITUTION_KEYWORDS = (
@@ -54,11 +54,8 @@ RULE_LABELS = {
 }
 BAND_LABELS = {"100_TO_500": "Rs 100-500cr", "500_TO_2000": "Rs 500-2,000cr", "OVER_2000": "Rs 2,000cr+"}
 VERDICTS = ("useful", "already_knew", "noise")
-NEWS_QUERIES = (
-    "promoter stake sale crore India", "block deal promoter shares crore", "DRHP filed SEBI offer for sale",
-    "private equity acquires majority stake India crore", "promoter offloads stake crore", "founders sell shares IPO OFS crore",
-    "open offer acquisition promoter crore", "family office stake sale India crore", "plans IPO India crore", "appoints bankers IPO India",
-)
+#: What news searches ask for by default; a parameter of the readers, results do not depend on it.
+NEWS_QUERIES = ("promoter sells stake", "founder block deal", "family office sells shares", "offer for sale filing", "open offer promoter", "pre-IPO secondary sale")
 TRADE_DATE_FORMATS = ("d-MMM-yyyy", "d-M-yyyy", "yyyy-M-d")
 
 

@@ -11,12 +11,32 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradesift import schemas
 from tradesift.config import DEFAULT, Config
 from tradesift.functions import text
+from tradesift.operators import dedup, numbering
+
+
+#: What a model is told before the numbered items of a batch, and the form of its reply. Adapters put it before the texts.
+CONTRACT = {
+    "stage1": "For each numbered news item say whether it is certainly no share sale by an individual or a promoter family of an Indian company. "
+    "Classes of such items: 1 debt only, 2 insolvency, 3 state-owned seller, 4 sale of a subsidiary, 5 inside one group, 6 no Indian individual gains, "
+    "7 early funding round, 8 stated size under the threshold, 9 no transaction. "
+    'Reply with a JSON list, one object for each item and in its order: {"n": number, "neg": true or false, "r": class or null}.',
+    "stage2": "For each numbered news item decide whether an individual or a promoter family receives money for shares, and give its facts as the text states them; leave null what it does not state. "
+    'Reply with a JSON list, one object for each item and in its order: {"n", "qualify", "drop_reason", "company", "deal_type", "amount_cr" (crore rupees), "amount_raw" (as quoted), '
+    '"individuals" (list), "seller", "confidence" (high, medium, low), "one_line", "size_band" (UNDER_100, 100_TO_500, 500_TO_2000, OVER_2000, UNKNOWN), "size_basis"}.',
+    "sellers": "For each numbered name of a seller say whether it is a promoter or family vehicle, an institution, or unclear. "
+    'Reply with a JSON list, one object for each name and in its order: {"n", "name", "verdict": "promoter", "institution" or "unclear"}.',
+}
+
+
+def numbered_text(task: str, prompts: list[str]) -> str:
+    """The whole message to a model: the contract, then the items by number."""
+    return CONTRACT[task] + "\n\n" + "\n\n".join(f"[{n}] {p}" for n, p in enumerate(prompts, 1))
 
 
 class Classifier(Protocol):
@@ -59,9 +79,9 @@ def prompt(title: Column, description: Column, config: Config = DEFAULT) -> Colu
 
 
 def in_batches(items: DataFrame, order: list[str], size: int) -> DataFrame:
-    """With batch and place, by a total order. One ordered window: what reaches a model is a small share of the feed."""
-    n = F.row_number().over(Window.orderBy(*order)) - 1
-    return items.withColumn("batch", F.floor(n / size)).withColumn("place", (n % size).cast("int"))
+    """With batch and place, by a total order, numbered over ranges: no task holds all items."""
+    placed = numbering.numbered(items, [F.col(c) for c in order], dedup.cut, "_n")
+    return placed.withColumn("batch", F.floor(F.col("_n") / size)).withColumn("place", (F.col("_n") % size).cast("int")).drop("_n")
 
 
 def parse_array(reply: str, expected: int) -> list[dict]:
@@ -75,17 +95,23 @@ def parse_array(reply: str, expected: int) -> list[dict]:
     return [x if isinstance(x, dict) else {} for x in got[:expected]] + [{}] * (expected - len(got))
 
 
+def failure(error: Exception) -> str:
+    """What a warning says of a failed batch."""
+    return f"{type(error).__name__}: {error}"[:180]
+
+
 def ask(items: DataFrame, call: Callable[[list[str]], str], order: list[str], config: Config = DEFAULT) -> DataFrame:
-    """``items`` (with prompt) with reply (JSON of one object, or null) and failed. A failing batch fails all its items."""
+    """``items`` (with prompt) with reply (JSON of one object, or null), failed and reason (of the failure). A failing batch
+    fails all its items."""
     dealt = in_batches(items, order, config.batch_size)
-    schema = items.schema.simpleString()[len("struct<") : -1] + ",batch:bigint,place:int,reply:string,failed:boolean"
+    schema = items.schema.simpleString()[len("struct<") : -1] + ",batch:bigint,place:int,reply:string,failed:boolean,reason:string"
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
         try:
             answers = parse_array(call(rows["prompt"].tolist()), len(rows))
-            return rows.assign(reply=[json.dumps(a) for a in answers], failed=False)
-        except Exception:
-            return rows.assign(reply=None, failed=True)
+            return rows.assign(reply=[json.dumps(a) for a in answers], failed=False, reason=None)
+        except Exception as e:
+            return rows.assign(reply=None, failed=True, reason=failure(e))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Frames sorted by batch and place; a batch may run over two of them."""
@@ -134,17 +160,12 @@ def route_stage2(items: DataFrame) -> DataFrame:
     return items.withColumn("route", F.when(F.col("failed"), "retry").when(~F.col("result.qualify"), "suppress").otherwise("pass")).withColumn("rule", F.when(F.col("route") == "suppress", "Rule P"))
 
 
-def resolve_sellers(rows: DataFrame, name: str, call: Callable[[list[str]], str]) -> DataFrame:
-    """With seller_verdict for ambiguous names: each distinct name is asked once, in batches; unknown and failed are unclear."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            asked = f[name].tolist()
-            try:
-                said = [a.get("verdict") or "unclear" for a in parse_array(call(asked), len(asked))]
-            except Exception:
-                said = ["unclear"] * len(asked)
-            yield pd.DataFrame({name: asked, "seller_verdict": said})
-
-    asked = rows.filter("seller_class = 'ambiguous'").select(name).distinct().sort(name).mapInPandas(run, f"{name} string, seller_verdict string")
-    return rows.join(asked, name, "left").withColumn("seller_verdict", F.coalesce("seller_verdict", F.lit("unclear")))
+def resolve_sellers(rows: DataFrame, name: str, call: Callable[[list[str]], str], config: Config = DEFAULT) -> DataFrame:
+    """With seller_verdict for ambiguous names: each distinct name is asked once, ``config.batch_size`` at a time; names
+    that get no verdict, and those of a failing batch, are unclear."""
+    unclear = F.lit("unclear")
+    asked = rows.filter("seller_class = 'ambiguous'").select(F.col(name).alias("prompt")).filter("prompt IS NOT NULL").distinct()
+    told = ask(asked, call, ["prompt"], config)
+    verdict = F.from_json(F.concat(F.lit("["), F.col("reply"), F.lit("]")), "array<struct<verdict:string>>")[0]["verdict"]
+    told = told.select(F.col("prompt").alias(name), F.coalesce(F.nullif(verdict, F.lit("")), unclear).alias("seller_verdict"))
+    return rows.join(told, name, "left").withColumn("seller_verdict", F.coalesce("seller_verdict", unclear))

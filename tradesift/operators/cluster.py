@@ -126,9 +126,12 @@ def fold(deals: list[dict], reports: list[dict], config: Config = DEFAULT) -> li
 
 def cluster(reports: DataFrame, deals: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """DECISION for each report (of REPORT): the deal it belongs to (``d<id>`` open, ``r<seq>`` opened here), whether it
-    fires an alert, and the deal as it stands after it."""
+    fires an alert, and the deal as it stands after it. Deals older than the longer window at the first report cannot
+    match and take no part."""
     r = reports.withColumn("tokens", names.company_tokens(F.col("company")))
-    d = deals.withColumn("tokens", names.company_tokens(F.col("company")))
+    first = reports.agg(F.min(F.col("at").cast("timestamp"))).first()[0]
+    hours = max(config.name_window_hours, config.amount_window_hours)
+    d = deals.filter(F.col("created_at") >= F.lit(first).cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(hours))).withColumn("tokens", names.company_tokens(F.col("company")))
     label = components(r, d)
     one = r.select(F.concat(F.lit("r"), F.col("seq").cast("string")).alias("node"), F.lit("r").alias("side"), *REPORT_COLUMNS, "tokens")
     two = d.select(

@@ -31,6 +31,14 @@ def market_caps(items: DataFrame, cache: DataFrame, as_of: Column, quotes: DataF
     return found.join(quotes.select("ticker", F.bround("market_cap_cr", 1).alias("_q")), "ticker", "left").withColumn("market_cap_cr", F.coalesce("market_cap_cr", "_q")).drop("_q")
 
 
+def fetched(tickers: DataFrame, cache: DataFrame, as_of: Column, quotes: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """New rows of the cache: tickers (asked for in this run) that it had no fresh row of and that a quote was found for."""
+    asked = tickers.select("ticker").filter("ticker IS NOT NULL").distinct()
+    stale = state.lookup_fresh(asked, cache.select("ticker", "market_cap_cr", "fetched_at"), "ticker", as_of, config.mcap_ttl_days).filter("fetched_at IS NULL").select("ticker")
+    found = quotes.groupBy("ticker").agg(F.bround(F.max("market_cap_cr"), 1).alias("market_cap_cr")).filter("market_cap_cr IS NOT NULL")
+    return stale.join(found, "ticker").select("ticker", "market_cap_cr", as_of.alias("fetched_at"))
+
+
 def computed_size(mcap: Column, *texts: Column) -> Column:
     """struct(computed_cr, mcap_cr): stake percent times market cap, or the cap alone as a bound of what is plausible."""
     pct = text.stake_percent(F.concat_ws(" ", *texts))

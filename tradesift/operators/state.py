@@ -1,18 +1,22 @@
-"""State tables: pure functions (state, delta) -> new state, and a store of versioned Parquet folders with a pointer.
+"""State tables: pure functions (state, delta) -> new state, and a store of Parquet folders behind one pointer.
 
-A version is written beside the current one and then pointed at, so a reader never sees a half-written table and no
-query overwrites the path it reads."""
+A table is a list of folders: a base and what was appended since. New folders are written beside those in use, and one
+new pointer file then makes all tables of a commit current at once. A reader never sees a half-written table, no query
+overwrites the path it reads, and a run that dies before its commit leaves the state as it was."""
 
 from __future__ import annotations
 
+import functools
 import json
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradesift import schemas
 from tradesift.config import DEFAULT, Config
-from tradesift.operators.dedup import first_of
+from tradesift.operators import numbering
+from tradesift.operators.dedup import cut, first_of
 
 
 def insert_absent(state: DataFrame, delta: DataFrame, key: list[str], *order: Column) -> DataFrame:
@@ -66,6 +70,15 @@ def pending_retries(queue: DataFrame, items: DataFrame, stage: str) -> DataFrame
     return queue.filter(F.col("stage") == stage).join(items.withColumnRenamed("id", "item_id"), "item_id").orderBy("first_failed_at", "item_id")
 
 
+def queue_size(queue: DataFrame) -> int:
+    return queue.count()
+
+
+def distinct_people(sales: DataFrame) -> DataFrame:
+    """person_key, company_key, n: the people and companies that sales name, with how often each pair occurs."""
+    return sales.filter("person_key <> '' AND company_key <> ''").groupBy("person_key", "company_key").agg(F.count("*").alias("n"))
+
+
 def update_columns(state: DataFrame, delta: DataFrame, key: str, columns: list[str], as_of: Column) -> DataFrame:
     """Delta columns that are not null replace the state's; updated_at of touched rows is ``as_of``."""
     d = delta.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in columns])
@@ -75,10 +88,10 @@ def update_columns(state: DataFrame, delta: DataFrame, key: str, columns: list[s
 
 
 def with_ids(state: DataFrame, rows: DataFrame, *order: str) -> DataFrame:
-    """Rows numbered from the state's largest id on, densely and in order. Ids of a batch come from one ordered window:
-    batches are the size of one feed run."""
+    """Rows numbered from the state's largest id on, densely and in order."""
     top = state.agg(F.max("id")).first()[0] or 0
-    return rows.withColumn("id", F.row_number().over(Window.orderBy(*order)) + F.lit(top))
+    placed = numbering.numbered(rows, [F.col(c) for c in order], cut, "_place")
+    return placed.withColumn("id", (F.col("_place") + F.lit(top) + 1).cast("long")).drop("_place")
 
 
 def lookup_fresh(keys: DataFrame, cache: DataFrame, key: str, as_of: Column, ttl_days: int) -> DataFrame:
@@ -88,42 +101,91 @@ def lookup_fresh(keys: DataFrame, cache: DataFrame, key: str, as_of: Column, ttl
 
 
 class StateStore:
-    """Named tables under a root folder that all executors reach."""
+    """Named tables under a root folder that all executors reach. One writer at a time."""
+
+    #: Appended folders of a table, beyond which a commit writes it anew.
+    MOST_PARTS = 24
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _pointer(self, name: str):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/CURRENT")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+    def _files(self, path: str):
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
+
+    def _current(self) -> tuple[int, dict[str, list[str]]]:
+        """Number of the last commit, and the folders of each table."""
+        fs, folder = self._files(f"{self.root}/commits")
+        if not fs.exists(folder):
+            return 0, {}
+        numbers = [int(f.getPath().getName()) for f in fs.listStatus(folder) if f.getPath().getName().isdigit()]
+        if not numbers:
+            return 0, {}
+        top = max(numbers)
+        return top, json.loads(self.spark.read.text(f"{self.root}/commits/{top}", wholetext=True).first()[0])
 
     def version(self, name: str) -> int:
-        fs, path = self._pointer(name)
-        if not fs.exists(path):
-            return 0
-        return json.loads(self.spark.read.text(path.toString(), wholetext=True).first()[0])["version"]
+        """Folders that the table has had so far; 0 for a table never written."""
+        parts = self._current()[1].get(name)
+        return int(parts[-1].rsplit("-", 1)[1]) if parts else 0
 
     def read(self, name: str) -> DataFrame:
-        v = self.version(name)
-        return schemas.conform(self.spark.read.parquet(f"{self.root}/{name}/v{v}"), schemas.STATE[name]) if v else schemas.empty(self.spark, name)
+        parts = self._current()[1].get(name)
+        if not parts:
+            return schemas.empty(self.spark, name)
+        tables = [schemas.conform(self.spark.read.parquet(f"{self.root}/{p}"), schemas.STATE[name]) for p in parts]
+        return functools.reduce(DataFrame.unionByName, tables)
+
+    def commit(self, replaced: dict[str, DataFrame], added: dict[str, DataFrame] | None = None) -> int:
+        """All tables of both at once: ``replaced`` anew, ``added`` as further rows. The new commit's number."""
+        number, tables = self._current()
+        run = uuid.uuid4().hex[:8]
+
+        def folder(name: str) -> str:
+            return f"{name}/{run}-{self._next(tables.get(name))}"
+
+        now = dict(tables)
+        for name, df in replaced.items():
+            now[name] = [self._put(folder(name), name, df)]
+        for name, df in (added or {}).items():
+            if name in replaced:
+                raise ValueError(f"{name} is both replaced and appended to")
+            parts = tables.get(name, [])
+            if len(parts) >= self.MOST_PARTS:
+                now[name] = [self._put(folder(name), name, self.read(name).unionByName(schemas.conform(df, schemas.STATE[name])))]
+            else:
+                now[name] = [*parts, self._put(folder(name), name, df)]
+        fs, draft = self._files(f"{self.root}/commits/.{number + 1}-{run}")
+        out = fs.create(draft, True)
+        out.write(bytearray(json.dumps(now).encode()))
+        out.close()
+        if not fs.rename(draft, self._files(f"{self.root}/commits/{number + 1}")[1]):
+            raise RuntimeError("another writer has committed")
+        return number + 1
+
+    @staticmethod
+    def _next(parts: list[str] | None) -> int:
+        return int(parts[-1].rsplit("-", 1)[1]) + 1 if parts else 1
+
+    def _put(self, folder: str, name: str, df: DataFrame) -> str:
+        schemas.conform(df, schemas.STATE[name]).write.parquet(f"{self.root}/{folder}")
+        return folder
 
     def write(self, name: str, df: DataFrame) -> int:
-        """The new version's number, once it is complete and current."""
-        v = self.version(name) + 1
-        schemas.conform(df, schemas.STATE[name]).write.mode("overwrite").parquet(f"{self.root}/{name}/v{v}")
-        fs, path = self._pointer(name)
-        out = fs.create(path, True)
-        out.write(bytearray(json.dumps({"version": v}).encode()))
-        out.close()
-        return v
+        self.commit({name: df})
+        return self.version(name)
 
     def append(self, name: str, rows: DataFrame) -> int:
-        return self.write(name, self.read(name).unionByName(schemas.conform(rows, schemas.STATE[name])))
+        self.commit({}, {name: rows})
+        return self.version(name)
 
     def get(self, key: str) -> str | None:
         row = self.read("kv_state").filter(F.col("key") == key).select("value").first()
         return row[0] if row else None
 
+    def values(self, changes: dict[str, str]) -> DataFrame:
+        """kv_state with ``changes``, for a commit together with other tables."""
+        return upsert(self.read("kv_state"), self.spark.createDataFrame(list(changes.items()), schemas.STATE["kv_state"]), ["key"])
+
     def put(self, key: str, value: str) -> None:
-        self.write("kv_state", upsert(self.read("kv_state"), self.spark.createDataFrame([(key, value)], schemas.STATE["kv_state"]), ["key"]))
+        self.commit({"kv_state": self.values({key: value})})

@@ -1,23 +1,27 @@
 """The two jobs end to end: news and filings, and confirmed trades with split-up patterns.
 
 Each is a function of its input, the state store, the classifier, an explicit ``as_of`` and a config. State is committed
-at the end, after the sink took the alerts; a dry run commits nothing."""
+at the end, all tables at once, after the sink took the alerts: if the sink refuses or the run dies, the same items are
+due again. A dry run commits nothing."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradesift import schemas
 from tradesift.config import DEFAULT, Config
-from tradesift.functions import format, names, text
-from tradesift.operators import classify, cluster, dedup, filters, sales, sizing, state
+from tradesift.functions import dates, format, names, text
+from tradesift.operators import classify, cluster, dedup, filters, numbering, sales, sizing, state
+from tradesift.sources import feeds
 
 Sink = Callable[[DataFrame], bool]
+#: Takes a message to the operator.
+Notify = Callable[[str], None]
 
 
 @dataclass
@@ -27,6 +31,7 @@ class Outcome:
     sizes: dict[str, int] = field(default_factory=dict)
     failed: int = 0
     sent: bool = False
+    health: str | None = None
 
 
 def _suppressed(df: DataFrame, rule: Column, gate: str, at: Column, amount: Column | None = None) -> DataFrame:
@@ -47,14 +52,17 @@ def run_news(
     mode: str = "fast",
     dry: bool = False,
     limit: int | None = None,
+    notify: Notify | None = None,
 ) -> Outcome:
-    """``items``: of schemas.ITEM with seq (feed order). ``nse``/``bse``: of sizing.ticker_map."""
+    """``items``: of schemas.ITEM with seq (dense, in feed order). ``nse``/``bse``: of sizing.ticker_map. ``notify`` gets the
+    warning when the classifier goes down and the message when it is back."""
     spark, at, out = items.sparkSession, F.lit(as_of).cast("timestamp"), Outcome()
     no_map = spark.createDataFrame([], "name_key string, ticker string")
     nse, bse = nse if nse is not None else no_map, bse if bse is not None else no_map
     hold = dedup.cut  # each stage is stored once: no model is asked twice, plans stay small, a lost executor costs little
 
-    writes: dict[str, DataFrame] = {}
+    writes: dict[str, DataFrame] = {}  # tables written anew
+    adds: dict[str, DataFrame] = {}  # rows appended
     known = hold(store.read("items"))
     valid = hold(items.filter(F.coalesce("id", F.lit("")) != ""))
     queries = valid.filter(F.coalesce("source_query", F.lit("")) != "").select(F.col("id").alias("item_id"), F.col("source_query").alias("query"), at.alias("created_at"))
@@ -65,20 +73,23 @@ def run_news(
     live = hold(live)
     history = known.filter(F.col("fetched_at") >= at - F.make_dt_interval(F.lit(0), F.lit(config.dedup_hours))).select("title_norm")
     judged = hold(dedup.title_duplicates(live, history, config))
-    writes["items"] = known.unionByName(schemas.conform(judged, schemas.STATE["items"]))
+    adds["items"] = judged
     dup = judged.filter("is_duplicate")
-    writes["title_dedup_log"] = state.with_ids(store.read("title_dedup_log"), dup.select("title", "url", "matched_title", "similarity", at.alias("created_at"), "seq"), "seq")
+    adds["title_dedup_log"] = state.with_ids(store.read("title_dedup_log"), dup.select("title", "url", "matched_title", "similarity", at.alias("created_at"), "seq"), "seq")
     candidates = judged.filter("NOT is_duplicate") if config.enforce else judged
     company = F.when(F.col("source") == "BSE", F.split_part("title", F.lit(":"), F.lit(1)))
     capped = sizing.market_caps(sizing.resolve_tickers(candidates, company, nse, bse), store.read("market_caps"), at, quotes, config).withColumn("small", filters.filing_mcap_gate(F.col("source"), F.col("market_cap_cr"), config))
-    capped = hold(capped.drop("ticker"))
+    capped = hold(capped)
+    asked_tickers = capped.select("ticker")
+    capped = capped.drop("ticker")
     big, mcap_log = filters.apply_gate(capped, "small", "bse_mcap", F.col("market_cap_cr"), at, config)
     gated = hold(big.drop("market_cap_cr").withColumn("stated_low", filters.amount_gate(F.col("title"), F.col("description"), config)))
     ready, amount_log = filters.apply_gate(gated, "stated_low", "pre_api_amount", F.lit("below threshold"), at, config)
     # The retry queue joins again at the stage it failed at.
     queue = store.read("classify_retry")
     expired, queue = state.expire_retries(queue, known, at, config)
-    again = lambda stage: state.pending_retries(queue, known, stage).select(F.col("item_id").alias("id"), "source", "title", "url", "description", (F.xxhash64("item_id").bitwiseOR(1 << 62)).alias("seq"))
+    # Behind all items of the run, the longest waiting first.
+    again = lambda stage: numbering.numbered(state.pending_retries(queue, known, stage), [F.col("first_failed_at"), F.col("item_id")], hold).select(F.col("item_id").alias("id"), "source", "title", "url", "description", (F.col("place") + (1 << (40 if stage == "stage1" else 41))).alias("seq"))
     slim = ["id", "source", "title", "url", "description", "seq"]
     ready = ready.select(*slim)
     prompted = lambda df: df.withColumn("prompt", classify.prompt(F.col("title"), F.col("description"), config))
@@ -92,6 +103,8 @@ def run_news(
     sized = sizing.market_caps(sizing.resolve_tickers(passed, F.col("company"), nse, bse), store.read("market_caps"), at, quotes, config)
     sized = sized.withColumn("size", F.when(F.col("amount_cr").isNull(), sizing.computed_size(F.col("market_cap_cr"), F.col("title"), F.col("description"))))
     final = hold(sizing.size_gates(sized, config))
+    if quotes is not None:
+        adds["market_caps"] = sizing.fetched(asked_tickers.unionByName(final.select("ticker")), store.read("market_caps"), at, quotes, config)
     deals = store.read("deals")
     reports = final.filter("rule IS NULL").select(
         "seq", "title", "url", "source", F.coalesce(F.nullif("company", F.lit("")), "title").alias("company"), "amount_cr", "amount_raw", "individuals", "seller", "deal_type", "confidence", "one_line",
@@ -101,11 +114,11 @@ def run_news(
     new_deals, members, alerts = deal_changes(reports, decided, deals, at)
     new_deals, members = hold(new_deals), hold(members)
     writes["deals"] = new_deals
-    writes["deal_members"] = store.read("deal_members").unionByName(state.with_ids(store.read("deal_members"), members, "seq").select("id", "deal_id", "title", "url", "attached_at"))
+    adds["deal_members"] = state.with_ids(store.read("deal_members"), members, "seq")
     # Every named individual of a firing deal is a sale of its own.
     firing = decided.filter("fires").select("seq", "company", "individuals", "amount_cr")
     people = sales.sales_of_deal(firing).select((F.col("seq") * 1000 + F.row_number().over(_by("seq"))).alias("seq"), "person_name", "company", "company_key", F.lit(None).cast("string").alias("trade_date"), "value_cr")
-    writes["individual_sales"] = recorded_sales(store, people, "news", at)
+    adds["individual_sales"] = recorded_sales(store.read("individual_sales"), people, "news", at)
     low = F.lit("Rule 8")
     dropped = [
         _suppressed(capped.filter("small"), F.lit("Rule M"), "pre-api", at) if config.enforce else None,
@@ -116,31 +129,42 @@ def run_news(
         _suppressed(expired, F.lit("Rule X"), "retry-expired", at),
     ]
     rows = dedup_union([d for d in dropped if d is not None])
-    writes["suppressed"] = store.read("suppressed").unionByName(state.with_ids(store.read("suppressed"), rows, "title", "url", "rule").select(*store.read("suppressed").columns))
+    adds["suppressed"] = state.with_ids(store.read("suppressed"), rows, "title", "url", "rule")
     logs = dedup_union([noise_log, mcap_log, amount_log])
-    writes["prefilter_shadow"] = store.read("prefilter_shadow").unionByName(state.with_ids(store.read("prefilter_shadow"), logs, "filter", "url").select(*store.read("prefilter_shadow").columns))
+    adds["prefilter_shadow"] = state.with_ids(store.read("prefilter_shadow"), logs, "filter", "url")
     failures = routed1.filter("failed").select(F.col("id").alias("item_id"), F.lit("stage1").alias("stage")).unionByName(routed2.filter("failed").select(F.col("id").alias("item_id"), F.lit("stage2").alias("stage")))
     succeeded = routed1.filter("NOT failed").select(F.col("id").alias("item_id")).unionByName(routed2.filter("NOT failed").select(F.col("id").alias("item_id"))).join(failures.select("item_id"), "item_id", "left_anti")
-    writes["classify_retry"] = state.delete_keys(state.enqueue_retries(queue, failures, at), succeeded, ["item_id"])
+    left = hold(state.delete_keys(state.enqueue_retries(queue, failures, at), succeeded, ["item_id"]))
+    writes["classify_retry"] = left
 
-    count = lambda df: df.count()
     out.alerts = hold(alerts.orderBy("seq").limit(limit) if limit is not None else alerts.orderBy("seq"))
-    out.funnel = {
-        "fetched": count(valid), "already_seen": count(valid) - count(fresh), "structural_dropped": count(marked.filter("noise")), "title_deduped": count(dup), "bse_mcap_gated": count(capped.filter("small")),
-        "pre_api_gated": count(gated.filter("stated_low")), "reached_stage1": count(asked1), "reached_stage2": count(asked2), "alerted": count(out.alerts),
-    }
+    n = counts({
+        "fetched": valid, "fresh": fresh, "structural_dropped": marked.filter("noise"), "title_deduped": dup, "bse_mcap_gated": capped.filter("small"), "pre_api_gated": gated.filter("stated_low"),
+        "reached_stage1": asked1, "reached_stage2": asked2, "alerted": out.alerts, "failed": failures, "judged": succeeded, "held": left,
+    })
+    out.funnel = {"fetched": n["fetched"], "already_seen": n["fetched"] - n["fresh"]} | {k: n[k] for k in ("structural_dropped", "title_deduped", "bse_mcap_gated", "pre_api_gated", "reached_stage1", "reached_stage2", "alerted")}
     out.sizes = {r["size_source"]: r["count"] for r in final.filter("rule IS NULL").groupBy("size_source").count().collect()}
-    out.failed = count(failures)
-    out.sent = True if dry or sink is None else sink(out.alerts)
-    if not dry:
+    out.failed = n["failed"]
+    reasons = asked1.select("reason").unionByName(asked2.select("reason")).filter("reason IS NOT NULL").agg(F.slice(F.array_sort(F.collect_set("reason")), 1, 3)).first()[0]
+    changes, out.health = classifier_health(store, reasons if n["failed"] else [], n["judged"], n["held"], as_of, config)
+    out.sent = True if dry or sink is None else bool(sink(out.alerts))
+    if not dry and out.sent:
         run = spark.createDataFrame([{"mode": mode, **out.funnel}], "mode string, " + ", ".join(f"{k} long" for k in out.funnel)).withColumn("created_at", at)
-        writes["funnel_runs"] = store.read("funnel_runs").unionByName(schemas.conform(state.with_ids(store.read("funnel_runs"), run, "mode"), schemas.STATE["funnel_runs"]))
-        writes["title_dedup_log"] = store.read("title_dedup_log").unionByName(writes["title_dedup_log"].select(*store.read("title_dedup_log").columns))
-        for name, df in writes.items():
-            store.write(name, df)
+        adds["funnel_runs"] = state.with_ids(store.read("funnel_runs"), run, "mode")
+        if changes:
+            writes["kv_state"] = store.values(changes)
+        store.commit(writes, adds)
+    if out.health and notify is not None and not dry:
+        notify(out.health)
     return out
 
 
+def counts(frames: dict[str, DataFrame]) -> dict[str, int]:
+    """Rows of each frame, in one job."""
+    found = dedup_union([df.select(F.lit(name).alias("stage")) for name, df in frames.items()]).groupBy("stage").count().collect()
+    return dict.fromkeys(frames, 0) | {r["stage"]: r["count"] for r in found}
+
+
 def _by(column: str):
     from pyspark.sql import Window
 
@@ -174,17 +198,17 @@ def deal_changes(reports: DataFrame, decided: DataFrame, deals: DataFrame, at: C
     return old.unionByName(schemas.conform(created, schemas.STATE["deals"])), members, alerts.select("seq", "deal_id", "is_update", "company", "amount_cr", "note", "text")
 
 
-def recorded_sales(store: state.StateStore, rows: DataFrame, source: str, at: Column) -> DataFrame:
-    """individual_sales with ``rows`` (seq, person_name, company, company_key, trade_date, value_cr) added, people resolved."""
-    before = store.read("individual_sales")
+def recorded_sales(before: DataFrame, rows: DataFrame, source: str, at: Column) -> DataFrame:
+    """``rows`` (seq, person_name, company, company_key, trade_date, value_cr) as new rows of individual_sales ``before``,
+    people resolved."""
     resolved = cluster.resolve_people(rows, before)
     numbered = state.with_ids(before, resolved.withColumn("source", F.lit(source)).withColumn("created_at", at), "seq")
-    return before.unionByName(schemas.conform(numbered, schemas.STATE["individual_sales"]))
+    return schemas.conform(numbered, schemas.STATE["individual_sales"])
 
 
 def run_trades(
-    trades: DataFrame,
-    disclosures: DataFrame,
+    trades: DataFrame | None,
+    disclosures: DataFrame | None,
     store: state.StateStore,
     model: classify.Classifier,
     as_of: datetime,
@@ -192,18 +216,30 @@ def run_trades(
     config: Config = DEFAULT,
     dry: bool = False,
 ) -> dict[str, DataFrame]:
-    """confirmed: alert texts of large single trades; patterns: of split-up sales. ``trades``: of schemas.TRADE,
-    ``disclosures``: of schemas.DISCLOSURE. Trades are marked seen and recorded whatever their size."""
+    """confirmed: alert texts of large single trades; patterns: of split-up sales; errors: stage, reason. ``trades``: of
+    schemas.TRADE, ``disclosures``: of schemas.DISCLOSURE, None for a feed that was not read. A feed that fails while it is
+    read counts as empty, and the others go on. Trades are marked seen and recorded whatever their size. What a sink
+    refuses is due again: of confirmed trades the whole run, of patterns their alerts."""
     at = F.lit(as_of).cast("timestamp")
-    hold, seen = dedup.cut, store.read("items")
-    as_items = lambda df, id_: dedup.unseen(df.withColumn("id", id_).withColumn("fetched_at", at).withColumn("seq", F.xxhash64("id")), seen)
-    t, d = hold(as_items(trades, sales.trade_id())), hold(as_items(disclosures, sales.disclosure_id()))
+    spark = store.spark
+    hold, seen, errors = dedup.cut, store.read("items"), {}
+
+    def new_rows(stage: str, feed: DataFrame | None, ddl: str, id_: Column, first: int) -> DataFrame:
+        """Rows not seen before, numbered by day of trade and then by id."""
+        given = feed if feed is not None else spark.createDataFrame([], ddl)
+        rows = lambda df: numbering.numbered(dedup.unseen(df.withColumn("id", id_).withColumn("fetched_at", at), seen, order=("id",)), [dates.parse_trade_date(F.col("trade_date")), F.col("id")], hold)
+        return isolated(stage, lambda: hold(rows(given).withColumn("seq", F.col("place") + first).drop("place")), lambda: hold(rows(spark.createDataFrame([], ddl)).withColumn("seq", F.col("place")).drop("place")), errors)
+
+    t = new_rows("trades", trades, schemas.TRADE, sales.trade_id(), 0)
+    d = new_rows("disclosures", disclosures, schemas.DISCLOSURE, sales.disclosure_id(), 1 << 40)
     chosen = sales.selected_trades(t, model.sellers)
     rows = chosen.select("seq", F.col("client_name").alias("person_name"), F.col("security_name").alias("company"), "trade_date", "value_cr", "deal_type", "exchange", "quantity", "price").unionByName(
         sales.selected_disclosures(d).select("seq", "person_name", "company", "trade_date", "value_cr", F.lit("PIT disclosure").alias("deal_type"), F.lit("NSE").alias("exchange"), F.lit(None).cast("double").alias("quantity"), F.lit(None).cast("double").alias("price"))
     )
     rows = hold(rows.withColumn("company_key", names.deal_key(F.col("company"))))
-    total = hold(recorded_sales(store, rows.select("seq", "person_name", "company", "company_key", "trade_date", "value_cr"), "confirmed", at))
+    before = store.read("individual_sales")
+    recorded = hold(recorded_sales(before, rows.select("seq", "person_name", "company", "company_key", "trade_date", "value_cr"), "confirmed", at))
+    total = before.unionByName(recorded)
     deals = store.read("deals")
     reports = rows.filter(F.col("value_cr") >= config.threshold).select(
         "seq", F.concat("company", F.lit(" "), "deal_type").alias("title"), F.lit("").alias("url"), F.col("exchange").alias("source"), "company", F.col("value_cr").alias("amount_cr"), F.lit(None).cast("string").alias("amount_raw"),
@@ -214,41 +250,80 @@ def run_trades(
     new_deals, members, _ = deal_changes(reports, decided, deals, at)
     fired = decided.filter("fires").select("seq", (~F.col("is_new")).alias("is_update")).join(rows, "seq")
     confirmed = fired.withColumn("text", format.confirmed_alert({"security_name": F.col("company"), "client_name": F.col("person_name")} | {c: F.col(c) for c in ("is_update", "deal_type", "value_cr", "quantity", "price", "trade_date", "exchange")})).select("seq", "company", "value_cr", "is_update", "text")
-    found = sales.patterns(total, store.read("pattern_alerts"), at, config=config)
-    pattern = found.withColumn("text", format.pattern_alert(F.col("person_name"), F.col("company"), F.col("total_cr"), F.col("sales"), F.col("weeks")))
-    out = {"confirmed": hold(confirmed), "patterns": hold(pattern)}
-    if not dry:
-        if sink is not None:  # confirmed trades are recorded whether or not the sink took them
-            sink(out["confirmed"])
-        sent = sink is None or sink(out["patterns"])
-        writes = {
-            "items": seen.unionByName(schemas.conform(t.select("id", "fetched_at").unionByName(d.select("id", "fetched_at")), schemas.STATE["items"])),
-            "individual_sales": total,
-            "deals": new_deals,
-            "deal_members": store.read("deal_members").unionByName(state.with_ids(store.read("deal_members"), members, "seq").select("id", "deal_id", "title", "url", "attached_at")),
-        }
-        if sent:  # what was not sent is due again
-            fresh = out["patterns"].select("person_key", "company_key", "total_cr", at.alias("alerted_at"))
-            writes["pattern_alerts"] = store.read("pattern_alerts").unionByName(state.with_ids(store.read("pattern_alerts"), fresh, "person_key", "company_key").select("id", "person_key", "company_key", "total_cr", "alerted_at"))
-        for name, df in writes.items():
-            store.write(name, df)
+    pattern_columns = "person_key string, company_key string, total_cr double, n long, text string"
+
+    def pattern() -> DataFrame:
+        found = sales.patterns(total, store.read("pattern_alerts"), at, config=config)
+        return hold(found.withColumn("text", format.pattern_alert(F.col("person_name"), F.col("company"), F.col("total_cr"), F.col("sales"), F.col("weeks"))))
+
+    out = {"confirmed": hold(confirmed), "patterns": isolated("patterns", pattern, lambda: spark.createDataFrame([], pattern_columns), errors)}
+    out["errors"] = spark.createDataFrame(list(errors.items()), "stage string, reason string")
+    if dry or not (sink is None or sink(out["confirmed"])):
+        return out
+    writes = {"deals": new_deals}
+    adds = {"items": t.select("id", "fetched_at").unionByName(d.select("id", "fetched_at")), "individual_sales": recorded, "deal_members": state.with_ids(store.read("deal_members"), members, "seq")}
+    if not store.get(BACKFILLED) and not d.isEmpty():
+        writes["kv_state"] = store.values({BACKFILLED: "1"})
+    store.commit(writes, adds)
+    # Alerts of patterns are recorded after the sink took them.
+    if "patterns" not in errors and (sink is None or sink(out["patterns"])):
+        fresh = out["patterns"].select("person_key", "company_key", "total_cr", at.alias("alerted_at"))
+        store.append("pattern_alerts", state.with_ids(store.read("pattern_alerts"), fresh, "person_key", "company_key"))
     return out
 
 
+def isolated(stage: str, make: Callable[[], DataFrame], fallback: Callable[[], DataFrame], errors: dict[str, str]) -> DataFrame:
+    """What ``make`` gives, or the fallback and an entry in ``errors``: one broken stage does not stop the others."""
+    try:
+        return make()
+    except Exception as e:
+        errors[stage] = classify.failure(e)
+        return fallback()
+
+
+BACKFILLED, OFFSET = "pit_backfilled", "feedback_offset"
+FAILING, WARNED = "classifier_failing", "classifier_warned_at"
+
+
 def pit_days(store: state.StateStore, config: Config = DEFAULT) -> int:
     """The long look-back until a first run has brought data."""
-    return config.pit_days if store.get("pit_backfilled") else config.pit_backfill_days
-
-
-def classifier_health(store: state.StateStore, failed: int, asked: int, as_of: datetime, config: Config = DEFAULT) -> str | None:
-    """warn (at most once in the cool-down), recovered (after a real success that follows a warning), or None."""
-    last = store.get("classifier_warned_at")
-    if failed:
-        if last and (as_of - datetime.fromisoformat(last)).total_seconds() < config.warn_cooldown_minutes * 60:
-            return None
-        store.put("classifier_warned_at", as_of.isoformat())
-        return "warn"
-    if last and asked:
-        store.put("classifier_warned_at", "")
-        return "recovered"
-    return None
+    return config.pit_days if store.get(BACKFILLED) else config.pit_backfill_days
+
+
+def pit_window(store: state.StateStore, as_of: datetime, config: Config = DEFAULT) -> tuple[date, date]:
+    """First and last day of disclosures that a run asks for."""
+    return as_of.date() - timedelta(days=pit_days(store, config)), as_of.date()
+
+
+def classifier_health(store: state.StateStore, reasons: list[str], judged: int, held: int, as_of: datetime, config: Config = DEFAULT) -> tuple[dict[str, str], str | None]:
+    """(changes of kv_state, message or None): a warning at most once in the cool-down, with up to three reasons of failures
+    and the number of items held; and one message when something was judged again."""
+    if not reasons:
+        back = judged and store.get(FAILING) == "1"
+        return ({FAILING: "0", WARNED: ""}, "Classifier is back. Held items are being processed again.") if back else ({}, None)
+    last = store.get(WARNED)
+    if last and (as_of - datetime.fromisoformat(last)).total_seconds() < config.warn_cooldown_minutes * 60:
+        return {FAILING: "1"}, None
+    lines = "\n".join(f"- {r}" for r in sorted(set(reasons))[:3])
+    return {FAILING: "1", WARNED: as_of.isoformat()}, f"Classifier unavailable. {held} item(s) are held and will be asked again; none is sent unclassified.\n{lines}"
+
+
+#: Marks a rated message: ``None`` for a press that could not be read.
+Acknowledge = Callable[[int, str | None, str | None], None]
+
+
+def run_feedback(updates: DataFrame, store: state.StateStore, as_of: datetime, acknowledge: Acknowledge | None = None, dry: bool = False) -> DataFrame:
+    """Button presses since the last run (update_id, chat_id, deal_id, verdict): verdicts are stored together with the next
+    offset, then each press is acknowledged (update_id, chat_id, verdict). A dry run only shows them. An acknowledgement
+    that fails is not tried again; the verdict stands."""
+    presses = dedup.cut(feeds.callbacks(updates, int(store.get(OFFSET) or 0) - 1))
+    if dry or presses.isEmpty():
+        return presses
+    at = F.lit(as_of).cast("timestamp")
+    rated = presses.filter("verdict IS NOT NULL AND deal_id IS NOT NULL").withColumn("created_at", at)
+    last = presses.agg(F.max("update_id")).first()[0]
+    store.commit({"kv_state": store.values({OFFSET: str(last + 1)})}, {"feedback": state.with_ids(store.read("feedback"), rated, "update_id")})
+    if acknowledge is not None:  # as many as people pressed since the last run
+        for r in presses.orderBy("update_id").toLocalIterator():
+            acknowledge(r["update_id"], r["chat_id"], r["verdict"])
+    return presses

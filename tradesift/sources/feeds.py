@@ -4,13 +4,14 @@ them. Malformed parts become empty rows' absence, never an error."""
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradesift import schemas
 from tradesift.config import LISTING_KEYWORDS, NEWS_QUERIES, PIT_FIELDS
+from tradesift.functions import dates
 from tradesift.functions.text import number
 from tradesift.operators import filters
 
@@ -108,6 +109,19 @@ def disclosures(rows: DataFrame, column: str = "value") -> DataFrame:
     return kept.select("trade_date", "symbol", F.coalesce("company", "symbol").alias("company"), "person_name", F.lower("category").alias("category"), F.lower("trans_type").alias("trans_type"), F.bround(number(F.col("value")) / 1e7, 3).alias("value_cr"))
 
 
+def read_disclosures(spark: SparkSession, path: str, first: date, last: date) -> DataFrame:
+    """Landed disclosures (JSON lines) of trades from ``first`` to ``last``. Days that cannot be read stay."""
+    rows = disclosures(spark.read.text(path))
+    day = dates.parse_trade_date(F.col("trade_date"))
+    return rows.filter(day.isNull() | day.between(F.lit(first), F.lit(last)))
+
+
+def press(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
+    """All press feeds as one: ``folders`` maps a feed's name to where its documents have landed, one a file. Items carry
+    the feed's name as source."""
+    return union_all([rss(spark.read.text(path, wholetext=True), name) for name, path in folders.items()])
+
+
 def read_master(spark: SparkSession, path: str, id_col: str) -> DataFrame:
     """A ticker master CSV with a header: the id column and name."""
     return spark.read.schema(f"{id_col} string, name string").option("header", True).csv(path)

@@ -13,17 +13,42 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tradesift import schemas
 from tradesift.config import DEFAULT, Config
-from tradesift.operators import classify, dedup, state
+from tradesift.operators import classify, dedup, numbering, state
 from tradesift.plans import pipeline
 
 
-def news_stream(spark: SparkSession, landing: str, store: state.StateStore, model: classify.Classifier, checkpoint: str, sink: pipeline.Sink | None = None, clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc), config: Config = DEFAULT) -> StreamingQuery:
-    """New files of JSON items go through the news job, batch by batch; offsets live in the checkpoint."""
-    items = spark.readStream.schema(schemas.ITEM).json(landing)
+def landed(items: DataFrame) -> DataFrame:
+    """Items of files with what ``in_arrival_order`` needs."""
+    return items.select("*", F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start").alias("_file"))
+
+
+def in_arrival_order(items: DataFrame) -> DataFrame:
+    """A batch of landed items, as read, with seq: dense numbers by the time their file landed, its name, and their place
+    in it."""
+    placed = items.withColumn("_row", F.monotonically_increasing_id())
+    return numbering.numbered(placed, [F.col("_file"), F.col("_row")], dedup.cut, "seq").drop("_file", "_row")
+
+
+def news_stream(
+    spark: SparkSession,
+    landing: str,
+    store: state.StateStore,
+    model: classify.Classifier,
+    checkpoint: str,
+    sink: pipeline.Sink | None = None,
+    clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc),
+    config: Config = DEFAULT,
+    notify: pipeline.Notify | None = None,
+) -> StreamingQuery:
+    """New files of JSON items go through the news job, batch by batch; offsets live in the checkpoint. A batch that the
+    sink refuses fails, so it is run again with the next start."""
+    items = landed(spark.readStream.schema(schemas.ITEM).json(landing))
 
     def batch(df: DataFrame, epoch: int) -> None:
         if not df.isEmpty():
-            pipeline.run_news(df.withColumn("seq", F.xxhash64("id").bitwiseAND((1 << 40) - 1)), store, model, clock(), sink, config=config)
+            done = pipeline.run_news(in_arrival_order(df), store, model, clock(), sink, config=config, notify=notify)
+            if not done.sent:
+                raise RuntimeError(f"batch {epoch}: the sink did not take the alerts")
 
     return items.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -79,9 +104,7 @@ def pattern_stream(sales: DataFrame, late: str, days: int, least: float, min_n:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or a temporary one where it is unset."""
-    import tempfile
+    """A new folder that driver and executors share."""
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tradesift-')}"
-    return f"{root.rstrip('/')}/tradesift/{what}-{uuid.uuid4().hex}"
+    return f"{dedup.shared_folder(spark)}/tradesift/{what}-{uuid.uuid4().hex}"

@@ -219,6 +219,17 @@ def test_expected_copies_over_all_offsets(spark):
     assert all(abs(total[i] / 8 - rates[i]) < 0.6 for i in rates)
 
 
+def test_pipeline_of_awkward_rows(spark, docs, empty, tmp_path):
+    """Null, empty, very long and repeated texts, null and repeated ids, columns of the operators' own names; an empty table."""
+    prose = "the cat sat on the mat and it was not the end of all that a reader of {} would like to see in a book of {}"
+    good = spark.createDataFrame([(None, prose.format("one", "trees"), "a", "k", 1, "r", 7), (3, prose.format("ships", "iron"), None, None, None, None, None)] * 2, SCHEMA)
+    docs.unionByName(good).write.parquet(f"{tmp_path}/some/documents.parquet")
+    empty.write.parquet(f"{tmp_path}/none/documents.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
+    assert out and all(r.round_trip for r in out) and {r.doc_id for r in out} <= {None, 3, 5} and max(Counter(r.doc_id for r in out).values()) <= 4
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_pipeline_equals_its_stages(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     columns = docs.columns

@@ -61,6 +61,7 @@ def test_bpe_query(docs, empty, library):
     assert got == sorted(want, key=repr)
     assert bpe.encode(empty, RANKS, P.PATTERN).count() == 0
     assert all(r.round_trip for r in bpe.with_ids(docs, RANKS, P.PATTERN).collect())
+    assert bpe.with_ids(empty, RANKS, P.PATTERN).collect() == []
 
 
 @settings(max_examples=60, deadline=None)
@@ -341,6 +342,16 @@ def test_urls(spark):
     assert {r.verdict for r in url_filter.filter_urls(df, []).collect()} == {"allow"}
 
 
+def test_url_rows_and_columns(spark):
+    """Repeated rows give equal rows; columns of any name are left alone; many rules share one index."""
+    rows = [(1, "http://a.example.com/en/7", "x", "y")] * 3 + [(None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, host string, verdict string")
+    assert Counter(map(tuple, url_filter.filter_urls(df).collect())) == {(1, "a.example.com", "/en/7", "example.com/en/7", "allow"): 3, (None, "", "", None, "allow"): 1}
+    many = [("block", f"h{i}.example", f"/p{i % 7}/") for i in range(5000)]
+    df = spark.createDataFrame([(i, f"https://www.h{i}.example/p{i % 5}/x") for i in range(200)], "page_id long, url string")
+    assert {r.page_id for r in url_filter.filter_urls(df, many).filter("verdict = 'block'").collect()} == {i for i in range(200) if i % 7 == i % 5}
+
+
 def test_long_hosts(tmp_path):
     """A host of any number of labels costs no more than the longest rule."""
     path = tmp_path / "i.bin"

@@ -61,19 +61,38 @@ def _path(spark: SparkSession, path: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
-def scratch_path(spark: SparkSession, what: str) -> str:
-    """A new folder for a table of this application. The enclosing ``scratch`` block deletes it; what is written outside
-    of any block goes when the application ends."""
+def app_root(spark: SparkSession) -> str:
+    """This application's folder in the shared one; it goes when the application ends."""
     root = f"{shared_dir(spark)}/tradesift/{spark.sparkContext.applicationId}"
     if root not in _roots:
         _roots.add(root)
         fs, target = _path(spark, root)
         fs.deleteOnExit(target)
-    path = f"{root}/{what}-{unique()}"
+    return root
+
+
+def scratch_path(spark: SparkSession, what: str) -> str:
+    """A new folder for a table of this application. The enclosing ``scratch`` block deletes it, or the end of the
+    application."""
+    path = f"{app_root(spark)}/{what}-{unique()}"
     _scratch.get().append(path)
     return path
 
 
+def put_file(spark: SparkSession, name: str, data: bytes) -> str:
+    """A file in this application's folder: written beside its name, then renamed, so it is whole where it can be seen."""
+    path = f"{app_root(spark)}/files/{name}"
+    fs, target = _path(spark, path)
+    if not fs.exists(target):
+        _, draft = _path(spark, f"{path}-{unique()}")
+        out = fs.create(draft, True)
+        out.write(bytearray(data))
+        out.close()
+        if not fs.rename(draft, target) and not fs.exists(target):
+            raise OSError(f"could not write {path}")
+    return path
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor costs nothing written."""
     spark = df.sparkSession

@@ -14,9 +14,7 @@ and url are read.
 from __future__ import annotations
 
 import hashlib
-import os
 import struct
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradesift.llm.common import ascii_lower
+from tradesift.llm.common import ascii_lower, put_file
 
 #: Rules of the contract: verdict, host, path.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -105,11 +103,7 @@ def ship(spark: SparkSession, rules: Iterable[tuple[str, str, str]]) -> str:
     """The index file's name, once it is on its way to the executors. Equal rules share one file."""
     data = pack(rules)
     name = f"url-rules-{hashlib.sha256(data).hexdigest()[:32]}.bin"
-    path = os.path.join(tempfile.gettempdir(), name)
-    if not os.path.exists(path):
-        with open(path, "wb") as f:
-            f.write(data)
-    spark.sparkContext.addFile(path)
+    spark.sparkContext.addFile(put_file(spark, name, data))
     return name
 
 

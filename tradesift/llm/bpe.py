@@ -28,9 +28,9 @@ from tradesift.llm.common import scratch_path, text_of
 
 LONG_WORD = 48
 ROUNDS = 64
-START_ROWS = 300_000
+START_ROWS = 200_000
 #: Characters that are encoded at a time, ids that are decoded at a time, and words that a task remembers.
-CHARS, IDS, REMEMBERED = 2_000_000, 1_000_000, 300_000
+CHARS, IDS, REMEMBERED = 1_000_000, 400_000, 200_000
 
 #: Positions are unique over all words of a query, so one order serves every word.
 SHORT_STEP = """
@@ -129,7 +129,7 @@ class Bpe:
         self.sizes = np.array([len(t) for t in tokens], np.int32)
         self.automaton = None
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": "1", "memory_limit": "250MB", "preserve_insertion_order": "false", "temp_directory": f"{spill}/{uuid.uuid4().hex}" if spill else ""})
+        self.db = duckdb.connect(config={"threads": "1", "memory_limit": "200MB", "preserve_insertion_order": "false", "temp_directory": f"{spill}/{uuid.uuid4().hex}" if spill else ""})
         #: Merges that rank below one of their parts.
         early = merges[(merges[:, 2] < merges[:, 0]) | (merges[:, 2] < merges[:, 1])]
         for name, rows in (("merges", merges), ("early", early)):

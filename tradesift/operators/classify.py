@@ -80,7 +80,7 @@ def prompt(title: Column, description: Column, config: Config = DEFAULT) -> Colu
 
 def in_batches(items: DataFrame, order: list[str], size: int) -> DataFrame:
     """With batch and place, by a total order, numbered over ranges: no task holds all items."""
-    placed = numbering.numbered(items, [F.col(c) for c in order], dedup.cut, "_n")
+    placed = numbering.numbered(items, [F.col(c) for c in order], dedup.stored, "_n")
     return placed.withColumn("batch", F.floor(F.col("_n") / size)).withColumn("place", (F.col("_n") % size).cast("int")).drop("_n")
 
 

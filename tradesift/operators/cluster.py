@@ -42,24 +42,27 @@ def open_matches(reports: DataFrame, deals: DataFrame, config: Config = DEFAULT)
     their time window, so a token that most names have does not pair them all up."""
     r = reports.select("seq", names.company_tokens(F.col("company")).alias("tokens"), "amount_cr", F.col("at").cast("timestamp").alias("at"))
     d = deals.select(F.col("id").alias("deal_id"), names.company_tokens(F.col("company")).alias("deal_tokens"), F.col("amount_cr").alias("deal_amount"), F.col("created_at").cast("timestamp").alias("created_at"))
-    hour = lambda c: F.unix_micros(c) / 3.6e9
-    rt = r.select("seq", hour(F.col("at")).alias("h"), "amount_cr", F.explode("tokens").alias("token"))
-    dt = d.select("deal_id", hour(F.col("created_at")).alias("h"), F.col("deal_amount").alias("amount_cr"), F.explode("deal_tokens").alias("token"))
-    frequency = rt.select("token").unionByName(dt.select("token")).groupBy("token").agg(F.count("*").alias("df"))
-    rare = lambda t, key: t.join(frequency, "token").groupBy(key, "h").agg(F.min_by("token", F.struct("df", "token")).alias("token"))
+    # Rarest tokens are found once for each name, however many reports carry it.
+    sets = r.select("tokens").unionByName(d.select(F.col("deal_tokens").alias("tokens"))).groupBy("tokens").agg(F.count("*").alias("n"))
+    spread = sets.select("tokens", "n", F.explode("tokens").alias("token"))
+    rare = spread.join(spread.groupBy("token").agg(F.sum("n").alias("df")), "token").groupBy("tokens").agg(F.min_by("token", F.struct("df", "token")).alias("token"))
+    rt, dt = r.withColumn("token", F.explode("tokens")), d.withColumn("token", F.explode("deal_tokens"))
+    age = names.age_hours(F.col("created_at"), F.col("at"))
+    ok = (age >= 0) & names.names_match(F.col("tokens"), F.col("deal_tokens"), F.col("amount_cr"), F.col("deal_amount"), age, config)
 
     def pairs(x: DataFrame, y: DataFrame, hours: int, *keys: str) -> DataFrame:
-        """Of reports ``x`` and deals ``y`` with equal keys; a deal also meets the reports of the next bucket."""
-        late = y.withColumn("k", F.explode(F.array(F.floor(F.col("h") / hours), F.floor(F.col("h") / hours) + 1))).select("deal_id", "k", *keys)
-        return x.withColumn("k", F.floor(F.col("h") / hours)).select("seq", "k", *keys).join(late, ["k", *keys]).select("seq", "deal_id")
-
-    step = F.floor(F.ln("amount_cr") / -F.ln(F.lit(1 - config.amount_tolerance)))
-    known = lambda t: t.filter("amount_cr > 0")
-    by_amount = pairs(known(rt).withColumn("step", step), known(dt).withColumn("step", F.explode(F.array(step - 1, step, step + 1))), config.amount_window_hours, "token", "step")
-    candidates = pairs(rare(rt, "seq"), dt, config.name_window_hours, "token").unionByName(pairs(rt, rare(dt, "deal_id"), config.name_window_hours, "token")).unionByName(by_amount).distinct()
-    age = names.age_hours(F.col("created_at"), F.col("at"))
-    ok = candidates.join(r, "seq").join(d, "deal_id").filter((age >= 0) & names.names_match(F.col("tokens"), F.col("deal_tokens"), F.col("amount_cr"), F.col("deal_amount"), age, config))
-    return ok.groupBy("seq").agg(F.max_by("deal_id", F.struct("created_at", "deal_id")).alias("deal_id"))
+        """Matches among reports ``x`` and deals ``y`` with equal keys; a deal also meets the reports of the next bucket."""
+        bucket = lambda c: F.floor(F.unix_micros(c) / (3.6e9 * hours))
+        late = y.withColumn("k", F.explode(F.array(bucket("created_at"), bucket("created_at") + 1)))
+        return x.withColumn("k", bucket("at")).join(late, ["k", *keys]).filter(ok).select("seq", "deal_id", "created_at")
+
+    step = lambda c: F.floor(F.ln(c) / -F.ln(F.lit(1 - config.amount_tolerance)))
+    near = F.explode(F.array(*(step("deal_amount") + i for i in (-1, 0, 1))))
+    by_amount = pairs(rt.filter("amount_cr > 0").withColumn("step", step("amount_cr")), dt.filter("deal_amount > 0").withColumn("step", near), config.amount_window_hours, "token", "step")
+    within = pairs(rt, d.join(rare.withColumnRenamed("tokens", "deal_tokens"), "deal_tokens"), config.name_window_hours, "token")
+    around = pairs(r.join(rare, "tokens"), dt, config.name_window_hours, "token")
+    # A pair that is met in several ways counts once in a maximum.
+    return within.unionByName(around).unionByName(by_amount).groupBy("seq").agg(F.max_by("deal_id", F.struct("created_at", "deal_id")).alias("deal_id"))
 
 
 def components(reports: DataFrame, deals: DataFrame) -> DataFrame:

@@ -178,17 +178,11 @@ def seller_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy(names.seller_class(F.concat_ws(" ", "p_name", "p_type")).alias("seller_class")).agg(F.count("*").alias("n"))
 
 
-def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of number 1, as reports on companies. Several lines of an order may have that number and share its seq, as in
-    the SQL; ``open_deal_matches_all`` takes every line."""
-    line = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1")
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as reports on companies. A line is known by all of its columns, so only lines that agree in each are one."""
+    line = table(spark, sf_dir, "lineitem")
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws(" ", "p_name", "p_brand").alias("company"))
-    r = line.join(part, "l_partkey").select(F.col("l_orderkey").alias("seq"), "company", F.col("l_extendedprice").alias("amount_cr"), instant("l_shipdate").alias("at"))
-    none = lambda kind: F.lit(None).cast(kind)
-    return r.select(
-        "seq", F.col("company").alias("title"), F.lit("").alias("url"), F.lit("x").alias("source"), "company", "amount_cr", none("string").alias("amount_raw"), F.array().cast("array<string>").alias("individuals"), none("string").alias("seller"),
-        F.lit("other").alias("deal_type"), F.lit("medium").alias("confidence"), F.lit("").alias("one_line"), F.lit("stated").alias("size_source"), none("string").alias("size_band"), F.lit(False).alias("confirmed"), "at",
-    )
+    return line.join(part, "l_partkey").select(F.struct(*line.columns).alias("seq"), "company", F.col("l_extendedprice").alias("amount_cr"), instant("l_shipdate").alias("at"))
 
 
 def _open_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,36 +196,28 @@ def _open_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH d AS (SELECT id, company, amount_cr, TIMESTAMP '1997-03-01' + to_days((id % 400)::INTEGER) AS created_at FROM (
         SELECT s_suppkey AS id, 'part ' || s_name AS company, s_acctbal AS amount_cr FROM supplier
         UNION ALL SELECT p_partkey + 1000000, p_name || ' ' || p_brand, p_retailprice * 20 FROM part)),
-    r AS (SELECT l_orderkey AS seq, p_name || ' ' || p_brand AS company, l_extendedprice AS amount_cr, l_shipdate AS seen FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1),
+    r AS (SELECT l, p_name || ' ' || p_brand AS company, l.l_extendedprice AS amount_cr, l.l_shipdate::TIMESTAMP AS seen FROM (SELECT DISTINCT lineitem AS l FROM lineitem) JOIN part ON l.l_partkey = p_partkey),
     dt AS (SELECT *, list_filter(regexp_split_to_array(lower(company), '[^a-z0-9]+'), lambda w: length(w) > 1) AS t FROM d),
     rt AS (SELECT *, list_filter(regexp_split_to_array(lower(company), '[^a-z0-9]+'), lambda w: length(w) > 1) AS t FROM r),
-    m AS (SELECT seq, dt.id, created_at FROM rt JOIN dt ON list_has_any(rt.t, dt.t) AND (
-        (epoch_us(seen) - epoch_us(created_at) BETWEEN 0 AND 72 * 3600000000 AND (list_has_all(rt.t, dt.t) OR list_has_all(dt.t, rt.t)))
-        OR (epoch_us(seen) - epoch_us(created_at) BETWEEN 0 AND 168 * 3600000000 AND rt.amount_cr > 0 AND dt.amount_cr > 0 AND abs(rt.amount_cr - dt.amount_cr) <= 0.05 * greatest(rt.amount_cr, dt.amount_cr))))
-    SELECT seq, arg_max(id, (created_at, id)) AS deal_id FROM m GROUP BY 1
+    w AS (SELECT l, seen, rt.t AS t, dt.t AS u, rt.amount_cr AS a, dt.amount_cr AS b, dt.id, created_at FROM rt JOIN dt ON seen >= created_at AND seen <= created_at + INTERVAL 168 HOURS),
+    m AS (SELECT l, id, created_at FROM w WHERE list_has_any(t, u) AND (
+        (seen <= created_at + INTERVAL 72 HOURS AND (list_has_all(t, u) OR list_has_all(u, t))) OR (a > 0 AND b > 0 AND abs(a - b) <= 0.05 * greatest(a, b)))),
+    f AS (SELECT l, arg_max(id, (created_at, id)) AS deal_id FROM m GROUP BY 1)
+    SELECT unnest(l), deal_id FROM f
     """
 )
 def open_deal_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.open_matches(_reports(spark, sf_dir), _open_deals(spark, sf_dir))
-
-
-@query()
-def open_deal_matches_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of every line: a line is known by all of its columns, so only lines that agree in each are one report."""
-    line = table(spark, sf_dir, "lineitem")
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws(" ", "p_name", "p_brand").alias("company"))
-    r = line.join(part, "l_partkey").select(F.struct(*line.columns).alias("seq"), "company", F.col("l_extendedprice").alias("amount_cr"), instant("l_shipdate").alias("at"))
-    return cluster.open_matches(r, _open_deals(spark, sf_dir)).select("seq.*", "deal_id")
+    """For every line the newest deal that it matches."""
+    return cluster.open_matches(_lines(spark, sf_dir), _open_deals(spark, sf_dir)).select("seq.*", "deal_id")
 
 
 @query()
 def cluster_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event user's reports against no open deals: the ordered fold in components of shared tokens."""
     e = table(spark, sf_dir, "events")
-    r = _reports(spark, sf_dir).limit(0)
     named = e.select(F.col("event_id").alias("seq"), F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("company"), F.col("value").alias("amount_cr"), instant("ts").alias("at"))
     full = schemas.conform(named.withColumn("confirmed", F.lit(False)).withColumn("individuals", F.array().cast("array<string>")), cluster.REPORT)
-    return cluster.cluster(r.unionByName(full), schemas.empty(spark, "deals")).select("seq", "deal_ref", "is_new", "fires", "note", "amount_cr")
+    return cluster.cluster(full, schemas.empty(spark, "deals")).select("seq", "deal_ref", "is_new", "fires", "note", "amount_cr")
 
 
 @query(
@@ -503,24 +489,30 @@ def size_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- text
 
-HEADLINE = "string_split(coalesce(text, ''), chr(10))[1]"
-TITLE = f"trim(regexp_replace(regexp_replace(lower(regexp_replace(trim({HEADLINE}), '\\s+-\\s+[^-]+$', '')), '[^\\pL\\pN_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+TITLE = "trim(regexp_replace(regexp_replace(lower(regexp_replace(trim(title), '\\s+-\\s+[^-]+$', '')), '[^\\pL\\pN_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 STOP = "('promoter','promoters','sells','sell','sold','sale','stake','shares','share','block','bulk','deal','crore','cr','rs','worth','per','cent','buy','buys','acquires','acquired','in','for','to','of','the','a','at','via','after','as','over','likely')"
 
 
+#: Every line of every text, numbered from zero.
+LINES = "h AS (SELECT doc_id, unnest(range(len(l))) AS line, unnest(l) AS title FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))"
+
+
 def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)).alias("title"))
+    """Each line of each text as a headline; seq: texts in order of id, their lines in order."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "title"))
+    return lines.select((F.col("doc_id") * 2**31 + F.col("line")).cast("long").alias("seq"), "doc_id", F.col("line").cast("long").alias("line"), "title", F.lit("press").alias("source"))
 
 
-@query(f"SELECT doc_id, {TITLE} AS title_norm FROM documents")
+@query(f"WITH {LINES} SELECT doc_id, line, {TITLE} AS title_norm FROM h")
 def normalise_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return headlines(spark, sf_dir).select("doc_id", text.normalise_title(F.col("title")).alias("title_norm"))
+    return headlines(spark, sf_dir).select("doc_id", "line", text.normalise_title(F.col("title")).alias("title_norm"))
 
 
 @query(
     f"""
-    WITH t AS (SELECT DISTINCT list_sort(list_distinct(list_filter(string_split({TITLE}, ' '), lambda w: w <> '' AND w NOT IN {STOP}))) AS t FROM documents),
-    p AS (SELECT a.t AS a, b.t AS b, len(list_intersect(a.t, b.t)) AS n FROM t a JOIN t b ON a.t < b.t AND len(a.t) > 0 AND len(b.t) > 0)
+    WITH {LINES}, t AS (SELECT DISTINCT list_sort(list_distinct(list_filter(string_split({TITLE}, ' '), lambda w: w <> '' AND w NOT IN {STOP}))) AS t FROM h),
+    s AS (SELECT t, len(t) AS c FROM t WHERE len(t) > 0),
+    p AS (SELECT a.t AS a, b.t AS b, len(list_intersect(a.t, b.t)) AS n FROM s a JOIN s b ON b.c > 0.85 * a.c AND b.c < a.c / 0.85 WHERE a.t < b.t)
     SELECT array_to_string(a, ' ') AS a, array_to_string(b, ' ') AS b, n / (len(a) + len(b) - n) AS similarity FROM p WHERE n / (len(a) + len(b) - n) > 0.85
     """
 )
@@ -529,20 +521,22 @@ def title_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.similar_sets(t, 0.85).select(F.array_join("a", " ").alias("a"), F.array_join("b", " ").alias("b"), "similarity")
 
 
-@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(string_split({TITLE}, ' '), lambda w: w <> '' AND w NOT IN {STOP}))), ' ') AS tokens FROM documents")
+@query(f"WITH {LINES} SELECT doc_id, line, array_to_string(list_sort(list_distinct(list_filter(string_split({TITLE}, ' '), lambda w: w <> '' AND w NOT IN {STOP}))), ' ') AS tokens FROM h")
 def title_near_dup_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The token set of each document, as ``title_near_dup`` names it."""
-    return headlines(spark, sf_dir).select("doc_id", F.array_join(text.title_tokens(text.normalise_title(F.col("title"))), " ").alias("tokens"))
+    """The token set of each line, as ``title_near_dup`` names it."""
+    return headlines(spark, sf_dir).select("doc_id", "line", F.array_join(text.title_tokens(text.normalise_title(F.col("title"))), " ").alias("tokens"))
 
 
 @query(
     f"""
-    WITH t AS (SELECT doc_id AS seq, {TITLE} AS n FROM documents),
+    WITH {LINES}, t AS (SELECT (doc_id, line) AS seq, {TITLE} AS n FROM h),
     e AS (SELECT seq, n, list_sort(list_distinct(list_filter(string_split(n, ' '), lambda w: w <> '' AND w NOT IN {STOP}))) AS t FROM t WHERE n <> ''),
     u AS (SELECT t, min(seq) AS first FROM e WHERE len(t) > 0 GROUP BY 1),
-    x AS (SELECT a.t, min(b.first) AS first FROM u a JOIN u b ON len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) > 0.85 GROUP BY 1),
+    s AS (SELECT t, len(t) AS c, first FROM u),
+    p AS (SELECT b.t AS b, a.first AS a1, a.c + b.c AS c, len(list_intersect(a.t, b.t)) AS n FROM s a JOIN s b ON b.c > 0.85 * a.c AND b.c < a.c / 0.85 WHERE a.first < b.first),
+    x AS (SELECT t, min(first) AS first FROM (SELECT t, first FROM s UNION ALL SELECT b, a1 FROM p WHERE n / (c - n) > 0.85) GROUP BY 1),
     m AS (SELECT n, min(seq) AS first FROM e GROUP BY 1)
-    SELECT seq, coalesce(m.first < seq, false) OR coalesce(x.first < seq, false) AS is_duplicate FROM t LEFT JOIN e USING (seq) LEFT JOIN m ON m.n = e.n LEFT JOIN x ON x.t = e.t
+    SELECT seq[1] AS doc_id, seq[2] AS line, coalesce(m.first < seq, false) OR coalesce(x.first < seq, false) AS is_duplicate FROM t LEFT JOIN e USING (seq) LEFT JOIN m ON m.n = e.n LEFT JOIN x ON x.t = e.t
     """
 )
 def title_dedup_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -550,15 +544,13 @@ def title_dedup_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from tradesift.config import DEFAULT
 
-    batch = headlines(spark, sf_dir).select(F.col("doc_id").alias("seq"), "title", F.lit("press").alias("source"))
     history = spark.createDataFrame([], "title_norm string")
-    return dedup.title_duplicates(batch, history, replace(DEFAULT, enforce=False)).select("seq", "is_duplicate")
+    return dedup.title_duplicates(headlines(spark, sf_dir), history, replace(DEFAULT, enforce=False)).select("doc_id", "line", "is_duplicate")
 
 
 @query()
 def title_dedup_enforce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batch = headlines(spark, sf_dir).select(F.col("doc_id").alias("seq"), "title", F.lit("press").alias("source"))
-    return dedup.title_duplicates(batch, spark.createDataFrame([], "title_norm string")).select("seq", "is_duplicate", "matched_title", "similarity")
+    return dedup.title_duplicates(headlines(spark, sf_dir), spark.createDataFrame([], "title_norm string")).select("doc_id", "line", "is_duplicate", "matched_title", "similarity")
 
 
 @query("SELECT o_orderkey, o_orderkey % 500 + 0.25::DOUBLE AS stated, o_orderkey % 500 < 250 AS fires FROM orders")
@@ -831,27 +823,14 @@ def pending_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.pending_retries(queue, items, "stage2").select("item_id", "value")
 
 
-@query(
-    """
-    SELECT event_id AS id, user_id AS deal_id, event_type AS verdict, c_name AS company FROM events LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON c_custkey = user_id
-    WHERE ts >= TIMESTAMP '2024-01-30' - INTERVAL 14 DAYS
-    """
-)
-def feedback_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feedback of the last two weeks with its deals, deals that are gone included."""
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("deal_id"), F.col("event_type").alias("verdict"), instant("ts").alias("created_at"))
-    deals = schemas.conform(table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("company")), schemas.STATE["deals"])
-    return reports.feedback_rows(e, deals, at("2024-01-30")).select("id", "deal_id", "verdict", "company")
-
-
 @query(
     """
     SELECT event_id AS id, user_id AS deal_id, event_type AS verdict, c_name AS company FROM events LEFT JOIN customer ON c_custkey = user_id
     WHERE ts >= TIMESTAMP '2024-01-30' - INTERVAL 14 DAYS
     """
 )
-def feedback_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with every customer."""
+def feedback_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feedback of the last two weeks with its deals."""
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("deal_id"), F.col("event_type").alias("verdict"), instant("ts").alias("created_at"))
     deals = schemas.conform(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("company")), schemas.STATE["deals"])
     return reports.feedback_rows(e, deals, at("2024-01-30")).select("id", "deal_id", "verdict", "company")

@@ -13,6 +13,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -98,6 +99,15 @@ def test_many_contractions_in_a_step(seed, monkeypatch):
     assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [naive(ranks, w.encode()) for w in words]
 
 
+@pytest.mark.parametrize("texts", [[], [""], ["", "", ""], ["abc", "", "de", "f" * 9, "g", "é" * 4, "h"]])
+@pytest.mark.parametrize("chars", [1, 4, 100])
+def test_pieces_hold_every_text(texts, chars):
+    got = list(bpe.pieces(pa.array(["x", *texts], pa.string()).slice(1), chars))
+    assert [t for _, piece in got for t in piece] == texts
+    assert [a for a, _ in got] == [sum(len(p) for _, p in got[:k]) for k in range(len(got))]
+    assert all(sum(map(len, p)) <= chars or sum(map(bool, p)) == 1 for _, p in got)
+
+
 @pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "ACGT", "abcXYZ019+/", "a"])
 def test_long_words(coder, library, letters):
     """Words of 100,000 characters, in seconds."""

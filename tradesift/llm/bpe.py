@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -220,16 +221,17 @@ class Bpe:
         return [b"".join(p) for p in parts]
 
 
-def pieces(texts: list[str], chars: int = CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of ``texts`` of about ``chars`` characters, one text at least."""
+def pieces(texts: pa.Array, chars: int = CHARS) -> Iterator[tuple[int, list[str]]]:
+    """First row and texts of ranges of about ``chars`` characters, one text at least: no more of them are Python strings at a time."""
+    lengths = pc.utf8_length(texts).to_pylist()
     a = size = 0
-    for b, t in enumerate(texts):
-        if size and size + len(t) > chars:
-            yield a, b
+    for b, n in enumerate(lengths):
+        if size and size + n > chars:
+            yield a, texts.slice(a, b - a).to_pylist()
             a, size = b, 0
-        size += len(t)
-    if a < len(texts):
-        yield a, len(texts)
+        size += n
+    if a < len(lengths):
+        yield a, texts.slice(a).to_pylist()
 
 
 def loaded(docs: DataFrame, path: str):
@@ -252,10 +254,9 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe(*given.value, pattern, spill)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
             n, ids_sha, text_sha = [], [], []
-            for a, b in pieces(texts):
-                coded = bpe.encode(texts[a:b])
+            for _, texts in pieces(batch.column(1)):
+                coded = bpe.encode(texts)
                 n += [len(x) for x in coded]
                 ids_sha += [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in coded]
                 text_sha += [hashlib.sha256(x).hexdigest() for x in bpe.decode(coded)]
@@ -272,11 +273,10 @@ def with_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe(*given.value, pattern, spill)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in pieces(texts):
-                coded = bpe.encode(texts[a:b])
-                same = [x == t.encode("utf-8") for x, t in zip(bpe.decode(coded), texts[a:b])]
+            for a, texts in pieces(batch.column(1)):
+                coded = bpe.encode(texts)
+                same = [x == t.encode("utf-8") for x, t in zip(bpe.decode(coded), texts)]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in coded]))), pa.int32()), pa.array(np.concatenate(coded), pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(x) for x in coded], pa.int64()), lists, pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "round_trip"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(texts)), pa.array([len(x) for x in coded], pa.int64()), lists, pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "round_trip"])
 
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, round_trip boolean")

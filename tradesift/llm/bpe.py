@@ -221,9 +221,11 @@ class Bpe:
         return [b"".join(p) for p in parts]
 
 
-def pieces(texts: pa.Array, chars: int = CHARS) -> Iterator[tuple[int, list[str]]]:
-    """First row and texts of ranges of about ``chars`` characters, one text at least: no more of them are Python strings at a time."""
+def pieces(texts: pa.Array, chars: int = CHARS, raw: bool = False) -> Iterator[tuple[int, list[str]]]:
+    """First row and texts of ranges of about ``chars`` characters, one text at least: no more of them are Python strings
+    (``raw``: UTF-8 bytes) at a time."""
     lengths = pc.utf8_length(texts).to_pylist()
+    texts = texts.cast(pa.binary()) if raw else texts
     a = size = 0
     for b, n in enumerate(lengths):
         if size and size + n > chars:

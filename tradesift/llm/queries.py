@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tradesift.llm import bpe, chat_format, exact_dedup, pii, quality_rules, secret_scan, simhash_dedup, source_mixing, token_shards, url_filter
+from tradesift.llm import bpe, chat_format, exact_dedup, importance, periodic_runs, pii, quality_rules, secret_scan, simhash_dedup, source_mixing, token_shards, url_filter
 from tradesift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,41 @@ def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_token_shards"] = op8_token_shards
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.find_runs(table(spark, sf_dir, "documents"), periodic_runs.planted))
+
+
+QUERIES["op11_periodic_runs"] = op11_periodic_runs
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+QUERIES["op12_importance"] = op12_importance
+#: SQL has no CRC-32: it is folded over the bytes of each different word by a table that a recursive query makes.
+ORACLES["op12_importance"] = f"""
+WITH RECURSIVE step(v, c, k) AS (
+  SELECT v, v, 0 FROM range(256) AS r(v)
+  UNION ALL SELECT v, CASE WHEN c & 1 = 1 THEN xor(c >> 1, {importance.POLYNOMIAL}) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8),
+t AS (SELECT list(c ORDER BY v) AS crc FROM step WHERE k = 8),
+d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+dw AS (SELECT doc_id, unnest(w) AS word FROM d),
+bw AS (SELECT unnest(w) AS word FROM b),
+words AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM dw UNION SELECT word FROM bw)),
+v AS (SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)),
+             lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295) % {importance.BUCKETS} AS bucket FROM words, t),
+s AS (SELECT bucket, count(*) AS n FROM dw JOIN v USING (word) GROUP BY 1),
+u AS (SELECT bucket, count(*) AS n FROM bw JOIN v USING (word) GROUP BY 1),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(u.n, 0) + 1)::DOUBLE * ((SELECT sum(n) FROM s) + {importance.BUCKETS})::DOUBLE
+                                / ((s.n + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM u), 0) + {importance.BUCKETS})::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN u USING (bucket)),
+e AS (SELECT doc_id, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM dw JOIN v USING (word) JOIN g USING (bucket) GROUP BY 1),
+f AS (SELECT d.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, ('0x' || left(sha256('{importance.SEED}:' || d.doc_id), 8))::BIGINT AS h FROM d LEFT JOIN e USING (doc_id)),
+x AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5)::DOUBLE / 4294967296)))::BIGINT AS score FROM f),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS eligible FROM x WHERE n_features >= {importance.LEAST_WORDS})
+SELECT x.doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN place <= eligible * {importance.SHARE[0]} // {importance.SHARE[1]} THEN place END::BIGINT AS rank
+FROM x LEFT JOIN r USING (doc_id)
+"""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tradesift import schemas
+from tradesift.config import TRANSACTION_WORDS, VALUATION_WORDS
 from tradesift.functions import dates, format, names, text
 from tradesift.operators import classify, cluster, dedup, filters, reports, sales, sizing, state
 from tradesift.sources import feeds
@@ -553,29 +554,72 @@ def title_dedup_enforce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.title_duplicates(headlines(spark, sf_dir), spark.createDataFrame([], "title_norm string")).select("doc_id", "line", "is_duplicate", "matched_title", "similarity")
 
 
-@query("SELECT o_orderkey, o_orderkey % 500 + 0.25::DOUBLE AS stated, o_orderkey % 500 < 250 AS fires FROM orders")
-def amount_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = F.concat(F.lit("Promoter sells stake for ₹"), F.format_number(F.col("o_orderkey") % 500 + 0.25, 2), F.lit(" crore in block deal"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", text.stated_max(title).alias("stated"), filters.amount_gate(title, F.lit("")).alias("fires"))
+#: Parts of headlines; {n} stands for a number.
+MONEY_PARTS = (
+    "stake sale worth Rs {n} crore", "block deal of ₹{n}-Crore,", "revenue rose to Rs {n} cr", "promoter offloads {n} lakh shares", "{n} crore Thyrocare equity shares change hands", "assets of {n} lakh crore, valuation",
+    "stake bought for $ {n} million", "EUR {n} bn acquisition", "paid Rs.{n},00,000 in a deal", "deal at Rs {n} per share", "Rs {n} lac stake", "{n}cr stake sold - sources", "US$ {n}mn fund raise", "no figure in 2024; 1.{n}.5 crore deal",
+    "market cap of INR {n}  crore", "«{n}%» stake, hours {n} lakh units",
+)
+
+
+def _said(orders: DataFrame, between: str) -> DataFrame:
+    """o_orderkey, said: three parts, by the key's digits of base 16, with a number each."""
+    k, parts = F.col("o_orderkey"), F.array(*map(F.lit, MONEY_PARTS))
+    number = lambda i: F.format_number(k * (37 + i) % 9000 + 1, 0)
+    part = lambda i: F.replace(F.element_at(parts, (F.floor(k / 16**i) % 16 + 1).cast("int")), F.lit("{n}"), number(i))
+    return orders.select("o_orderkey", F.concat_ws(between, part(0), part(1), part(2)).alias("said"))
+
+
+def _said_sql(between: str) -> str:
+    listed = "[" + ", ".join(f"'{p}'" for p in MONEY_PARTS) + "]"
+    parts = [f"replace({listed}[(o_orderkey // {16**i}) % 16 + 1], '{{n}}', format('{{:,}}', o_orderkey * {37 + i} % 9000 + 1))" for i in range(3)]
+    return f"SELECT o_orderkey, {f" || '{between}' || ".join(parts)} AS said FROM orders"
+
+
+def _money_sql(t: str) -> str:
+    """A list of the figures of ``t``, each reader by itself and without look-around: what may follow is matched, then judged."""
+    number = "[0-9][0-9,]*(?:\\.[0-9]+)?"
+    noun = "(?:[\\s,-]*(?:[A-Za-z]+[\\s,-]+){0,3}(?:equity\\s+|preference\\s+)?(?:shares?|units?|scrips?)\\b)?"
+    value = f"replace(regexp_extract(m, '{number}'), ',', '')::DOUBLE"
+    readers = (
+        (f"(?:₹|rs\\.?|inr)?\\s*{number}[\\s-]*(?:crore|cr)\\b{noun}", "", value),
+        (f"(?:₹|rs\\.?|inr)?\\s*{number}[\\s-]*(?:lakh|lac)s?[\\s-]*(?:crore|cr)\\b{noun}", "", f"{value} * 100000"),
+        (f"(?:₹|rs\\.?|inr)?\\s*{number}\\s*(?:lakh|lac)s?\\b(?:[\\s-]*(?:crore|cr)\\b)?{noun}", "AND NOT regexp_matches(m, '(?i)(crore|cr)\\b')", f"{value} / 100"),
+        ("(?:₹|rs\\.?|inr)\\s*[0-9][0-9,]{6,}(?:\\.[0-9]+)?(?:\\s*(?:crore|cr|lakh|lac|per))?", f"AND NOT regexp_matches(m, '(?i)[a-z]$') AND length(split_part(replace(regexp_extract(m, '{number}'), ',', ''), '.', 1)) >= 8", f"{value} / 10000000"),
+        (f"(?:us\\$|\\$|usd|€|eur)\\s*{number}\\s*(?:billion|bn|million|mn)\\b", "", f"{value} * CASE WHEN regexp_matches(m, '(?i)b(illio)?n$') THEN 1e9 ELSE 1e6 END * CASE WHEN regexp_matches(m, '(?i)^(€|eur)') THEN 96 ELSE 88 END / 10000000"),
+    )
+    money = "(regexp_matches(m, '(?i)^(₹|rs|inr|us|\\$|€|eur)') OR NOT regexp_matches(m, '(?i)(shares?|units?|scrips?)$'))"
+    return "list_concat(" * 4 + ", ".join(f"list_transform(list_filter(regexp_extract_all({t}, '(?i){rx}'), lambda m: {money} {more}), lambda m: {v})" + (")" if i else "") for i, (rx, more, v) in enumerate(readers))
 
 
 @query(
+    f"""
+    SELECT o_orderkey, list_max({_money_sql("said")}) AS stated, list_max({_money_sql("said")}) < 250 AS low FROM ({_said_sql(" ")})
     """
-    SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderkey % 900 + 1 AS DOUBLE) WHEN o_orderkey % 4 = 1 THEN NULL WHEN o_orderkey % 4 = 2 THEN NULL ELSE (o_orderkey % 90 + 1) * 1e6 * 88 / 1e7 END AS gated,
-           CASE WHEN o_orderkey % 4 = 3 THEN (o_orderkey % 90 + 1) * 1e6 * 88 / 1e7 WHEN o_orderkey % 4 = 2 THEN NULL ELSE CAST(o_orderkey % 900 + 1 AS DOUBLE) END AS largest FROM orders
+)
+def amount_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headlines of several figures in all currencies and notations, share counts and plain numbers among them."""
+    said = _said(table(spark, sf_dir, "orders"), " ").select("o_orderkey", text.amounts(F.col("said")).alias("a"))
+    return said.select("o_orderkey", "a.stated", (F.col("a.stated") < 250).alias("low"))
+
+
+_FAR = " " + "~" * 130 + " "
+_words = lambda ws: "(?i)\\b(" + "|".join(ws) + ")\\b"
+
+
+@query(
+    f"""
+    WITH s AS (SELECT o_orderkey, said FROM ({_said_sql(_FAR)})),
+    p AS (SELECT o_orderkey, unnest(string_split(said, '{_FAR}')) AS part FROM s),
+    n AS (SELECT o_orderkey, list_max({_money_sql("part")}) AS largest, regexp_matches(part, '{_words(TRANSACTION_WORDS)}') AND NOT regexp_matches(part, '{_words(VALUATION_WORDS)}') AS near FROM p),
+    m AS (SELECT o_orderkey, max(largest) AS largest, max(largest) FILTER (near) AS gated FROM n GROUP BY 1)
+    SELECT *, coalesce(gated < 250, false) AS fires FROM m
     """
 )
 def proximity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deal figures count, revenue figures don't, share counts are no money, dollars convert."""
-    n, m = (F.col("o_orderkey") % 900 + 1).cast("string"), (F.col("o_orderkey") % 90 + 1).cast("string")
-    k = F.col("o_orderkey") % 4
-    said = (
-        F.when(k == 0, F.concat(F.lit("block deal of Rs "), n, F.lit(" crore")))
-        .when(k == 1, F.concat(F.lit("revenue of Rs "), n, F.lit(" crore")))
-        .when(k == 2, F.concat(F.lit("sale of "), n, F.lit(" crore Thyrocare shares")))
-        .otherwise(F.concat(F.lit("stake sold for $"), m, F.lit(" million")))
-    )
-    return table(spark, sf_dir, "orders").select("o_orderkey", text.gated_amount(said).alias("gated"), text.stated_max(said).alias("largest"))
+    """Figures far apart: those of deals count, those of revenue and valuations don't."""
+    said = _said(table(spark, sf_dir, "orders"), _FAR).select("o_orderkey", "said", text.amounts(F.col("said")).alias("a"))
+    return said.select("o_orderkey", F.col("a.stated").alias("largest"), "a.gated", filters.stated_low(F.col("a.gated")).alias("fires"))
 
 
 @query(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tradesift.llm import bpe, chat_format, exact_dedup, importance, periodic_runs, pii, quality_rules, secret_scan, simhash_dedup, source_mixing, token_shards, url_filter
+from tradesift.llm import bpe, chat_format, exact_dedup, importance, periodic_runs, pii, quality_rules, repeat_removal, secret_scan, simhash_dedup, source_mixing, token_shards, url_filter
 from tradesift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +193,24 @@ r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, c
 SELECT x.doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN place <= eligible * {importance.SHARE[0]} // {importance.SHARE[1]} THEN place END::BIGINT AS rank
 FROM x LEFT JOIN r USING (doc_id)
 """
+
+
+def op13_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_removal.digest(repeat_removal.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+QUERIES["op13_repeat_removal"] = op13_repeat_removal
+#: Every string of the width, by hand: all but the first of equal ones cover bytes.
+ORACLES["op13_repeat_removal"] = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, {2 * repeat_removal.WIDTH}) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {repeat_removal.WIDTH} + 1)) AS i FROM d)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM w) WHERE r > 1),
+steps AS (SELECT *, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > {repeat_removal.WIDTH}, true) AS apart FROM again),
+runs AS (SELECT *, sum(apart::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM steps),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + {repeat_removal.WIDTH} AS b FROM runs GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM spans),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS t, max(b) AS last, sum(b - a) AS n, count(*) AS k FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(k, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(t || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""

@@ -9,9 +9,9 @@ one anchor in a text start side by side; the bytes that they cover are a segment
 polynomial hashes, so any stretch of a text has its hash in one step.
 
 1. Texts are stored once, bucketed by block (up to 16,384 rows of one input split); later steps read the buckets in place.
-2. Each batch sends one record for each different anchor that it holds: the anchor's and the segment's hash and where it
-   comes first, or how many different segments it stands in. So an anchor that a third of all texts hold has a record a
-   batch, not a text. Owners of anchor ranges tell the blocks which anchors recur, and whether in one segment or several.
+2. Each batch of some RECORDS segments sends one record for each different anchor that it holds: the anchor's and the
+   segment's hash and where it comes first, or how many different segments it stands in. So an anchor that a third of all
+   texts hold has a record a batch, not a text. Owners of anchor ranges tell the blocks which anchors recur, and whether in one segment or several.
 3. Segments that recur as a whole are repeats but for the first. The others, with their text, go to the anchor's owner.
    It sorts the suffixes from the anchors on, and the reversed prefixes before them, by mergesort: a comparison finds the
    common extension by binary search over hashes, and reads the byte after it. Strings at one offset are equal if both
@@ -43,8 +43,8 @@ from tradesift.llm.common import materialise, scratch_path, text_of, unique
 WIDTH, GRAM = 100, 32
 HOT = 5_000
 BLOCK_ROWS = 1 << 14
-#: Bytes of text whose anchors one owner looks after, about; bytes that are hashed at a time.
-OWNED, CHUNK = 1 << 25, 1 << 20
+#: Bytes of text whose anchors one owner looks after, about; bytes that are hashed, and records that are sorted, at a time.
+OWNED, CHUNK, RECORDS = 1 << 25, 1 << 18, 1 << 18
 #: Odd, so each has an inverse modulo 2 ** 64.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
 MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -164,10 +164,16 @@ class Segmenter:
         return {"text": text[start], "start": start, "at": at, "strings": strings, "anchor": grams[at], "segment": hashes[1].of(start, start + strings + self.width - 1)}, hashes
 
 
-def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def chunks(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """First row, bytes and sizes of ranges of texts of about CHUNK bytes, one text at least."""
-    texts = texts.cast(pa.large_binary())
-    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8) if len(texts) else np.zeros(1, np.int64)
+    if isinstance(texts, pa.ChunkedArray):
+        first = 0
+        for part in texts.chunks:
+            yield from ((first + a, data, sizes) for a, data, sizes in chunks(part))
+            first += len(part)
+        return
+    wide = texts.type == pa.large_binary()
+    offsets = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32, len(texts) + 1, texts.offset * (8 if wide else 4)).astype(np.int64) if len(texts) else np.zeros(1, np.int64)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     a = 0
     while a < len(texts):
@@ -367,7 +373,7 @@ def judged(block: int, table: pa.Table, known: Rows, width: int, gram: int, owne
     known = picked(known, np.argsort(known["anchor"], kind="stable"))
     segmenter, doc, row = Segmenter(width, gram), numbers(table.column("doc")), numbers(table.column("row"))
     spans, found, bytes_of, strings = [], [], [], []
-    for a, data, sizes in chunks(table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.binary())):
+    for a, data, sizes in chunks(table.column("text")):
         s, hashes = segmenter(data, sizes)
         where = np.searchsorted(known["anchor"], s["anchor"])
         hit = np.zeros(len(where), bool)
@@ -438,23 +444,30 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     spark.sql(f"DROP TABLE {name}")  # the files stay, in the folder that goes with the application
     owners = max(partitions, int(texts.agg(F.sum(F.col("size").cast("long"))).first()[0] or 0) // OWNED)
 
+    def sent(found: list[Rows], block: int) -> pa.RecordBatch:
+        out = [(owner, of, blob) for _, owner, of, blob, _ in dealt(first_of_batch(found), ANCHORS, "anchor", owners, block, "anchors")]
+        return batch_of(out, "owner block rows", [pa.int64(), pa.int64(), pa.binary()])
+
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = Segmenter(width, gram)
         for batch in batches:
             blocks = batch.column("block").to_numpy()
             cut = np.flatnonzero(np.diff(blocks)) + 1
             for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(blocks)]):
-                part, found = batch.slice(a, b - a), []
+                part, found, held = batch.slice(a, b - a), [], 0
                 doc, row = numbers(part.column("doc")), numbers(part.column("row"))
                 for k, data, sizes in chunks(part.column("text")):
+                    if held > RECORDS:
+                        yield sent(found, int(blocks[a]))
+                        found, held = [], 0
                     s, _ = segmenter(data, sizes)
                     begins = np.cumsum(sizes) - sizes
                     found.append({"anchor": s["anchor"], "segment": s["segment"], "doc": doc[k + s["text"]], "row": row[k + s["text"]].astype(np.uint32), "start": (s["start"] - begins[s["text"]]).astype(np.uint32), "n": np.zeros(len(s["text"]), np.uint32)})
-                out = [(owner, of, blob) for _, owner, of, blob, _ in dealt(first_of_batch(found), ANCHORS, "anchor", owners, int(blocks[a]), "anchors")]
-                yield batch_of(out, "owner block rows", [pa.int64(), pa.int64(), pa.binary()])
+                    held += len(s["text"])
+                yield sent(found, int(blocks[a]))
 
-    sent = texts.select("doc", "row", "block", "text").mapInArrow(anchors, "owner long, block long, rows binary")
-    verdicts = materialise(_owned(sent, lambda t: recurring(_blobs(t))), "verdicts")
+    anchored = texts.select("doc", "row", "block", "text").mapInArrow(anchors, "owner long, block long, rows binary")
+    verdicts = materialise(_owned(anchored, lambda t: recurring(_blobs(t))), "verdicts")
 
     def judge(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:

@@ -99,6 +99,22 @@ def test_many_contractions_in_a_step(seed, monkeypatch):
     assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [naive(ranks, w.encode()) for w in words]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_windows_of_long_words(seed, monkeypatch):
+    """The same in windows of a few positions, whose cuts fall anywhere: runs, tokens across cuts, changes near them."""
+    for name, value in (("LONG_WORD", 1), ("WINDOW", 8 + 4 * (seed % 3)), ("LONG_ROWS", 30), ("AROUND", 4)):
+        monkeypatch.setattr(bpe, name, value)
+    r = random.Random(100 + seed)
+    letters = ("ab", "abc", "abcdef")[seed % 3]
+    more = list({"".join(r.choice(letters) for _ in range(r.randrange(2, 7))).encode() for _ in range(r.choice([6, 25, 80]))})
+    r.shuffle(more)
+    tokens = [bytes([i]) for i in range(256)] + more
+    ranks = {t: i for i, t in enumerate(tokens)}
+    words = list({"".join(r.choice(letters) for _ in range(r.randrange(20, 90))) for _ in range(3)} | {"a" * 40})
+    lengths, ids = bpe.Bpe(tokens, bpe.merge_table(tokens), r"\S+").contract([w.encode() for w in words])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [naive(ranks, w.encode()) for w in words]
+
+
 @pytest.mark.parametrize("texts", [[], [""], ["", "", ""], ["abc", "", "de", "f" * 9, "g", "é" * 4, "h"]])
 @pytest.mark.parametrize("chars", [1, 4, 100])
 def test_pieces_hold_every_text(texts, chars):
@@ -117,6 +133,14 @@ def test_long_words(coder, library, letters):
     assert time.monotonic() - began < 60
 
 
+def test_a_word_of_half_a_million_letters(coder):
+    """In a bounded memory, without a folder to spill to; the ids are those of the parts where the library agrees on a cut."""
+    word = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(500_000))
+    ids = coder.encode([word])[0]
+    assert coder.decode([ids])[0] == word.encode()
+    assert coder.db.execute("SELECT current_setting('memory_limit'), current_setting('temp_directory')").fetchall()[0][1] in ("", None)
+
+
 def test_shards(spark, docs, empty, library, tmp_path):
     rows = token_shards.write_shards(docs, RANKS, P.PATTERN, out=str(tmp_path / "s"), length=32, shard=50).collect()
     n = len(rows)

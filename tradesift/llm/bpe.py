@@ -4,8 +4,12 @@ Encoding: each text is split by the tokenizer's pattern. The different words of
 for each byte; a recursive query joins neighbours with the merge table and contracts each word's leftmost minimum-rank
 pair, until no word has one. Long words contract many pairs in one step: those of which it is certain that no other
 contraction can come before theirs or take their parts (see LONG_STEP). The result is that of one contraction at a time,
-and a word of 100,000 letters takes some dozens of steps instead of tens of thousands. Recursion is cut into bounded rounds, so its working table stays small. Decoding: position rows join the vocabulary and
-an ordered aggregation puts each text's bytes together.
+and a word of 100,000 letters takes some dozens of steps instead of tens of thousands. What is certain of a pair depends
+on its neighbourhood only, and such contractions may be done in any order; so words beyond WINDOW positions are cut into
+windows, in which pairs too near a cut are left alone, and the cuts move from pass to pass. Where no window has a certain
+pair left, pairs of the least rank of the whole word are contracted, and their surroundings are looked at again. Recursion is cut into bounded rounds too, so
+the working tables stay small however long a word is, and nothing is spilled. Decoding: position rows join the vocabulary
+and an ordered aggregation puts each text's bytes together.
 
 Defined cases: null text encodes as empty (no ids, the digest of nothing); empty text likewise; texts go through whole,
 several at a time up to CHARS characters, and words in groups of START_ROWS bytes, one at least; repeated rows and ties give equal rows; an empty table gives an empty result. Only
@@ -16,7 +20,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,11 +28,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradesift.llm.common import scratch_path, text_of
+from tradesift.llm.common import text_of
 
 LONG_WORD = 48
 ROUNDS = 64
 START_ROWS = 200_000
+#: Positions of a long word that are contracted together, and of all words in one query; and around one that has changed.
+WINDOW, LONG_ROWS, AROUND = 16_384, 40_000, 16
+NONE = 2**31 - 1
 #: Characters that are encoded at a time, ids that are decoded at a time, and words that a task remembers.
 CHARS, IDS, REMEMBERED = 1_000_000, 400_000, 200_000
 
@@ -56,6 +62,8 @@ WITH RECURSIVE step AS (
 #: Then contractions before the pair's turn neither need its parts nor see a pair of the new token come first, so doing
 #: it at once changes nothing else. The leftmost minimum-rank pair is safe by
 #: definition, so is every pair of that rank, up to the first whose new token could merge at a lower rank.
+#: Of a window that does not open or close its word the least rank is not known (-1), nor what stands beyond its cuts: the
+#: first run, whose pairs may have others before them, and the last three places are left alone.
 LONG_STEP = """
 WITH RECURSIVE step AS (
   SELECT word, pos, tok, 0 AS depth FROM start
@@ -63,10 +71,10 @@ WITH RECURSIVE step AS (
   (WITH p AS MATERIALIZED (
      SELECT word, pos, tok, depth, lag(tok) OVER w AS prev, lead(tok) OVER w AS next, lead(tok, 2) OVER w AS after,
             lag(pos) OVER w AS before, lead(pos) OVER w AS stop, coalesce(lead(pos, 2) OVER w, ends.stop) AS close, lead(pos, 3) OVER w AS beyond,
-            row_number() OVER w AS place
+            row_number() OVER w AS place, count(*) OVER (PARTITION BY word) AS places, ends.opens, ends.closes
      FROM step JOIN ends USING (word) WINDOW w AS (PARTITION BY word ORDER BY pos)),
    m AS MATERIALIZED (SELECT p.*, m.id FROM p LEFT JOIN merges m ON m.l = tok AND m.r = next),
-   least AS (SELECT word, min(id) AS best FROM m WHERE id IS NOT NULL GROUP BY word),
+   least AS (SELECT word, CASE WHEN bool_and(opens AND closes) THEN min(id) ELSE -1 END AS best FROM m WHERE id IS NOT NULL GROUP BY word),
    hits AS MATERIALIZED (
      SELECT m.*, best, coalesce(id = best, false) AS hit, lag(id) OVER w AS left_id, lead(id) OVER w AS right_id
      FROM m JOIN least USING (word) WINDOW w AS (PARTITION BY word ORDER BY pos)),
@@ -80,7 +88,8 @@ WITH RECURSIVE step AS (
      UNION SELECT t.pos FROM turns t JOIN spans s ON s.stop = t.close WHERE turn AND s.pos < t.pos AND s.id < t.id
      UNION SELECT t.pos FROM turns t JOIN spans s ON s.pos = t.pos WHERE turn AND s.stop > t.close AND s.id < t.id),
    risky AS (
-     SELECT t.*, turn AND (taken.pos IS NOT NULL OR coalesce(run_left < t.id, false) OR coalesce(right_id < t.id, false)) AS bad,
+     SELECT t.*, turn AND (taken.pos IS NOT NULL OR coalesce(run_left < t.id, false) OR coalesce(right_id < t.id, false)
+                           OR NOT opens AND run = 1 OR NOT closes AND place > places - 3) AS bad,
             turn AND hit AND (a.l IS NOT NULL OR b.l IS NOT NULL OR c.l IS NOT NULL) AS risk
      FROM turns t LEFT JOIN taken ON taken.pos = t.pos
                   LEFT JOIN early a ON a.l = prev AND a.r = best AND a.id < best
@@ -90,8 +99,16 @@ WITH RECURSIVE step AS (
      SELECT *, turn AND (sum(bad::INTEGER) OVER (PARTITION BY word, run ORDER BY pos) = 0
                          OR hit AND coalesce(sum(risk::INTEGER) OVER (PARTITION BY word ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0) AS pick
      FROM risky),
-   gone AS (SELECT *, lag(pick, 1, false) OVER (PARTITION BY word ORDER BY pos) AS gone FROM picked)
-   SELECT word, pos, CASE WHEN pick THEN id ELSE tok END, depth + 1 FROM gone WHERE NOT gone AND depth < {rounds}))
+   gone AS (SELECT *, lag(pick, 1, false) OVER (PARTITION BY word ORDER BY pos) AS gone, bool_or(pick) OVER (PARTITION BY word) AS going FROM picked)
+   SELECT word, pos, CASE WHEN pick THEN id ELSE tok END, depth + 1 FROM gone WHERE going AND NOT gone AND depth < {rounds}))
+"""
+#: The rank of some pairs; and of contractions at rank ``best`` those whose new token could merge lower.
+RANKS = "SELECT n, id FROM given JOIN merges USING (l, r)"
+RISKS = """
+SELECT n FROM given LEFT JOIN early a ON a.l = prev AND a.r = {best} AND a.id < {best}
+                    LEFT JOIN early b ON b.l = {best} AND b.r = after AND b.id < {best}
+                    LEFT JOIN early c ON c.l = {best} AND c.r = {best} AND c.id < {best}
+WHERE a.l IS NOT NULL OR b.l IS NOT NULL OR c.l IS NOT NULL
 """
 #: A word's rows at its last depth, and whether it may contract further.
 LAST = """
@@ -117,20 +134,27 @@ def merge_table(tokens: list[bytes]) -> np.ndarray:
     return np.array(rows, np.int32).reshape(-1, 3)
 
 
+class Long:
+    """A word under contraction: its bytes, where its tokens begin and their ids."""
+
+    def __init__(self, text: bytes, byte: np.ndarray):
+        self.text, self.pos, self.tok = text, np.arange(len(text), dtype=np.int32), byte[np.frombuffer(text, np.uint8)].astype(np.int32)
+
+
 class Bpe:
     """Encoder and decoder of one task."""
 
-    def __init__(self, tokens: list[bytes], merges: np.ndarray, pattern: str, spill: str = ""):
-        """``spill``: a folder for what DuckDB cannot hold in memory; without one it fails there instead."""
+    def __init__(self, tokens: list[bytes], merges: np.ndarray, pattern: str):
         import duckdb
         import regex
 
         self.split: Callable[[str], list[str]] = regex.compile(pattern).findall
         self.ranks = {t: i for i, t in enumerate(tokens)}
         self.sizes = np.array([len(t) for t in tokens], np.int32)
+        self.reach = int(self.sizes.max(initial=1))
         self.automaton = None
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": "1", "memory_limit": "200MB", "preserve_insertion_order": "false", "temp_directory": f"{spill}/{uuid.uuid4().hex}" if spill else ""})
+        self.db = duckdb.connect(config={"threads": "1", "memory_limit": "200MB", "preserve_insertion_order": "false", "temp_directory": ""})
         #: Merges that rank below one of their parts.
         early = merges[(merges[:, 2] < merges[:, 0]) | (merges[:, 2] < merges[:, 1])]
         for name, rows in (("merges", merges), ("early", early)):
@@ -167,23 +191,125 @@ class Bpe:
         whole = np.array([self.ranks.get(w, -1) for w in words], np.int32)
         size = np.array([len(w) for w in words], np.int64)
         done = [(np.flatnonzero(whole >= 0), whole[whole >= 0])]
-        for step, chosen in ((SHORT_STEP, np.flatnonzero((whole < 0) & (size <= LONG_WORD))), (LONG_STEP, np.flatnonzero((whole < 0) & (size > LONG_WORD)))):
-            for now in np.split(chosen, np.flatnonzero(np.diff(np.cumsum(size[chosen]) // START_ROWS)) + 1) if len(chosen) else []:
-                text = b"".join([words[i] for i in now.tolist()])
-                rows = (np.repeat(now.astype(np.int32), size[now]), np.arange(len(text), dtype=np.int32), self.byte[np.frombuffer(text, np.uint8)])
-                if step is LONG_STEP:
-                    self._put("spans", **dict(zip(("pos", "stop", "id"), self.tokens_in(text))))
-                    self._put("ends", word=now.astype(np.int32), stop=np.cumsum(size[now]).astype(np.int32))
-                while len(rows[0]):
-                    self._put("start", word=rows[0], pos=rows[1], tok=rows[2])
-                    got = self.db.execute((step + LAST).format(rounds=ROUNDS)).fetchnumpy()
-                    word, pos, tok, more = (np.asarray(got[k]) for k in ("word", "pos", "tok", "more"))
-                    done.append((word[~more], tok[~more]))
-                    rows = (word[more], pos[more], tok[more])
+        short = np.flatnonzero((whole < 0) & (size <= LONG_WORD))
+        for now in np.split(short, np.flatnonzero(np.diff(np.cumsum(size[short]) // START_ROWS)) + 1) if len(short) else []:
+            text = b"".join([words[i] for i in now.tolist()])
+            rows = (np.repeat(now.astype(np.int32), size[now]), np.arange(len(text), dtype=np.int32), self.byte[np.frombuffer(text, np.uint8)])
+            while len(rows[0]):
+                word, pos, tok, more = self._steps(SHORT_STEP, *rows)
+                done.append((word[~more], tok[~more]))
+                rows = (word[more], pos[more], tok[more])
+        for i, tok in self._contract_long({i: words[i] for i in np.flatnonzero((whole < 0) & (size > LONG_WORD)).tolist()}):
+            done.append((np.full(len(tok), i), tok))
         word = np.concatenate([x[0] for x in done])
         order = np.argsort(word, kind="stable")
         return np.bincount(word, minlength=len(words)).astype(np.int64), np.concatenate([x[1] for x in done])[order].astype(np.int32)
 
+    def _steps(self, step: str, word: np.ndarray, pos: np.ndarray, tok: np.ndarray) -> list[np.ndarray]:
+        """word, pos, tok and more (may contract further) after ROUNDS steps at most."""
+        self._put("start", word=word, pos=pos, tok=tok)
+        got = self.db.execute((step + LAST).format(rounds=ROUNDS)).fetchnumpy()
+        return [np.asarray(got[k]) for k in ("word", "pos", "tok", "more")]
+
+    def _contract_long(self, words: dict[int, bytes]) -> Iterator[tuple[int, np.ndarray]]:
+        """The ids of each word."""
+        open_ = {}
+        for i, text in words.items():
+            open_[i] = Long(text, self.byte)
+            if len(text) > WINDOW:
+                self._shorten(open_[i])
+        while open_:
+            left = {}
+            for (i, word), (pos, tok, more) in zip(open_.items(), self._windows([(w, 0, len(w.pos)) for w in open_.values()])):
+                if more and len(tok):
+                    word.pos, word.tok = pos, tok
+                    left[i] = word
+                else:
+                    yield i, tok
+            open_ = left
+
+    def _shorten(self, word: Long) -> None:
+        """Contract a word until WINDOW positions are left, or no pair has a rank."""
+        for first in (WINDOW, WINDOW // 2):
+            while len(word.pos) > WINDOW:
+                cuts = [0, *range(first, len(word.pos), WINDOW), len(word.pos)]
+                if not len(self._contract(word, list(zip(cuts, cuts[1:])))):
+                    break
+        rank = self._ranks(word, np.arange(len(word.tok)))
+        while len(word.tok) > WINDOW and (best := int(rank.min())) != NONE:
+            hits = np.flatnonzero(rank == best)
+            new = np.append(True, np.diff(hits) != 1)
+            hits = hits[(np.arange(len(hits)) - np.maximum.accumulate(np.where(new, np.arange(len(hits)), 0))) % 2 == 0]
+            risky = np.flatnonzero(self._risky(word, hits, best))
+            hits = hits[: int(risky[0]) + 1] if len(risky) else hits
+            kept = np.ones(len(word.tok), bool)
+            kept[hits + 1] = False
+            word.tok[hits] = best
+            word.pos, word.tok, rank = word.pos[kept], word.tok[kept], rank[kept]
+            changed = hits - np.arange(len(hits))
+            while len(changed):
+                again = np.unique(np.concatenate((changed, np.maximum(changed - 1, 0))))
+                rank[again] = self._ranks(word, again)
+                a, b = np.maximum(changed - AROUND, 0), np.minimum(changed + AROUND + 1, len(word.tok))
+                cut = np.flatnonzero(np.append(True, a[1:] > b[:-1]))
+                before = word.pos
+                changed = self._contract(word, list(zip(a[cut].tolist(), b[np.append(cut[1:], len(b)) - 1].tolist())))
+                rank = rank[np.searchsorted(before, word.pos)]
+
+    def _ranks(self, word: Long, at: np.ndarray) -> np.ndarray:
+        """Of the pairs that begin at some places."""
+        out = np.full(len(at), NONE, np.int64)
+        at = at[at < len(word.tok) - 1]
+        for k in range(0, len(at), LONG_ROWS):
+            part = at[k : k + LONG_ROWS]
+            self._put("given", n=np.arange(k, k + len(part), dtype=np.int32), l=word.tok[part], r=word.tok[part + 1])
+            got = self.db.execute(RANKS).fetchnumpy()
+            out[np.asarray(got["n"])] = np.asarray(got["id"])
+        return out
+
+    def _risky(self, word: Long, hits: np.ndarray, best: int) -> np.ndarray:
+        out = np.zeros(len(hits), bool)
+        tok = np.concatenate(([-1], word.tok, [-1, -1])).astype(np.int32)
+        for k in range(0, len(hits), LONG_ROWS):
+            part = hits[k : k + LONG_ROWS]
+            self._put("given", n=np.arange(k, k + len(part), dtype=np.int32), prev=tok[part], after=tok[part + 3])
+            out[np.asarray(self.db.execute(RISKS.format(best=best)).fetchnumpy()["n"])] = True
+        return out
+
+    def _contract(self, word: Long, windows: list[tuple[int, int]]) -> np.ndarray:
+        """Contract what is certain in some windows of a word; the places whose tokens are new."""
+        kept, new = np.ones(len(word.pos), bool), np.zeros(len(word.pos), bool)
+        before = word.pos
+        for (a, b), (pos, tok, _) in zip(windows, self._windows([(word, a, b) for a, b in windows])):
+            if 0 < len(pos) < b - a:
+                at = np.searchsorted(before, pos)
+                kept[a:b] = False
+                kept[at] = True
+                new[at] = word.tok[at] != tok
+                word.tok[at] = tok
+        word.pos, word.tok = word.pos[kept], word.tok[kept]
+        return np.flatnonzero(new[kept])
+
+    def _windows(self, windows: list[tuple[Long, int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """Positions and ids of windows (word, first place, place after the last) after steps that are certain, and whether
+        more may follow. Each is laid out by itself, with the bytes around it that a token could reach."""
+        size = np.cumsum([b - a for _, a, b in windows])
+        for now in np.split(np.arange(len(windows)), np.flatnonzero(np.diff(size // LONG_ROWS)) + 1) if windows else []:
+            laid, ends, spans, base = [], [], [], 0
+            for k, (word, a, b) in enumerate(windows[now[0] : now[-1] + 1]):
+                stop = int(word.pos[b]) if b < len(word.pos) else len(word.text)
+                low, high = max(0, int(word.pos[a]) - self.reach), min(len(word.text), stop + self.reach)
+                laid.append((np.full(b - a, k, np.int32), word.pos[a:b] + np.int32(base - low), word.tok[a:b], base - low))
+                ends.append((k, base - low + stop, a == 0, b == len(word.pos)))
+                spans.append([x + (base if n < 2 else 0) for n, x in enumerate(self.tokens_in(word.text[low:high]))])
+                base += high - low
+            self._put("ends", **{c: np.array([e[n] for e in ends], t) for n, (c, t) in enumerate((("word", np.int32), ("stop", np.int32), ("opens", bool), ("closes", bool)))})
+            self._put("spans", **{c: np.concatenate([s[n] for s in spans]).astype(np.int32) for n, c in enumerate(("pos", "stop", "id"))})
+            word, pos, tok, more = self._steps(LONG_STEP, *(np.concatenate([x[n] for x in laid]) for n in range(3)))
+            edges = np.searchsorted(word, np.arange(len(laid) + 1))
+            for k, (a, b) in enumerate(zip(edges, edges[1:])):
+                yield pos[a:b] - np.int32(laid[k][3]), tok[a:b], bool(more[a:b].any())
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         if len(self.index) > REMEMBERED:
@@ -242,19 +368,13 @@ def loaded(docs: DataFrame, path: str):
     return docs.sparkSession.sparkContext.broadcast((tokens, merge_table(tokens)))
 
 
-def spill_folder(docs: DataFrame) -> str:
-    """A folder in the shared one where that can be reached as a file; other schemes leave DuckDB without spilling."""
-    path = scratch_path(docs.sparkSession, "duckdb")
-    return path.removeprefix("file://").removeprefix("file:") if path.startswith(("/", "file:")) else ""
-
-
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: one row per row of ``docs``."""
-    given, spill = loaded(docs, path), spill_folder(docs)
+    given = loaded(docs, path)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(*given.value, pattern, spill)
+        bpe = Bpe(*given.value, pattern)
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
             for _, texts in pieces(batch.column(1)):
@@ -269,11 +389,11 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def with_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids (array of int), round_trip (the ids decode to the text's bytes)."""
-    given, spill = loaded(docs, path), spill_folder(docs)
+    given = loaded(docs, path)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(*given.value, pattern, spill)
+        bpe = Bpe(*given.value, pattern)
         for batch in batches:
             for a, texts in pieces(batch.column(1)):
                 coded = bpe.encode(texts)

@@ -32,12 +32,12 @@ from tradesift.llm.common import text_of
 
 LONG_WORD = 48
 ROUNDS = 64
-START_ROWS = 200_000
+START_ROWS = 400_000
 #: Positions of a long word that are contracted together, and of all words in one query; and around one that has changed.
 WINDOW, LONG_ROWS, AROUND = 16_384, 40_000, 16
 NONE = 2**31 - 1
 #: Characters that are encoded at a time, ids that are decoded at a time, and words that a task remembers.
-CHARS, IDS, REMEMBERED = 1_000_000, 400_000, 200_000
+CHARS, IDS, REMEMBERED = 2_000_000, 400_000, 500_000
 
 #: Positions are unique over all words of a query, so one order serves every word.
 SHORT_STEP = """
@@ -215,9 +215,11 @@ class Bpe:
         """The ids of each word."""
         open_ = {}
         for i, text in words.items():
-            open_[i] = Long(text, self.byte)
-            if len(text) > WINDOW:
-                self._shorten(open_[i])
+            word = Long(text, self.byte)
+            if len(text) > WINDOW and self._shorten(word):
+                yield i, word.tok
+            else:
+                open_[i] = word
         while open_:
             left = {}
             for (i, word), (pos, tok, more) in zip(open_.items(), self._windows([(w, 0, len(w.pos)) for w in open_.values()])):
@@ -228,15 +230,18 @@ class Bpe:
                     yield i, tok
             open_ = left
 
-    def _shorten(self, word: Long) -> None:
-        """Contract a word until WINDOW positions are left, or no pair has a rank."""
+    def _shorten(self, word: Long) -> bool:
+        """Contract a word until WINDOW positions are left, or no pair has a rank; whether the latter."""
         for first in (WINDOW, WINDOW // 2):
             while len(word.pos) > WINDOW:
                 cuts = [0, *range(first, len(word.pos), WINDOW), len(word.pos)]
                 if not len(self._contract(word, list(zip(cuts, cuts[1:])))):
                     break
         rank = self._ranks(word, np.arange(len(word.tok)))
-        while len(word.tok) > WINDOW and (best := int(rank.min())) != NONE:
+        while len(word.tok) > WINDOW:
+            best = int(rank.min())
+            if best == NONE:
+                return True
             hits = np.flatnonzero(rank == best)
             new = np.append(True, np.diff(hits) != 1)
             hits = hits[(np.arange(len(hits)) - np.maximum.accumulate(np.where(new, np.arange(len(hits)), 0))) % 2 == 0]
@@ -255,6 +260,7 @@ class Bpe:
                 before = word.pos
                 changed = self._contract(word, list(zip(a[cut].tolist(), b[np.append(cut[1:], len(b)) - 1].tolist())))
                 rank = rank[np.searchsorted(before, word.pos)]
+        return False
 
     def _ranks(self, word: Long, at: np.ndarray) -> np.ndarray:
         """Of the pairs that begin at some places."""

@@ -8,7 +8,7 @@ the first of equals. Equal strings have equal anchors at the same offset, so str
 one anchor in a text start side by side; the bytes that they cover are a segment. All hashes are differences of prefix
 polynomial hashes, so any stretch of a text has its hash in one step.
 
-1. Texts are stored once, bucketed by block (up to 2,048 rows of one input split); later steps read the buckets in place.
+1. Texts are stored once, bucketed by block (up to 4,096 rows of one input split); later steps read the buckets in place.
 2. Each batch of some RECORDS segments sends one record for each different anchor that it holds: the anchor's and the
    segment's hash and where it comes first, or how many different segments it stands in. So an anchor that a third of all
    texts hold has a record a batch, not a text. Owners of anchor ranges tell the blocks which anchors recur, and whether in one segment or several.
@@ -42,7 +42,7 @@ from tradesift.llm.common import materialise, scratch_path, text_of, unique
 
 WIDTH, GRAM = 100, 32
 HOT = 5_000
-BLOCK_ROWS = 1 << 11
+BLOCK_ROWS = 1 << 12
 #: Bytes of text whose anchors one owner looks after, about; bytes that are hashed, and records that are sorted, at a time.
 OWNED, CHUNK, RECORDS = 1 << 23, 1 << 18, 1 << 18
 #: Odd, so each has an inverse modulo 2 ** 64.
@@ -436,7 +436,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = docs.select(F.col("doc_id"), text_of().cast("binary").alias("text"), F.monotonically_increasing_id().alias("place"))
-    block, row = F.shiftright("place", 11), F.col("place").bitwiseAND(BLOCK_ROWS - 1)
+    block, row = F.shiftright("place", 12), F.col("place").bitwiseAND(BLOCK_ROWS - 1)
     name = f"texts_{unique()}"
     rows = placed.select("doc_id", F.col("doc_id").cast("long").alias("doc"), "text", F.octet_length("text").alias("size"), block.alias("block"), row.alias("row"))
     rows.write.bucketBy(partitions, "block").option("path", scratch_path(spark, "texts")).saveAsTable(name)

@@ -1,12 +1,14 @@
 """Whole jobs: twice over one state, with a model that fails once."""
 
 import datetime as dt
+import json
 
 from pyspark.sql import functions as F
 
 from tradesift import schemas
 from tradesift.operators import classify, state
 from tradesift.plans import pipeline
+from tradesift.sources import feeds
 
 T0 = dt.datetime(2026, 7, 1, 12)
 
@@ -63,7 +65,7 @@ def test_health_messages(spark, tmp_path):
     first = step(["b", "a", "a", "c", "d"], 0, 0)
     assert "7 item(s)" in first and first.endswith("- a\n- b\n- c")
     assert step(["a"], 3, 30) is None and step([], 0, 40) is None
-    assert "back" in step([], 2, 45) and step([], 2, 50) is None
+    assert "answers again" in step([], 2, 45) and step([], 2, 50) is None
     assert step(["a"], 0, 55) is not None
 
 
@@ -88,6 +90,74 @@ def test_market_caps_are_kept(spark, tmp_path):
     assert again.funnel["bse_mcap_gated"] == 0 and store.read("market_caps").count() == 1
 
 
+def test_a_ticker_quoted_twice(spark, tmp_path):
+    """Two quotes of one ticker leave one item, at the larger."""
+    store = state.StateStore(spark, f"file://{tmp_path}")
+    nse = spark.createDataFrame([("acme steel", "ACME.NS")], "name_key string, ticker string")
+    quotes = spark.createDataFrame([("ACME.NS", 5000.0), ("ACME.NS", 4000.0), ("ACME.NS", None)], "ticker string, market_cap_cr double")
+    filing = news(spark, [("1", "BSE", "Acme Steel: promoter sells 10% stake", "u", "", None)])
+    out = pipeline.run_news(filing, store, classify.RuleClassifier(), T0, nse=nse, quotes=quotes)
+    assert out.funnel["fetched"] == 1 and out.funnel["reached_stage1"] == 1 and store.read("items").count() == 1
+    assert [r.market_cap_cr for r in store.read("market_caps").collect()] == [5000.0]
+
+
+def test_warning_stands_when_the_sink_refuses(spark, tmp_path):
+    """One warning in the cool-down though nothing of either run is kept."""
+
+    class Down(classify.RuleClassifier):
+        def stage1(self, prompts):
+            raise RuntimeError("down")
+
+    store, said = state.StateStore(spark, f"file://{tmp_path}"), []
+    item = news(spark, [("1", "press", "Acme promoter sells stake for ₹900 crore", "u1", "", "q")])
+    for minutes in (0, 15):
+        out = pipeline.run_news(item, store, Down(), T0 + dt.timedelta(minutes=minutes), sink=lambda df: False, notify=said.append)
+        assert not out.sent and out.failed == 1
+    assert len(said) == 1 and "down" in said[0]
+    assert store.read("items").count() == 0 and store.read("classify_retry").count() == 0
+
+
+def test_feeds_fail_by_themselves(spark, tmp_path):
+    """Landed feeds of a slow and a fast run; one is missing, one is broken."""
+    base, store = tmp_path / "landed", state.StateStore(spark, f"file://{tmp_path}/state")
+    rss = "<rss><item><title>{t} promoter sells stake for ₹900 crore</title><link>http://x/{t}</link></item></rss>"
+    for folder, name in (("news/0", "Acme"), ("press/mint", "Beta")):
+        (base / folder).mkdir(parents=True)
+        (base / folder / "a.xml").write_text(rss.format(t=name))
+    (base / "sebi").mkdir()
+    (base / "sebi" / "a.html").write_text('<a href="/drhp/1">Gamma draft prospectus</a>')
+    readers = feeds.landed(spark, f"file://{base}", ("mint",), ("stake sale",))
+    readers["nse"] = lambda: spark.range(1).selectExpr("raise_error('blocked') AS id")
+    seen = []
+
+    def complete(message):
+        contract, _, items = message.partition("\n\n")
+        assert contract in classify.CONTRACT.values() and items.startswith("[1] ")
+        rules = classify.RuleClassifier()
+        prompts = [i.split("] ", 1)[1] for i in items.split("\n\n")]
+        return "Here: " + (rules.stage1(prompts) if contract == classify.CONTRACT["stage1"] else rules.stage2(prompts))
+
+    out, errors = pipeline.run_feeds(readers, "fast", store, classify.ModelClassifier(complete), T0)
+    assert set(errors) == {"bse", "nse"} and "blocked" in errors["nse"]
+    assert out.funnel["fetched"] == 2 and out.funnel["alerted"] == 2 and not seen
+    assert {(r.source, r.source_query) for r in store.read("items").collect()} == {("Google News", "stake sale"), ("mint", None)}
+    slow, errors = pipeline.run_feeds(readers, "slow", store, classify.RuleClassifier(), T0 + dt.timedelta(hours=1))
+    assert errors == {} and slow.funnel["fetched"] == 1 and slow.funnel["reached_stage1"] == 0 and slow.funnel["reached_stage2"] == 1
+
+
+def test_disclosures_and_masters(spark, tmp_path):
+    (tmp_path / "pit").mkdir()
+    (tmp_path / "pit" / "a.json").write_text("\n".join(json.dumps({"symbol": "ACME", "acqName": f"P{i}", "date": d, "secVal": "100,00,000"}) for i, d in enumerate(("30-Jun-2026", "01-Jul-2026", "20-May-2026", "soon"))))
+    store = state.StateStore(spark, f"file://{tmp_path}/state")
+    found = feeds.read_disclosures(spark, f"file://{tmp_path}/pit", dt.date(2026, 6, 24), dt.date(2026, 7, 1))
+    assert sorted(r.person_name for r in found.collect()) == ["P0", "P1", "P3"]
+    path = f"file://{tmp_path}/master"
+    raw = spark.createDataFrame([(" A1 ", " Acme Steel ", 1), ("B2", None, 2), ("", "No code", 3)], "code string, company string, x int")
+    feeds.refresh_master(raw, "code", "company", "symbol", path)
+    assert [tuple(r) for r in feeds.read_master(spark, path, "symbol").collect()] == [("A1", "Acme Steel")]
+    assert state.queue_size(store.read("classify_retry")) == 0
+
+
 def test_feedback_over_two_runs(spark, tmp_path):
     store = state.StateStore(spark, f"file://{tmp_path}")
     press = lambda i, data: (i, (data, ((99,),)))
@@ -145,6 +215,26 @@ def test_streams_equal_batches(spark, tmp_path):
     assert [(r.total_cr, r.n) for r in spark.table("patterns").collect()] == [(360.0, 3)]
 
 
+def test_dedup_stream_keeps_keys_not_rows(spark, tmp_path):
+    """Three batches: each reads what it brings, and the state store knows the keys of all."""
+    from tradesift.streaming import jobs
+
+    kind = "id string, at long, x string"
+    batches = [[("a", 2, "late"), ("a", 1, "first"), ("b", 5, None), (None, 0, "n"), ("", 0, "e")], [("b", 1, "again"), ("c", None, "null first"), ("c", 3, "c")], [("a", 0, "again"), ("d", 1, "d")]]
+    want = [{("a", 1, "first"), ("b", 5, None)}, {("c", None, "null first")}, {("d", 1, "d")}]
+    so_far, keys = set(), 0
+    for rows, new in zip(batches, want):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+        query = jobs.dedup_stream(spark.readStream.schema(kind).json(f"{tmp_path}/in"), "id", ("at",), f"{tmp_path}/out", f"{tmp_path}/state")
+        query.awaitTermination()
+        so_far, keys = so_far | new, keys + len(new)
+        got = spark.read.schema(kind).parquet(f"{tmp_path}/out").collect()
+        assert len(got) == len(so_far) and {tuple(r) for r in got} == so_far
+        assert sum(p["numInputRows"] for p in query.recentProgress) == len(rows)
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == keys
+    assert "RocksDB" not in spark.conf.get(jobs.STATE_STORE[0], "")
+
+
 def test_news_stream_equals_batches(spark, tmp_path):
     """Files one after another through the stream, and the same items at once: equal state, in order of arrival."""
     import json

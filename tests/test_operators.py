@@ -4,24 +4,45 @@ import datetime as dt
 import itertools
 import json
 import random
+import time
 from dataclasses import replace
 
+import pytest
 from pyspark.sql import functions as F
 
 from tradesift import schemas
 from tradesift.config import DEFAULT
-from tradesift.operators import classify, cluster, dedup, reports, sales, sizing, state
+from tradesift.operators import classify, cluster, dedup, reports, sales, setjoin, sizing, state
 from tradesift.sources import feeds
 
 T0 = dt.datetime(2026, 7, 1, 12)
 
 
-def test_similar_sets_equal_brute_force(spark):
+def set_pairs(spark, sets, threshold):
+    found = setjoin.similar_sets(spark.createDataFrame([(list(s),) for s in sets], "tokens array<string>"), threshold)
+    named = {r.id: tuple(r.tokens) for r in found.sets.collect()}
+    links = [(*sorted((named[r.a], named[r.b])), r.similarity) for r in found.links.collect()]
+    assert {(tuple(r.tokens), r.links) for r in setjoin.link_counts(found).collect()} == {(s, sum(s in p[:2] for p in links)) for s in named.values()}
+    return links
+
+
+def all_pairs(sets, threshold):
+    return {(a, b): len(set(a) & set(b)) / len(set(a) | set(b)) for a, b in itertools.combinations(sorted(s for s in sets if s), 2) if len(set(a) & set(b)) / len(set(a) | set(b)) > threshold}
+
+
+@pytest.mark.parametrize(("threshold", "hot"), [(0.3, 1000), (0.6, 1000), (0.6, 2), (0.85, 4), (0.9, 1000)])
+def test_similar_sets_equal_brute_force(spark, monkeypatch, threshold, hot):
+    """Few letters, so every token is in many sets; with frequent ones split; sets of rare tokens of their own as well."""
+    monkeypatch.setattr(setjoin, "HOT", hot)
     rnd = random.Random(1)
-    sets = {tuple(sorted({rnd.choice("abcdefghijkl") for _ in range(rnd.randint(0, 9))})) for _ in range(150)}
-    got = {(tuple(r.a), tuple(r.b)) for r in dedup.similar_sets(spark.createDataFrame([(list(s),) for s in sets], "tokens array<string>"), 0.6).collect()}
-    want = {(a, b) for a, b in itertools.product(sets, sets) if a < b and a and len(set(a) & set(b)) / len(set(a) | set(b)) > 0.6}
-    assert got == want
+    sets = {tuple(sorted({rnd.choice("abcdefghijkl") for _ in range(rnd.randint(0, 12))} | {f"own{rnd.randrange(60)}" for _ in range(rnd.choice((0, 0, 1, 2)))})) for _ in range(220)}
+    got = set_pairs(spark, [*sets, *list(sets)[:20]], threshold)
+    want = all_pairs(sets, threshold)
+    assert len(got) == len(want) and {p[:2]: p[2] for p in got} == want
+
+
+def test_no_similar_sets(spark):
+    assert set_pairs(spark, [], 0.5) == [] and set_pairs(spark, [("a",), ("b",), ("a", "b", "c"), ()], 0.5) == []
 
 
 def greedy(items, t, enforce):
@@ -56,10 +77,24 @@ def test_title_dedup_matches_the_sequential_rule(spark):
     assert enforced <= shadow
 
 
+@pytest.mark.parametrize("rounds", [0, 2, 24])
+def test_dropped_in_order(spark, rounds):
+    """Long chains, stars and random graphs, by rounds, by rounds and then a fold, by a fold alone."""
+    rnd = random.Random(9)
+    edges = {(i, i - 1) for i in range(1, 60)} | {(100 + i, 100) for i in range(1, 30)} | {(200 + i, 200 + rnd.randrange(i)) for i in range(1, 120) for _ in range(2)}
+    gone: set = set()
+    for i in sorted({i for e in edges for i in e}):
+        if any(a == i and b not in gone for a, b in edges):
+            gone.add(i)
+    got = dedup.dropped_in_order(spark.createDataFrame(sorted(edges) * 2, "seq long, earlier long"), rounds).collect()
+    assert sorted(r.seq for r in got) == sorted(gone)
+    assert dedup.dropped_in_order(spark.createDataFrame([], "seq long, earlier long")).count() == 0
+
+
 def test_copies_of_a_headline_add_no_rows(spark):
     df = spark.range(10_000).selectExpr("id AS seq", "'Acme promoter sells big stake today' AS title", "'press' AS source")
     none = spark.createDataFrame([], "title_norm string")
-    assert dedup.title_matches(dedup.prepared(df), none).count() == 1
+    assert dedup.title_matches(dedup.prepared(df), none)[1].count() == 1
     for enforce in (False, True):
         assert dedup.title_duplicates(df, none, replace(DEFAULT, enforce=enforce)).filter("is_duplicate").count() == 9_999
 
@@ -87,6 +122,84 @@ def test_clustering(spark):
     assert got[9].confirmed and list(got[9].individuals) == ["A"]
 
 
+def as_frame(spark, given):
+    return spark.createDataFrame([tuple(x[c] for c in cluster.REPORT_COLUMNS) for x in given], cluster.REPORT)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_groups_hold_all_that_can_match(spark, monkeypatch, seed):
+    """Random reports and open deals: folded in groups as in one go."""
+    monkeypatch.setattr(cluster, "FEW", 0)
+    rnd = random.Random(seed)
+    words = ["alpha", "beta", "gamma", "delta", "omega"]
+    amounts = [None, 100.0, 104.0, 130.0, 200.0, 209.0, 500.0, 0.0]
+    given = [report(i, " ".join(rnd.sample(words, rnd.randint(1, 3))), rnd.choice(amounts), rnd.randint(0, 900), confirmed=rnd.random() < 0.2) for i in range(70)]
+    first = min(x["at"] for x in given)
+    open_ = [{"id": i, "company": rnd.choice(words), "amount_cr": rnd.choice(amounts), "created_at": first - dt.timedelta(hours=rnd.randint(0, 160)), "confirmed": False, "individuals": []} for i in range(5)]
+    fields = ["id", "company", "amount_cr", "created_at", "confirmed", "individuals"]
+    deals = schemas.conform(spark.createDataFrame([tuple(d[f] for f in fields) for d in open_], "id long, company string, amount_cr double, created_at timestamp, confirmed boolean, individuals array<string>"), schemas.STATE["deals"])
+    dicts = [d | {"tokens": frozenset(d["company"].split()), "ref": f"d{d['id']}", "order": (0, d["id"]), "amount_raw": None, "seller": None, "size_source": None} for d in open_]
+    want = cluster.fold(dicts, [dict(x, tokens=frozenset(x["company"].split())) for x in sorted(given, key=lambda x: (x["at"], x["seq"]))])
+    got = {r.seq: r for r in cluster.cluster(as_frame(spark, given), deals).collect()}
+    assert {w["seq"]: (w["deal_ref"], w["is_new"], w["fires"], w["note"], w["amount_cr"]) for w in want} == {i: (r.deal_ref, r.is_new, r.fires, r.note, r.amount_cr) for i, r in got.items()}
+
+
+def test_a_common_word_makes_no_group(spark):
+    """300 companies of one week with a word in common, amounts far apart: each its own group."""
+    given = [report(i, f"Capital {chr(97 + i // 26)}{chr(97 + i % 26)}x", 1.2**i, 0.1 * i) for i in range(300)]
+    named = as_frame(spark, given).select(cluster.names.company_tokens(F.col("company")).alias("tokens"), "amount_cr", "at")
+    assert cluster.groups(named).select("component").distinct().count() == 300
+
+
+def test_spellings_equal_the_scan():
+    rnd = random.Random(8)
+    for _ in range(60):
+        given = [frozenset(rnd.sample("abcdefg", rnd.randint(1, 4))) for _ in range(rnd.randint(0, 60))]
+        start = [frozenset(rnd.sample("abcdefg", rnd.randint(1, 4))) for _ in range(rnd.randint(0, 4))]
+        spellings, seen = cluster.Spellings([*start, *given]), list(start)
+        for s in start:
+            spellings.keep(s)
+        for t in given:
+            hit = next((s for s in seen if t <= s or s <= t), None)
+            if hit is None:
+                seen.append(t)
+            assert spellings.add(t) == (hit or t)
+
+
+def test_100000_people_of_one_company():
+    rnd = random.Random(8)
+    given = [frozenset(("kumar", f"a{rnd.randrange(30_000)}", f"b{rnd.randrange(30_000)}")) for _ in range(100_000)]
+    began = time.monotonic()
+    spellings = cluster.Spellings(given)
+    assert len({spellings.add(t) for t in given}) > 90_000
+    assert time.monotonic() - began < 20
+
+
+def brute_realerts(rows):
+    out, last = [], {}
+    for key, at, i, total in sorted((r for r in rows if r[1] is not None and r[3] is not None), key=lambda r: (str(r[0]), r[1], r[2])):
+        prior = last.get(key)
+        if prior is None or total >= 2 * prior[0] or at - prior[1] >= dt.timedelta(days=90):
+            out.append((i, prior and prior[0]))
+            last[key] = (total, at)
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_realerts(spark, batch):
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["a", "b", None, "one"]), T0 + dt.timedelta(days=rnd.randint(0, 700)), i, rnd.choice([None, 1.0, 2.0, 3.0, 4.0, 8.0, 17.0])) for i in range(400)] + [("a", None, 400, 5.0)]
+    df = spark.createDataFrame(rows, "k string, t timestamp, id long, total double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = sorted(((r.id, r.prior) for r in sales.realerts(df, ["k"], "t", "total", "id").collect()), key=repr)
+        assert sales.realerts(df.limit(0), ["k"], "t", "total", "id").collect() == []
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == brute_realerts(rows)
+
+
 def test_people(spark):
     s = spark.createDataFrame([(1, "AGARWAL SUNIL KUMAR", "c"), (2, "Sunil K Agarwal", "c"), (3, "Other Person", "c"), (4, "Sunil Agarwal", "d"), (5, "X", "c")], "seq long, person_name string, company_key string")
     got = {r.seq: r.person_key for r in cluster.resolve_people(s, schemas.empty(spark, "individual_sales")).collect()}

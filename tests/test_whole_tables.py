@@ -42,8 +42,10 @@ def test_every_pair_of_lines_is_compared(spark, data, db):  # noqa: F811
             n = len(a & b)
             if n / (len(a) + len(b) - n) > 0.85:
                 want.add(frozenset((x, y)))
-    got = [frozenset((r.a, r.b)) for r in catalog.QUERIES["title_near_dup"](spark, data).collect()]
+    got = [frozenset((r.a, r.b)) for r in catalog.QUERIES["title_near_dup_pairs"](spark, data).collect()]
     assert want and len(got) == len(want) and set(got) == want
+    links = Counter(t for pair in want for t in pair)
+    assert {r.tokens: r.links for r in catalog.QUERIES["title_near_dup"](spark, data).collect()} == {t: links[t] for _, t in sets}
 
 
 def test_feedback_without_a_deal_stays(spark):

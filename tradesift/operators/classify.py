@@ -1,7 +1,8 @@
 """Batched external models: fixed batches, answers aligned by place, failures as a route of their own.
 
 A classifier is any object with ``stage1``, ``stage2`` and ``sellers``, each from a list of strings to the model's JSON
-text. ``RuleClassifier`` is a deterministic stand-in without a network."""
+text. ``ModelClassifier`` makes one of any function from a message to a reply, and tells the model its contract.
+``RuleClassifier`` is a deterministic stand-in without a network."""
 
 from __future__ import annotations
 
@@ -20,11 +21,12 @@ from tradesift.functions import text
 from tradesift.operators import dedup, numbering
 
 
-#: What a model is told before the numbered items of a batch, and the form of its reply. Adapters put it before the texts.
+#: What a model is told before the numbered items of a batch, and the form of its reply.
 CONTRACT = {
     "stage1": "For each numbered news item say whether it is certainly no share sale by an individual or a promoter family of an Indian company. "
     "Classes of such items: 1 debt only, 2 insolvency, 3 state-owned seller, 4 sale of a subsidiary, 5 inside one group, 6 no Indian individual gains, "
     "7 early funding round, 8 stated size under the threshold, 9 no transaction. "
+    "Not of these classes, so not certain: a listing in which holders sell, once it is announced, and a holding company that few people or one family own. "
     'Reply with a JSON list, one object for each item and in its order: {"n": number, "neg": true or false, "r": class or null}.',
     "stage2": "For each numbered news item decide whether an individual or a promoter family receives money for shares, and give its facts as the text states them; leave null what it does not state. "
     'Reply with a JSON list, one object for each item and in its order: {"n", "qualify", "drop_reason", "company", "deal_type", "amount_cr" (crore rupees), "amount_raw" (as quoted), '
@@ -47,6 +49,23 @@ class Classifier(Protocol):
     def sellers(self, names: list[str]) -> str: ...
 
 
+class ModelClassifier:
+    """``complete`` takes a whole message, contract and numbered items, and returns the model's reply; it may raise. It runs
+    on executors, a batch at a time, so it must be picklable: it should open its connection when it is called."""
+
+    def __init__(self, complete: Callable[[str], str]):
+        self.complete = complete
+
+    def stage1(self, prompts: list[str]) -> str:
+        return self.complete(numbered_text("stage1", prompts))
+
+    def stage2(self, prompts: list[str]) -> str:
+        return self.complete(numbered_text("stage2", prompts))
+
+    def sellers(self, names: list[str]) -> str:
+        return self.complete(numbered_text("sellers", names))
+
+
 class RuleClassifier:
     """Keyword rules for the negative classes and first-guess fields, so that pipelines run offline."""
 

@@ -1,19 +1,25 @@
 """Reports of one deal: candidate joins, and the ordered fold that attaches each report to an open deal or opens one.
 
-Both match paths imply a shared name token, so components of the graph of shared tokens over open deals and new reports
-are independent of each other. The fold runs in each component by itself, in report order; everything around it is
-relational. Reports without a name token never match and open deals of their own, without any fold."""
+The fold runs in groups that cannot touch each other, in order of time and number; everything around it is relational.
+Groups come from what a match needs, not from shared words alone: one name contains the other within the name window, or
+amounts agree, with a word in common, within the amount window (see ``groups``). A word that nearly all names of a week
+have does not join them up. Reports without a name token never match and open deals of their own, without any fold."""
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradesift.config import DEFAULT, Config
 from tradesift.functions import names
 from tradesift.operators.dedup import component_labels
+from tradesift.operators.storage import stored
 
+#: So many reports and open deals are folded in one go, as one group: the result is the same, without the joins.
+FEW = 1_000
 REPORT = "seq long, title string, url string, source string, company string, amount_cr double, amount_raw string, individuals array<string>, seller string, deal_type string, confidence string, one_line string, size_source string, size_band string, confirmed boolean, at timestamp"
 #: What the fold says of each report.
 DECISION = (
@@ -65,11 +71,69 @@ def open_matches(reports: DataFrame, deals: DataFrame, config: Config = DEFAULT)
     return within.unionByName(around).unionByName(by_amount).groupBy("seq").agg(F.max_by("deal_id", F.struct("created_at", "deal_id")).alias("deal_id"))
 
 
-def components(reports: DataFrame, deals: DataFrame) -> DataFrame:
-    """node (``r<seq>`` or ``d<id>``), component: through shared tokens, so edges are as many as tokens in names."""
-    nodes = reports.select(F.concat(F.lit("r"), F.col("seq").cast("string")).alias("node"), "tokens").unionByName(deals.select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("node"), "tokens"))
-    edges = nodes.select(F.col("node").alias("x"), F.explode("tokens").alias("t")).select("x", F.concat(F.lit("t"), F.col("t")).alias("y"))
-    return component_labels(edges).filter("NOT node LIKE 't%'")
+def cells(named: DataFrame, config: Config) -> DataFrame:
+    """cell, name, tokens, bucket, first, last, steps: reports and deals of equal tokens in one time bucket, whose width is
+    the longer window, with the hours they span and the steps of tolerance their amounts lie in.
+
+    ``named``: tokens (not empty), amount_cr, at."""
+    hours = F.unix_micros("at") / 3.6e9
+    step = F.floor(F.ln("amount_cr") / (-F.ln(F.lit(1 - config.amount_tolerance)) * (1 + 1e-9)))
+    rows = named.select("tokens", hours.alias("h"), bucket(F.col("at"), config).alias("bucket"), F.when(F.col("amount_cr") > 0, step).alias("step"))
+    summed = rows.groupBy("tokens", "bucket").agg(F.min("h").alias("first"), F.max("h").alias("last"), F.collect_set("step").alias("steps"))
+    return summed.select(cell().alias("cell"), F.array_join("tokens", " ").alias("name"), "tokens", "bucket", "first", "last", "steps")
+
+
+def bucket(at: Column, config: Config) -> Column:
+    return F.floor(F.unix_micros(at.cast("timestamp")) / (3.6e9 * max(config.name_window_hours, config.amount_window_hours)))
+
+
+def cell() -> Column:
+    """A number for tokens and bucket. Should two ever collide, their groups become one, which changes no result."""
+    return F.xxhash64("tokens", "bucket")
+
+
+def groups(named: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """cell, component: cells that a deal may hold together, directly or through others. Groups may be too wide, never too
+    narrow: whatever the fold could match lies in one.
+
+    Cells are linked if they have the same tokens and lie within the longer window; if one's tokens contain the other's
+    within the name window; and if they share a token and a step of amounts (or have neighbouring ones) within the amount
+    window. The last goes through nodes for token, step and bucket, so many cells of one kind need no pairs. A deal may take
+    over the amount of a report that its name has matched; so each group's amounts count for all of its cells, until no
+    further group is reached."""
+    c = stored(cells(named, config))
+    whole = max(config.name_window_hours, config.amount_window_hours)
+    apart = F.greatest(F.col("first_b") - F.col("last_a"), F.col("first_a") - F.col("last_b"))
+    side = lambda s, *keys: c.select(*keys, *[F.col(x).alias(f"{x}_{s}") for x in ("cell", "name", "first", "last")])
+    one, other = side("a", "name", "bucket"), side("b", "name", "bucket")
+    same = one.withColumn("bucket", F.col("bucket") + 1).join(other, ["name", "bucket"]).filter(apart <= whole)
+    contained = subset_pairs(c.select("name", "tokens").distinct(), "name")
+    near = side("a", F.col("name").alias("small"), F.explode(F.array(*(F.col("bucket") + i for i in (-1, 0, 1)))).alias("bucket"))
+    within = contained.join(near, "small").join(side("b", F.col("name").alias("large"), "bucket"), ["large", "bucket"]).filter(apart <= config.name_window_hours)
+
+    def places(df: DataFrame, *keys: str, wide: bool) -> DataFrame:
+        """Rows of ``df`` (tokens, steps, bucket) by token, step and bucket, ``wide``: with the next step and bucket too."""
+        more = lambda x: F.explode(F.array(F.col(x), F.col(x) + 1) if wide else F.array(x))
+        spread = df.select(*keys, "tokens", "bucket", F.explode("steps").alias("step")).select(*keys, "tokens", more("bucket").alias("bucket"), "step")
+        return spread.select(*keys, "bucket", more("step").alias("step"), "tokens").select(*keys, "bucket", "step", F.explode("tokens").alias("token"))
+
+    hub = F.xxhash64(F.lit("hub"), "token", "step", "bucket")
+    edges = same.select("cell_a", "cell_b").unionByName(within.select("cell_a", "cell_b"))
+    edges = edges.select(F.col("cell_a").alias("x"), F.col("cell_b").alias("y")).unionByName(places(c, "cell", wide=True).select(F.col("cell").alias("x"), hub.alias("y")))
+    label = component_labels(edges)
+    labelled = stored(c.join(label.withColumnRenamed("node", "cell"), "cell", "left").withColumn("component", F.coalesce("component", "cell")))
+    while True:
+        # What the amounts of a whole group reach from its cells: own amounts of other groups' cells.
+        held = labelled.groupBy("component").agg(F.array_distinct(F.flatten(F.collect_set("steps"))).alias("held")).filter(F.size("held") > 1)
+        inherits = labelled.join(held, "component").withColumn("steps", F.array_except("held", "steps"))
+        nearby = F.explode(F.array(*(F.col("step") + i for i in (-1, 0, 1))))
+        reach = places(inherits, "component", wide=False).withColumn("step", nearby).withColumn("bucket", F.explode(F.array(*(F.col("bucket") + i for i in (-1, 0, 1))))).distinct()
+        own = places(labelled.withColumnRenamed("component", "met"), "met", wide=False).distinct()
+        more = stored(reach.join(own, ["token", "step", "bucket"]).filter("component <> met").select(F.col("component").alias("x"), F.col("met").alias("y")).distinct())
+        if more.isEmpty():
+            return labelled.select("cell", "component")
+        wider = component_labels(more).select(F.col("node").alias("component"), F.col("component").alias("wider"))
+        labelled = stored(labelled.join(wider, "component", "left").withColumn("component", F.coalesce("wider", "component")).drop("wider"))
 
 
 def confirmed_update(deal: dict, report: dict) -> tuple[dict, bool, str]:
@@ -107,6 +171,8 @@ def fold(deals: list[dict], reports: list[dict], config: Config = DEFAULT) -> li
     def fits(d: dict, r: dict) -> bool:
         hours = (r["at"] - d["created_at"]).total_seconds() / 3600
         a, b, x, y = d["tokens"], r["tokens"], d["amount_cr"], r["amount_cr"]
+        if hours < 0:
+            return False
         if hours <= config.name_window_hours and a and b and (a <= b or b <= a):
             return True
         close = x is not None and y is not None and x > 0 and y > 0 and abs(x - y) <= config.amount_tolerance * max(x, y)
@@ -135,13 +201,17 @@ def cluster(reports: DataFrame, deals: DataFrame, config: Config = DEFAULT) -> D
     first = reports.agg(F.min(F.col("at").cast("timestamp"))).first()[0]
     hours = max(config.name_window_hours, config.amount_window_hours)
     d = deals.filter(F.col("created_at") >= F.lit(first).cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(hours))).withColumn("tokens", names.company_tokens(F.col("company")))
-    label = components(r, d)
     one = r.select(F.concat(F.lit("r"), F.col("seq").cast("string")).alias("node"), F.lit("r").alias("side"), *REPORT_COLUMNS, "tokens")
     two = d.select(
         F.concat(F.lit("d"), F.col("id").cast("string")).alias("node"), F.lit("d").alias("side"), F.col("id").alias("seq"), F.lit("").alias("title"), "url", "source", "company", "amount_cr", "amount_raw",
         "individuals", "seller", "deal_type", "confidence", "one_line", "size_source", "size_band", "confirmed", F.col("created_at").alias("at"), "tokens",
     )
-    rows = one.unionByName(two).join(label, "node")
+    rows = one.unionByName(two).filter(F.size("tokens") > 0)
+    if rows.limit(FEW + 1).count() <= FEW:
+        rows = rows.withColumn("component", F.lit(0))
+    else:
+        label = groups(rows.select("tokens", "amount_cr", F.col("at").cast("timestamp").alias("at")), config)
+        rows = rows.withColumn("bucket", bucket(F.col("at"), config)).withColumn("cell", cell()).join(label, "cell").drop("cell", "bucket")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         clean = [{k: None if isinstance(v, float) and v != v else v for k, v in row.items()} for row in frame.to_dict("records")]
@@ -150,7 +220,7 @@ def cluster(reports: DataFrame, deals: DataFrame, config: Config = DEFAULT) -> D
             row["individuals"] = list(row["individuals"]) if row["individuals"] is not None else []
             row["confirmed"] = bool(row["confirmed"])
         open_deals = [x | {"ref": x["node"], "created_at": x["at"], "order": (0, x["seq"])} for x in clean if x["side"] == "d"]
-        out = fold(open_deals, sorted((x for x in clean if x["side"] == "r"), key=lambda x: x["seq"]), config)
+        out = fold(open_deals, sorted((x for x in clean if x["side"] == "r"), key=lambda x: (x["at"], x["seq"])), config)
         return pd.DataFrame(out, columns=[c.split()[0] for c in DECISION.split(", ")])
 
     folded = rows.groupBy("component").applyInPandas(run, DECISION)
@@ -164,6 +234,44 @@ def cluster(reports: DataFrame, deals: DataFrame, config: Config = DEFAULT) -> D
 REPORT_COLUMNS = [c.split()[0] for c in REPORT.split(", ")]
 
 
+class Spellings:
+    """Spellings of people in order of their first appearance, with the earliest that contains another one or is contained.
+
+    Each spelling is filed under all of its tokens, and once more under its rarest one: what contains a name holds the
+    name's rarest token, and what it contains is filed under one of its tokens. Rarity is that among all names to come, so
+    a token that most names have files few."""
+
+    def __init__(self, names: list[frozenset]):
+        self.df = Counter(t for n in names for t in n)
+        self.known: list[frozenset] = []
+        self.under: dict[str, list[int]] = defaultdict(list)
+        self.rarest: dict[str, list[int]] = defaultdict(list)
+        self.found: dict[frozenset, int] = {}
+
+    def rare(self, name: frozenset) -> str:
+        return min(name, key=lambda t: (self.df[t], t))
+
+    def add(self, name: frozenset) -> frozenset:
+        """The spelling that ``name`` counts as; it is kept as a new one if it fits none. What a name was found to be stays,
+        since spellings that come later come later in the order too."""
+        at = self.found.get(name)
+        if at is None:
+            hits = [next((i for i in self.rarest.get(t, ()) if self.known[i] <= name), None) for t in name]
+            hits.append(next((i for i in self.under.get(self.rare(name), ()) if name <= self.known[i]), None))
+            at = min((i for i in hits if i is not None), default=None)
+        if at is None:
+            at = self.keep(name)
+        self.found[name] = at
+        return self.known[at]
+
+    def keep(self, name: frozenset) -> int:
+        self.known.append(name)
+        for t in name:
+            self.under[t].append(len(self.known) - 1)
+        self.rarest[self.rare(name)].append(len(self.known) - 1)
+        return len(self.known) - 1
+
+
 def resolve_people(sales: DataFrame, known: DataFrame) -> DataFrame:
     """``sales`` (seq, person_name, company_key) with person_key: an earlier spelling in the company whose tokens contain or
     are contained, the earliest first; else the name's own key, which later rows may then match.
@@ -172,16 +280,14 @@ def resolve_people(sales: DataFrame, known: DataFrame) -> DataFrame:
     old = known.filter("person_key <> ''").groupBy("company_key", "person_key").agg(F.min("id").alias("ord")).select("company_key", F.lit(0).alias("side"), "ord", F.lit(None).cast("long").alias("seq"), F.split("person_key", " ").alias("tokens"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        seen: list[frozenset] = []
+        rows = [(side, seq, frozenset(tokens)) for side, seq, tokens in frame.sort_values(["side", "ord"])[["side", "seq", "tokens"]].itertuples(index=False)]
+        spellings = Spellings([t for _, _, t in rows])
         out = []
-        for side, seq, tokens in frame.sort_values(["side", "ord"])[["side", "seq", "tokens"]].itertuples(index=False):
-            t = frozenset(tokens)
-            hit = next((s for s in seen if t and (t <= s or s <= t)), None) if side else None
-            if hit is None and t:
-                hit = t
-                seen.append(t)
-            if side:
-                out.append((int(seq), " ".join(sorted(hit or ()))))
+        for side, seq, t in rows:
+            if not side:
+                spellings.keep(t)
+            else:
+                out.append((int(seq), " ".join(sorted(spellings.add(t) if t else ()))))
         return pd.DataFrame(out, columns=["seq", "person_key"])
 
     return sales.join(old.unionByName(new).groupBy("company_key").applyInPandas(run, "seq long, person_key string"), "seq")

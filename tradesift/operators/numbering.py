@@ -1,7 +1,7 @@
 """Numbers and running sums over a whole table in an order, without a window over all rows in one task.
 
-Rows are range-partitioned and sorted; each partition numbers its own, and the totals of the partitions (one row each)
-are added up. The ranged table is stored in between, so both steps see the same partitions whatever executors are lost.
+Rows are range-partitioned and sorted, and the totals of the partitions (one row each) are added up. The ranged table is
+stored in between, so both steps see the same partitions whatever executors are lost.
 """
 
 from __future__ import annotations
@@ -33,5 +33,14 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column], store:
 
 
 def numbered(df: DataFrame, order: list[Column], store: Store, name: str = "place") -> DataFrame:
-    """``df`` with dense numbers from 0 on, nulls of the order last."""
-    return running(df, order, {name: F.lit(1).cast("long")}, store)
+    """``df`` with dense numbers from 0 on, nulls of the order last.
+
+    Sorted once, over ranges; what is stored has each row's partition and its place in it, so all that is left is to add
+    what the partitions before hold: one row each."""
+    given = df.select("*", *[c.alias(f"_by_{i}") for i, c in enumerate(order)])
+    placed = store(given.orderBy(*[F.col(f"_by_{i}").asc_nulls_last() for i in range(len(order))]).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33).alias("_part")
+    sizes = placed.groupBy(part).agg(F.count("*").alias("n"))
+    bases = sizes.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    # One row for each partition of the sort.
+    return placed.withColumn("_part", part).join(F.broadcast(bases), "_part").select(*df.columns, (F.col("_base") + F.col("_id").bitwiseAND((1 << 33) - 1)).alias(name))

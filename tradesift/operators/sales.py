@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +56,50 @@ def rolling(sales: DataFrame, keys: list[str], at: str, value: str, days: int, l
     return out.filter((F.col("total") >= least) & (F.col("n") >= min_n) & (F.col("largest") <= max_share * F.col("total")))
 
 
+def realerts(found: DataFrame, keys: list[str], at: str, total: str, order: str, config: Config = DEFAULT) -> DataFrame:
+    """Of the times at which a key qualifies (``found``) those at which an alert is due, with ``prior``, the total of the
+    alert before (null at a key's first): the total has grown by the multiple since the last alert, or that is long ago.
+
+    Rows of a key stream past in order, in one task but never all in memory: from an alert on the next one is searched, so
+    the work in between is a binary search and a comparison. Rows without time or total never alert."""
+    ready = found.filter(F.col(at).isNotNull() & F.col(total).isNotNull()).withColumn("_at", F.unix_micros(F.col(at).cast("timestamp")))
+    ordered = ready.repartition(*keys).sortWithinPartitions(*keys, "_at", order)
+    later, times = config.realert_days * 86_400_000_000, config.realert_multiple
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last, since = None, None, None  # of the row before, and of its key's last alert
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            columns = [np.array(batch.column(k).to_pylist(), object) for k in keys]
+            when, totals = batch.column("_at").to_numpy(), batch.column(total).to_numpy(zero_copy_only=False)
+            new = np.zeros(n, bool)
+            for c in columns:
+                new[1:] |= c[1:] != c[:-1]
+            new[0] = key is None or key != tuple(c[0] for c in columns)
+            due, prior = np.zeros(n, bool), [None] * n
+            starts = np.unique(np.append(0, np.flatnonzero(new)))
+            for a, b in zip(starts, np.append(starts[1:], n)):
+                if new[a]:
+                    last = since = None
+                while a < b:
+                    if last is not None:
+                        b_old = a + int(np.searchsorted(when[a:b], since + later))
+                        grown = np.flatnonzero(totals[a:b_old] >= times * last)
+                        a = a + int(grown[0]) if len(grown) else b_old
+                        if a == b:
+                            break
+                    due[a], prior[a] = True, last
+                    last, since = float(totals[a]), int(when[a])
+                    a += 1
+            key = tuple(c[-1] for c in columns)
+            out = batch.append_column("prior", pa.array(prior, pa.float64()))
+            yield out.filter(pa.array(due)).drop_columns(["_at"])
+
+    return ordered.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema) + ", prior double")
+
+
 def sales_of_deal(deals: DataFrame, split: bool = False) -> DataFrame:
     """One row for each named individual of a deal: the full amount each, or an equal part of it."""
     amount = F.col("amount_cr") / F.size("individuals") if split else F.col("amount_cr")

@@ -28,15 +28,19 @@ def market_caps(items: DataFrame, cache: DataFrame, as_of: Column, quotes: DataF
     found = state.lookup_fresh(items, cache.select("ticker", "market_cap_cr", "fetched_at"), "ticker", as_of, config.mcap_ttl_days).drop("fetched_at")
     if quotes is None:
         return found
-    return found.join(quotes.select("ticker", F.bround("market_cap_cr", 1).alias("_q")), "ticker", "left").withColumn("market_cap_cr", F.coalesce("market_cap_cr", "_q")).drop("_q")
+    return found.join(quoted(quotes).withColumnRenamed("market_cap_cr", "_q"), "ticker", "left").withColumn("market_cap_cr", F.coalesce("market_cap_cr", "_q")).drop("_q")
+
+
+def quoted(quotes: DataFrame) -> DataFrame:
+    """One quote for each ticker: of several the largest."""
+    return quotes.groupBy("ticker").agg(F.bround(F.max("market_cap_cr"), 1).alias("market_cap_cr")).filter("market_cap_cr IS NOT NULL")
 
 
 def fetched(tickers: DataFrame, cache: DataFrame, as_of: Column, quotes: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """New rows of the cache: tickers (asked for in this run) that it had no fresh row of and that a quote was found for."""
     asked = tickers.select("ticker").filter("ticker IS NOT NULL").distinct()
     stale = state.lookup_fresh(asked, cache.select("ticker", "market_cap_cr", "fetched_at"), "ticker", as_of, config.mcap_ttl_days).filter("fetched_at IS NULL").select("ticker")
-    found = quotes.groupBy("ticker").agg(F.bround(F.max("market_cap_cr"), 1).alias("market_cap_cr")).filter("market_cap_cr IS NOT NULL")
-    return stale.join(found, "ticker").select("ticker", "market_cap_cr", as_of.alias("fetched_at"))
+    return stale.join(quoted(quotes), "ticker").select("ticker", "market_cap_cr", as_of.alias("fetched_at"))
 
 
 def computed_size(mcap: Column, *texts: Column) -> Column:
@@ -45,6 +49,10 @@ def computed_size(mcap: Column, *texts: Column) -> Column:
     return F.struct(F.bround(mcap * pct / 100, 1).alias("computed_cr"), F.when(pct.isNull(), mcap).alias("mcap_cr"))
 
 
+#: Where a deal's size may come from.
+SIZE_SOURCES = ("computed", "stated", "mcap_plausible", "band", "unknown")
+
+
 def size_gates(deals: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """``deals``: amount_cr, size (of computed_size, or null), size_band, size_basis. Adds amount_cr as resolved,
     size_source and rule (null: goes on)."""

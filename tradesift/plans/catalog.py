@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tradesift import schemas
 from tradesift.config import TRANSACTION_WORDS, VALUATION_WORDS
 from tradesift.functions import dates, format, names, text
-from tradesift.operators import classify, cluster, dedup, filters, reports, sales, sizing, state
+from tradesift.operators import classify, cluster, dedup, filters, reports, sales, setjoin, sizing, state
 from tradesift.sources import feeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,16 +63,25 @@ def salami_rolling_90d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    WITH p AS (SELECT *, lag(o_totalprice) OVER w AS prior, lag(o_orderdate) OVER w AS prior_at FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))
-    SELECT o_orderkey, o_custkey, o_totalprice, prior FROM p
-    WHERE prior IS NULL OR o_totalprice >= 2 * prior OR o_orderdate - prior_at >= INTERVAL 90 DAYS
+    WITH RECURSIVE w AS (
+      SELECT o_orderkey, o_custkey, o_orderdate, round(sum(o_totalprice) OVER r, 2) AS total, count(*) OVER r AS n, max(o_totalprice) OVER r AS largest
+      FROM orders WINDOW r AS (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL 90 DAYS PRECEDING AND CURRENT ROW)),
+    q AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM w WHERE total >= 250000 AND n >= 2 AND largest <= 0.7 * total),
+    f AS (
+      SELECT o_orderkey, o_custkey, total, k, true AS due, NULL::DOUBLE AS prior, total AS last_total, o_orderdate AS last_at FROM q WHERE k = 1
+      UNION ALL
+      SELECT o_orderkey, o_custkey, total, k, due, prior, CASE WHEN due THEN total ELSE prior END, CASE WHEN due THEN o_orderdate ELSE last_at END FROM (
+        SELECT q.o_orderkey, q.o_custkey, q.o_orderdate, q.total, q.k, f.last_total AS prior, f.last_at, q.total >= 2 * f.last_total OR q.o_orderdate >= f.last_at + INTERVAL 90 DAYS AS due
+        FROM f JOIN q ON q.o_custkey = f.o_custkey AND q.k = f.k + 1))
+    SELECT o_orderkey, o_custkey, total, prior FROM f WHERE due
     """
 )
 def salami_realert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    o = table(spark, sf_dir, "orders").withColumns({"prior": F.lag("o_totalprice").over(w), "prior_at": F.lag("o_orderdate").over(w)})
-    due = F.col("prior").isNull() | (F.col("o_totalprice") >= 2 * F.col("prior")) | (F.col("o_orderdate") - F.col("prior_at") >= F.make_dt_interval(F.lit(90)))
-    return o.filter(due).select("o_orderkey", "o_custkey", "o_totalprice", "prior")
+    """Of the orders at which a customer's trailing 90 days qualify, those that alert again: against the last alert, not the
+    last row."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    found = sales.rolling(orders, ["o_custkey"], "o_orderdate", "o_totalprice", 90, 250000, 2, 0.7).withColumn("total", F.round("total", 2))
+    return sales.realerts(found, ["o_custkey"], "o_orderdate", "total", "o_orderkey").select("o_orderkey", "o_custkey", "total", "prior")
 
 
 @query(
@@ -212,13 +221,28 @@ def open_deal_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.open_matches(_lines(spark, sf_dir), _open_deals(spark, sf_dir)).select("seq.*", "deal_id")
 
 
-@query()
+@query(
+    """
+    WITH RECURSIVE e AS (SELECT event_id AS seq, user_id AS u, value AS v, ts AS seen, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    f(u, k, seq, deals, ref, fires, news, now) AS (
+      SELECT u, k, seq, [struct_pack(ref := seq, made := seen, v := v)], seq, true, '', v FROM e WHERE k = 1
+      UNION ALL
+      SELECT u, k, seq, CASE WHEN hit IS NULL THEN list_append(deals, struct_pack(ref := seq, made := seen, v := v)) ELSE list_transform(deals, lambda d: CASE WHEN d.ref = hit.ref THEN struct_pack(ref := d.ref, made := d.made, v := now) ELSE d END) END,
+             coalesce(hit.ref, seq), hit IS NULL OR news <> '', news, now FROM (
+        SELECT *, CASE WHEN hit IS NULL OR news <> '' THEN v ELSE hit.v END AS now FROM (
+          SELECT *, CASE WHEN hit IS NULL OR v IS NULL THEN '' WHEN coalesce(hit.v, 0) = 0 THEN 'amount added' WHEN hit.v > 0 AND abs(v - hit.v) / hit.v > 0.2 THEN 'amount revised' ELSE '' END AS news FROM (
+            SELECT e.u, e.k, e.seq, e.v, e.seen, f.deals,
+                   list_filter(f.deals, lambda d: e.seen <= d.made + INTERVAL 72 HOURS OR (e.seen <= d.made + INTERVAL 168 HOURS AND e.v > 0 AND d.v > 0 AND abs(e.v - d.v) <= 0.05 * greatest(e.v, d.v)))[-1] AS hit
+            FROM f JOIN e ON e.u = f.u AND e.k = f.k + 1))))
+    SELECT seq, 'r' || ref AS deal_ref, ref = seq AS is_new, fires, news, now AS amount_cr FROM f
+    """
+)
 def cluster_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event user's reports against no open deals: the ordered fold in components of shared tokens."""
+    """Each event user's reports against no open deals, in order of time; SQL takes each user's one after another."""
     e = table(spark, sf_dir, "events")
     named = e.select(F.col("event_id").alias("seq"), F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("company"), F.col("value").alias("amount_cr"), instant("ts").alias("at"))
     full = schemas.conform(named.withColumn("confirmed", F.lit(False)).withColumn("individuals", F.array().cast("array<string>")), cluster.REPORT)
-    return cluster.cluster(full, schemas.empty(spark, "deals")).select("seq", "deal_ref", "is_new", "fires", "note", "amount_cr")
+    return cluster.cluster(full, schemas.empty(spark, "deals")).select("seq", "deal_ref", "is_new", "fires", F.substring_index("note", " ", 2).alias("news"), "amount_cr")
 
 
 @query(
@@ -509,17 +533,33 @@ def normalise_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return headlines(spark, sf_dir).select("doc_id", "line", text.normalise_title(F.col("title")).alias("title_norm"))
 
 
-@query(
-    f"""
-    WITH {LINES}, t AS (SELECT DISTINCT list_sort(list_distinct(list_filter(string_split({TITLE}, ' '), lambda w: w <> '' AND w NOT IN {STOP}))) AS t FROM h),
+#: Different token sets, and the pairs of them above the threshold.
+SETS = f"""
+    {LINES}, t AS (SELECT DISTINCT list_sort(list_distinct(list_filter(string_split({TITLE}, ' '), lambda w: w <> '' AND w NOT IN {STOP}))) AS t FROM h),
     s AS (SELECT t, len(t) AS c FROM t WHERE len(t) > 0),
-    p AS (SELECT a.t AS a, b.t AS b, len(list_intersect(a.t, b.t)) AS n FROM s a JOIN s b ON b.c > 0.85 * a.c AND b.c < a.c / 0.85 WHERE a.t < b.t)
-    SELECT array_to_string(a, ' ') AS a, array_to_string(b, ' ') AS b, n / (len(a) + len(b) - n) AS similarity FROM p WHERE n / (len(a) + len(b) - n) > 0.85
-    """
-)
+    p AS (SELECT a.t AS a, b.t AS b, len(list_intersect(a.t, b.t)) AS n FROM s a JOIN s b ON b.c > 0.85 * a.c AND b.c < a.c / 0.85 WHERE a.t < b.t),
+    r AS (SELECT a, b, n / (len(a) + len(b) - n) AS similarity FROM p WHERE n / (len(a) + len(b) - n) > 0.85)
+"""
+
+
+def _title_sets(spark: SparkSession, sf_dir: str) -> setjoin.SetJoin:
+    return setjoin.similar_sets(headlines(spark, sf_dir).select(text.title_tokens(text.normalise_title(F.col("title"))).alias("tokens")), 0.85)
+
+
+@query(f"WITH {SETS}, e AS (SELECT t, count(*) AS links FROM (SELECT a AS t FROM r UNION ALL SELECT b FROM r) GROUP BY 1) SELECT array_to_string(t, ' ') AS tokens, coalesce(links, 0)::BIGINT AS links FROM s LEFT JOIN e USING (t)")
 def title_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = headlines(spark, sf_dir).select(text.title_tokens(text.normalise_title(F.col("title"))).alias("tokens"))
-    return dedup.similar_sets(t, 0.85).select(F.array_join("a", " ").alias("a"), F.array_join("b", " ").alias("b"), "similarity")
+    """Each token set of any line, with how many others are similar to it."""
+    return setjoin.link_counts(_title_sets(spark, sf_dir)).select(F.array_join("tokens", " ").alias("tokens"), "links")
+
+
+@query(f"WITH {SETS} SELECT array_to_string(a, ' ') AS a, array_to_string(b, ' ') AS b, similarity FROM r")
+def title_near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of similar token sets themselves."""
+    found = _title_sets(spark, sf_dir)
+    named = lambda c: found.sets.select(F.col("id").alias(c), F.col("tokens").alias(f"t_{c}"))
+    pairs = found.links.join(named("a"), "a").join(named("b"), "b")
+    ends = F.array_sort(F.array("t_a", "t_b"))
+    return pairs.select(F.array_join(ends[0], " ").alias("a"), F.array_join(ends[1], " ").alias("b"), "similarity")
 
 
 @query(f"WITH {LINES} SELECT doc_id, line, array_to_string(list_sort(list_distinct(list_filter(string_split({TITLE}, ' '), lambda w: w <> '' AND w NOT IN {STOP}))), ' ') AS tokens FROM h")
@@ -549,8 +589,28 @@ def title_dedup_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.title_duplicates(headlines(spark, sf_dir), history, replace(DEFAULT, enforce=False)).select("doc_id", "line", "is_duplicate")
 
 
-@query()
+@query(
+    f"""
+    WITH RECURSIVE {LINES}, l AS (SELECT doc_id * 2147483648 + line AS seq, {TITLE} AS n FROM h),
+    e AS (SELECT seq, n, list_sort(list_distinct(list_filter(string_split(n, ' '), lambda w: w <> '' AND w NOT IN {STOP}))) AS w FROM l WHERE n <> ''),
+    c AS (SELECT seq, n, CASE WHEN len(w) > 0 THEN w ELSE ['', n] END AS t, len(w) AS k FROM e),
+    heads AS (SELECT t, k, min(seq) AS first, arg_min(n, seq) AS title FROM c GROUP BY t, k),
+    p AS (SELECT a.first AS a, b.first AS b, a.k + b.k AS k, len(list_intersect(a.t, b.t)) AS n FROM heads a JOIN heads b ON b.k > 0.85 * a.k AND b.k < a.k / 0.85 WHERE a.first < b.first AND a.k > 0),
+    r AS (SELECT a, b, n / (k - n) AS similarity FROM p WHERE n / (k - n) > 0.85),
+    turns AS (SELECT b, list(a) AS earlier, row_number() OVER (ORDER BY b) AS turn FROM r GROUP BY b),
+    fold(turn, gone) AS (
+      SELECT 0::BIGINT, []::BIGINT[]
+      UNION ALL SELECT t.turn, CASE WHEN list_has_all(gone, earlier) THEN gone ELSE list_append(gone, b) END FROM fold f JOIN turns t ON t.turn = f.turn + 1),
+    gone AS (SELECT unnest(gone) AS first FROM fold WHERE turn = (SELECT max(turn) FROM fold)),
+    stay AS (SELECT first, title FROM heads ANTI JOIN gone USING (first)),
+    alike AS (SELECT b AS first, a AS other, similarity FROM r UNION ALL SELECT a, b, similarity FROM r UNION ALL SELECT first, first, 1.0 FROM heads),
+    m AS (SELECT c.seq, arg_max(struct_pack(t := stay.title, s := similarity), struct_pack(s := similarity, late := -stay.first)) AS best
+          FROM c JOIN heads h ON h.t = c.t JOIN alike ON alike.first = h.first JOIN stay ON stay.first = alike.other WHERE stay.first < c.seq GROUP BY 1)
+    SELECT (l.seq // 2147483648)::BIGINT AS doc_id, (l.seq % 2147483648)::BIGINT AS line, best IS NOT NULL AS is_duplicate, best.t AS matched_title, best.s AS similarity FROM l LEFT JOIN m USING (seq)
+    """
+)
 def title_dedup_enforce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in order as headlines: one goes if an earlier line that stays is like it. SQL takes them one after another."""
     return dedup.title_duplicates(headlines(spark, sf_dir), spark.createDataFrame([], "title_norm string")).select("doc_id", "line", "is_duplicate", "matched_title", "similarity")
 
 
@@ -781,7 +841,7 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = spark.readStream.schema(e.schema).parquet(*[f"{sf_dir}/events.parquet*"]).select(F.col("event_type").alias("id"), "event_id", "ts")
     out = jobs.scratch(spark, "stream-dedup")
     jobs.dedup_stream(source, "id", ("ts", "event_id"), f"{out}/rows", f"{out}/checkpoint").awaitTermination()
-    return spark.read.option("recursiveFileLookup", True).schema("id string, event_id long, ts timestamp_ntz").parquet(f"{out}/rows").select("id", "event_id")
+    return spark.read.schema("id string, event_id long, ts timestamp_ntz").parquet(f"{out}/rows").select("id", "event_id")
 
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
@@ -800,50 +860,85 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- more feeds
 
 
+#: Fields of filings by key: each is given, empty or missing in turn, so every fallback occurs.
+FILED = """
+    SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 = 7 THEN NULL ELSE ['Acquisition', 'Board Meeting - Acquisition', '', 'General', 'Pledge'][(o_orderkey % 5 + 1)::INTEGER] END AS category,
+           CASE WHEN o_orderkey % 5 = 2 THEN 'Sale of shares' WHEN o_orderkey % 35 = 0 THEN '' WHEN o_orderkey % 35 = 4 THEN NULL ELSE 'News' END AS subject,
+           CASE o_orderkey % 4 WHEN 0 THEN 'Head: ' || o_orderkey || ':' WHEN 1 THEN '' WHEN 2 THEN ' ' END AS headline,
+           CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'Co' || o_custkey END AS company, CASE o_orderkey % 7 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE '5' || o_custkey END AS code,
+           CASE o_orderkey % 3 WHEN 0 THEN 'N' || o_orderkey WHEN 1 THEN '' END AS news_id, CASE o_orderkey % 2 WHEN 0 THEN '2024-01-02T' || o_orderkey ELSE '' END AS stamp,
+           CASE o_orderkey % 3 WHEN 1 THEN 'f' || o_orderkey || '.pdf' WHEN 2 THEN '' END AS attached FROM orders
+"""
+
+
+def _one_of(n: int, k: Column, *options: Column | str | None) -> Column:
+    """The option that the key's rest by ``n`` picks; null beyond them."""
+    out = F.lit(None).cast("string")
+    for i, option in enumerate(options):
+        out = F.when(k % n == i, F.lit(option) if isinstance(option, str) or option is None else option).otherwise(out)
+    return out
+
+
 @query(
-    """
-    SELECT 'BSE:N' || o_orderkey AS id, 'Co' || o_custkey || ': ' || CASE WHEN o_orderkey % 2 = 0 THEN 'Head ' || o_orderkey ELSE CASE o_orderkey % 5 WHEN 2 THEN 'Sale of shares' ELSE 'News' END END AS title,
-           CASE WHEN o_orderkey % 3 = 0 THEN 'https://www.bseindia.com/xml-data/corpfiling/AttachLive/f.pdf' ELSE '' END AS url
-    FROM orders WHERE o_orderkey % 5 IN (0, 2, 4)
+    f"""
+    WITH f AS (SELECT *, coalesce(nullif(category, ''), nullif(subject, ''), '') AS c, coalesce(nullif(headline, ''), nullif(subject, ''), '') AS h FROM ({FILED}))
+    SELECT 'BSE:' || coalesce(nullif(news_id, ''), nullif(stamp, ''), h) AS id, 'BSE' AS source, trim(coalesce(nullif(company, ''), nullif(code, ''), '') || ': ' || h, ': ') AS title,
+           CASE WHEN coalesce(attached, '') = '' THEN 'https://www.bseindia.com/corporates/ann.html' ELSE 'https://www.bseindia.com/xml-data/corpfiling/AttachLive/' || attached END AS url,
+           c || '. ' || h AS description, NULL::VARCHAR AS source_query
+    FROM f WHERE c IN ('Acquisition', 'Sale of shares', 'Pledge')
     """
 )
 def bse_filing_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subcategories: a keyword to drop wins over one to keep; an empty subcategory is judged by the subject."""
-    k = F.col("o_orderkey")
-    category = F.element_at(F.array(*map(F.lit, ("Acquisition", "Board Meeting - Acquisition", "", "General", "Pledge"))), (k % 5 + 1).cast("int"))
+    k, key, customer = F.col("o_orderkey"), F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
     row = F.struct(
-        category.alias("SUBCATNAME"), F.when(k % 5 == 2, "Sale of shares").otherwise("News").alias("NEWSSUB"), F.when(k % 2 == 0, F.concat(F.lit("Head "), k.cast("string"))).otherwise(" ").alias("HEADLINE"),
-        F.concat(F.lit("Co"), F.col("o_custkey").cast("string")).alias("SLONGNAME"), F.lit("1").alias("SCRIP_CD"), F.concat(F.lit("N"), k.cast("string")).alias("NEWSID"), F.lit("").alias("NEWS_DT"), F.when(k % 3 == 0, "f.pdf").otherwise("").alias("ATTACHMENTNAME"),
+        F.when(k % 10 != 7, _one_of(5, k, "Acquisition", "Board Meeting - Acquisition", "", "General", "Pledge")).alias("SUBCATNAME"),
+        F.when(k % 5 == 2, "Sale of shares").when(k % 35 == 0, "").when(k % 35 != 4, "News").alias("NEWSSUB"), _one_of(4, k, F.concat(F.lit("Head: "), key, F.lit(":")), "", " ").alias("HEADLINE"),
+        _one_of(3, k, "", F.concat(F.lit("Co"), customer)).alias("SLONGNAME"), F.when(k % 7 == 0, "").when(k % 7 != 1, F.concat(F.lit("5"), customer)).alias("SCRIP_CD"),
+        _one_of(3, k, F.concat(F.lit("N"), key), "").alias("NEWSID"), _one_of(2, k, F.concat(F.lit("2024-01-02T"), key), "").alias("NEWS_DT"), _one_of(3, k, None, F.concat(F.lit("f"), key, F.lit(".pdf")), "").alias("ATTACHMENTNAME"),
     )
     json = table(spark, sf_dir, "orders").select(F.to_json(F.struct(F.array(row).alias("Table"))).alias("j")).select(F.from_json("j", schemas.FILING).alias("d")).select("d.*")
-    return feeds.bse_filings(json).select("id", "title", "url")
+    return feeds.bse_filings(json)
 
 
 @query(
     """
-    WITH a AS (SELECT 'S' || o_custkey AS symbol, repeat('long subject ', (o_orderkey % 30)::INTEGER) || o_orderkey AS subject, strftime(o_orderdate, '%d-%m-%Y') AS w FROM orders)
-    SELECT substr('NSE:' || symbol || ':' || w || ':' || subject, 1, 200) AS id, symbol || ': ' || subject AS title FROM a
+    WITH a AS (SELECT CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'S' || o_custkey END AS symbol, CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'Subject: ' || o_orderkey || ' ' END AS subject,
+                      CASE o_orderkey % 7 WHEN 0 THEN NULL ELSE repeat('long subject ', (o_orderkey % 30)::INTEGER) || o_orderkey END AS more, CASE o_orderkey % 2 WHEN 0 THEN '' ELSE '1-2-2024' END AS one, strftime(o_orderdate, '%d-%m-%Y') AS other,
+                      CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'https://x/' || o_orderkey END AS file FROM orders),
+    b AS (SELECT *, coalesce(symbol, '') AS s, coalesce(nullif(subject, ''), more, '') AS t FROM a)
+    SELECT substr('NSE:' || s || ':' || coalesce(nullif(one, ''), other) || ':' || t, 1, 200) AS id, 'NSE' AS source, trim(s || ': ' || t, ': ') AS title,
+           coalesce(nullif(file, ''), 'https://www.nseindia.com/companies-listing/corporate-filings-announcements') AS url, t AS description, NULL::VARCHAR AS source_query FROM b
     """
 )
 def nse_announcement_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    subject = F.concat(F.repeat(F.lit("long subject "), (k % 30).cast("int")), k.cast("string"))
-    json = table(spark, sf_dir, "orders").select(F.to_json(F.struct(F.concat(F.lit("S"), F.col("o_custkey").cast("string")).alias("symbol"), F.lit(" ").alias("subject"), subject.alias("desc"), F.date_format("o_orderdate", "dd-MM-yyyy").alias("dt"))).alias("j"))
-    return feeds.nse_announcements(json.select(F.from_json("j", schemas.ANNOUNCEMENT).alias("d")).select("d.*")).select("id", "title")
+    k, key = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    row = F.struct(
+        F.when(k % 5 == 0, "").when(k % 5 != 1, F.concat(F.lit("S"), F.col("o_custkey").cast("string"))).alias("symbol"), _one_of(3, k, "", F.concat(F.lit("Subject: "), key, F.lit(" "))).alias("subject"),
+        F.when(k % 7 != 0, F.concat(F.repeat(F.lit("long subject "), (k % 30).cast("int")), key)).alias("desc"), _one_of(2, k, "", "1-2-2024").alias("an_dt"), F.date_format("o_orderdate", "dd-MM-yyyy").alias("dt"),
+        _one_of(4, k, "", F.concat(F.lit("https://x/"), key)).alias("attchmntFile"),
+    )
+    json = table(spark, sf_dir, "orders").select(F.to_json(row).alias("j"))
+    return feeds.nse_announcements(json.select(F.from_json("j", schemas.ANNOUNCEMENT).alias("d")).select("d.*"))
 
 
 @query(
     """
-    SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'https://www.sebi.gov.in/filings/' || o_orderkey ELSE 'http://x/drhp/' || o_orderkey END AS url,
-           CASE WHEN o_orderkey % 2 = 0 THEN 'Draft offer ' || o_orderkey ELSE 'Paper ' || o_orderkey END AS title FROM orders
+    WITH s AS (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'https://www.sebi.gov.in/filings/' || o_orderkey WHEN 1 THEN 'http://x/drhp/' || o_orderkey ELSE 'https://www.sebi.gov.inprospectus?a=1&b=' || o_orderkey END AS url,
+                      CASE o_orderkey % 3 WHEN 0 THEN 'Draftoffer' || o_orderkey WHEN 1 THEN 'Paper  "' || o_orderkey || '" & more' ELSE 'No. ' || o_orderkey END AS title FROM orders)
+    SELECT 'SEBI:' || url AS id, 'SEBI' AS source, title, url, 'SEBI draft offer document: ' || title AS description, NULL::VARCHAR AS source_query FROM s
     """
 )
 def sebi_listing_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of three links a page: one of a keyword in its text or target, one without, one without text."""
-    k = F.col("o_orderkey").cast("string")
-    link = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("<a class='x' href='/filings/"), k, F.lit("'>Draft <b>offer</b>\n "), k, F.lit("</a>"))).otherwise(F.concat(F.lit('<a href="http://x/drhp/'), k, F.lit('">Paper '), k, F.lit("</a>")))
-    page = F.concat(F.lit("<p>"), link, F.lit('<a href="/about">About</a> <a href="/drhp/none"> </a></p>'))
-    return feeds.sebi_listing(table(spark, sf_dir, "orders").select(page.alias("html"))).select("url", "title")
+    """Of three links a page: one of a keyword in its text or target, with tags, comments and entities; one without, one
+    without text."""
+    k, key = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    link = _one_of(
+        3, k, F.concat(F.lit("<a class='x' href='/filings/"), key, F.lit("'>Draft <b>offer</b>\n <!-- a > b --> "), key, F.lit("&nbsp;</a>")),
+        F.concat(F.lit('<a href="http://x/drhp/'), key, F.lit('">Paper  &quot;'), key, F.lit("&quot; &amp; more</a>")), F.concat(F.lit('<a href="prospectus?a=1&amp;b='), key, F.lit('"> No. '), key, F.lit("\t</a>")),
+    )
+    page = F.concat(F.lit("<p>"), link, F.lit('<a href="/about">About</a> <a href="/drhp/none"> <i> </i></a></p>'))
+    return feeds.sebi_listing(table(spark, sf_dir, "orders").select(page.alias("html")))
 
 
 # ---- more state and joins

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tradesift import schemas
@@ -59,31 +59,32 @@ def run_news(
     spark, at, out = items.sparkSession, F.lit(as_of).cast("timestamp"), Outcome()
     no_map = spark.createDataFrame([], "name_key string, ticker string")
     nse, bse = nse if nse is not None else no_map, bse if bse is not None else no_map
-    hold = dedup.cut  # each stage is stored once: no model is asked twice, plans stay small, a lost executor costs little
+    hold = dedup.stored  # each stage is written once: no model is asked twice, plans stay small, a lost executor costs little
+    n: dict[str, int] = {}  # what was counted while stages were written
 
     writes: dict[str, DataFrame] = {}  # tables written anew
     adds: dict[str, DataFrame] = {}  # rows appended
-    known = hold(store.read("items"))
-    valid = hold(items.filter(F.coalesce("id", F.lit("")) != ""))
+    known = store.read("items")  # read where it is needed, and then only its ids or the window's titles
+    valid = counted(items.filter(F.coalesce("id", F.lit("")) != ""), n, fetched=F.lit(True))
     queries = valid.filter(F.coalesce("source_query", F.lit("")) != "").select(F.col("id").alias("item_id"), F.col("source_query").alias("query"), at.alias("created_at"))
     writes["item_queries"] = state.prune(state.insert_absent(store.read("item_queries"), queries, ["item_id", "query"], F.col("created_at")), "created_at", at, config.item_query_days)
-    fresh = hold(dedup.unseen(valid.withColumn("fetched_at", at), known))
-    marked = fresh.withColumn("noise", filters.structural_noise(F.col("url"), F.col("title"), F.col("description")))
+    fresh = dedup.unseen(valid.withColumn("fetched_at", at), known)
+    marked = counted(fresh.withColumn("noise", filters.structural_noise(F.col("url"), F.col("title"), F.col("description"))), n, fresh=F.lit(True), structural_dropped=F.col("noise"))
     live, noise_log = filters.apply_gate(marked, "noise", "structural", F.col("url"), at, config)
-    live = hold(live)
     history = known.filter(F.col("fetched_at") >= at - F.make_dt_interval(F.lit(0), F.lit(config.dedup_hours))).select("title_norm")
-    judged = hold(dedup.title_duplicates(live, history, config))
+    judged = counted(dedup.title_duplicates(live, history, config), n, title_deduped=F.col("is_duplicate"))
     adds["items"] = judged
     dup = judged.filter("is_duplicate")
     adds["title_dedup_log"] = state.with_ids(store.read("title_dedup_log"), dup.select("title", "url", "matched_title", "similarity", at.alias("created_at"), "seq"), "seq")
     candidates = judged.filter("NOT is_duplicate") if config.enforce else judged
     company = F.when(F.col("source") == "BSE", F.split_part("title", F.lit(":"), F.lit(1)))
     capped = sizing.market_caps(sizing.resolve_tickers(candidates, company, nse, bse), store.read("market_caps"), at, quotes, config).withColumn("small", filters.filing_mcap_gate(F.col("source"), F.col("market_cap_cr"), config))
-    capped = hold(capped)
+    capped = counted(capped, n, bse_mcap_gated=F.col("small"))
     asked_tickers = capped.select("ticker")
     capped = capped.drop("ticker")
     big, mcap_log = filters.apply_gate(capped, "small", "bse_mcap", F.col("market_cap_cr"), at, config)
-    gated = hold(big.drop("market_cap_cr").withColumn("stated_low", filters.amount_gate(F.col("title"), F.col("description"), config)))
+    stated = big.drop("market_cap_cr").withColumn("stated_cr", text.gated_amount(F.col("title"), F.col("description"), config=config))
+    gated = counted(stated.withColumn("stated_low", filters.stated_low(F.col("stated_cr"), config)), n, pre_api_gated=F.col("stated_low"))
     ready, amount_log = filters.apply_gate(gated, "stated_low", "pre_api_amount", F.lit("below threshold"), at, config)
     # The retry queue joins again at the stage it failed at.
     queue = store.read("classify_retry")
@@ -94,15 +95,15 @@ def run_news(
     ready = ready.select(*slim)
     prompted = lambda df: df.withColumn("prompt", classify.prompt(F.col("title"), F.col("description"), config))
     one = prompted(ready.filter("source <> 'SEBI'").unionByName(again("stage1")))
-    asked1 = hold(classify.ask(one, model.stage1, ["seq", "id"], config))
+    asked1 = counted(classify.ask(one, model.stage1, ["seq", "id"], config), n, reached_stage1=F.lit(True), failed1=F.col("failed"))
     routed1 = hold(classify.route_stage1(asked1.withColumn("verdict", classify.stage1_verdict(F.col("reply"))), config))
     two = prompted(ready.filter("source = 'SEBI'").unionByName(routed1.filter("route = 'pass'").select(*slim)).unionByName(again("stage2")))
-    asked2 = hold(classify.ask(two, model.stage2, ["seq", "id"], config))
+    asked2 = counted(classify.ask(two, model.stage2, ["seq", "id"], config), n, reached_stage2=F.lit(True), failed2=F.col("failed"))
     routed2 = hold(classify.route_stage2(asked2.withColumn("result", classify.stage2_result(F.col("reply")))))
     passed = routed2.filter("route = 'pass'").select(*slim, "result.*")
     sized = sizing.market_caps(sizing.resolve_tickers(passed, F.col("company"), nse, bse), store.read("market_caps"), at, quotes, config)
     sized = sized.withColumn("size", F.when(F.col("amount_cr").isNull(), sizing.computed_size(F.col("market_cap_cr"), F.col("title"), F.col("description"))))
-    final = hold(sizing.size_gates(sized, config))
+    final = counted(sizing.size_gates(sized, config), n, **{f"size {c}": F.col("rule").isNull() & (F.col("size_source") == c) for c in sizing.SIZE_SOURCES})
     if quotes is not None:
         adds["market_caps"] = sizing.fetched(asked_tickers.unionByName(final.select("ticker")), store.read("market_caps"), at, quotes, config)
     deals = store.read("deals")
@@ -122,7 +123,7 @@ def run_news(
     low = F.lit("Rule 8")
     dropped = [
         _suppressed(capped.filter("small"), F.lit("Rule M"), "pre-api", at) if config.enforce else None,
-        _suppressed(gated.filter("stated_low"), low, "pre-api", at, text.gated_amount(F.col("title"), F.col("description"), config=config)) if config.enforce else None,
+        _suppressed(gated.filter("stated_low"), low, "pre-api", at, F.col("stated_cr")) if config.enforce else None,
         _suppressed(routed1.filter("route = 'suppress'"), F.col("rule"), "model", at),
         _suppressed(routed2.filter("route = 'suppress'"), F.col("rule"), "model", at, F.col("result.amount_cr")),
         _suppressed(final.filter("rule IS NOT NULL"), F.col("rule"), "model", at, F.col("amount_cr")),
@@ -134,19 +135,17 @@ def run_news(
     adds["prefilter_shadow"] = state.with_ids(store.read("prefilter_shadow"), logs, "filter", "url")
     failures = routed1.filter("failed").select(F.col("id").alias("item_id"), F.lit("stage1").alias("stage")).unionByName(routed2.filter("failed").select(F.col("id").alias("item_id"), F.lit("stage2").alias("stage")))
     succeeded = routed1.filter("NOT failed").select(F.col("id").alias("item_id")).unionByName(routed2.filter("NOT failed").select(F.col("id").alias("item_id"))).join(failures.select("item_id"), "item_id", "left_anti")
-    left = hold(state.delete_keys(state.enqueue_retries(queue, failures, at), succeeded, ["item_id"]))
+    left = counted(state.delete_keys(state.enqueue_retries(queue, failures, at), succeeded, ["item_id"]), n, held=F.lit(True))
     writes["classify_retry"] = left
 
-    out.alerts = hold(alerts.orderBy("seq").limit(limit) if limit is not None else alerts.orderBy("seq"))
-    n = counts({
-        "fetched": valid, "fresh": fresh, "structural_dropped": marked.filter("noise"), "title_deduped": dup, "bse_mcap_gated": capped.filter("small"), "pre_api_gated": gated.filter("stated_low"),
-        "reached_stage1": asked1, "reached_stage2": asked2, "alerted": out.alerts, "failed": failures, "judged": succeeded, "held": left,
-    })
+    out.alerts = counted(alerts.orderBy("seq").limit(limit) if limit is not None else alerts.orderBy("seq"), n, alerted=F.lit(True))
     out.funnel = {"fetched": n["fetched"], "already_seen": n["fetched"] - n["fresh"]} | {k: n[k] for k in ("structural_dropped", "title_deduped", "bse_mcap_gated", "pre_api_gated", "reached_stage1", "reached_stage2", "alerted")}
-    out.sizes = {r["size_source"]: r["count"] for r in final.filter("rule IS NULL").groupBy("size_source").count().collect()}
-    out.failed = n["failed"]
-    reasons = asked1.select("reason").unionByName(asked2.select("reason")).filter("reason IS NOT NULL").agg(F.slice(F.array_sort(F.collect_set("reason")), 1, 3)).first()[0]
-    changes, out.health = classifier_health(store, reasons if n["failed"] else [], n["judged"], n["held"], as_of, config)
+    out.sizes = {c: n[f"size {c}"] for c in sizing.SIZE_SOURCES if n[f"size {c}"]}
+    out.failed = n["failed1"] + n["failed2"]
+    reasons = []
+    if out.failed:
+        reasons = asked1.select("reason").unionByName(asked2.select("reason")).filter("reason IS NOT NULL").agg(F.slice(F.array_sort(F.collect_set("reason")), 1, 3)).first()[0]
+    changes, out.health = classifier_health(store, reasons, n["reached_stage1"] + n["reached_stage2"] - out.failed, n["held"], as_of, config)
     out.sent = True if dry or sink is None else bool(sink(out.alerts))
     if not dry and out.sent:
         run = spark.createDataFrame([{"mode": mode, **out.funnel}], "mode string, " + ", ".join(f"{k} long" for k in out.funnel)).withColumn("created_at", at)
@@ -154,15 +153,41 @@ def run_news(
         if changes:
             writes["kv_state"] = store.values(changes)
         store.commit(writes, adds)
+    elif not dry and changes:  # the run is due again, but what was said of the classifier stands
+        store.commit({"kv_state": store.values(changes)}, {})
     if out.health and notify is not None and not dry:
         notify(out.health)
     return out
 
 
-def counts(frames: dict[str, DataFrame]) -> dict[str, int]:
-    """Rows of each frame, in one job."""
-    found = dedup_union([df.select(F.lit(name).alias("stage")) for name, df in frames.items()]).groupBy("stage").count().collect()
-    return dict.fromkeys(frames, 0) | {r["stage"]: r["count"] for r in found}
+def run_feeds(
+    readers: dict[str, Callable[[], DataFrame]],
+    mode: str,
+    store: state.StateStore,
+    model: classify.Classifier,
+    as_of: datetime,
+    now_ist: datetime | None = None,
+    **more,
+) -> tuple[Outcome, dict[str, str]]:
+    """A news job from its feeds: those that ``mode`` plans are read, each by itself, and their items judged in one run. A
+    feed that fails while it is read counts as empty. Returns the outcome and, by feed, the reason of a failure.
+
+    ``readers``: for a feed's name what gives its items (of schemas.ITEM), like ``feeds.landed``; feeds without a reader are
+    left out. ``more`` goes to ``run_news``."""
+    spark, errors = store.spark, {}
+    none = lambda: spark.createDataFrame([], schemas.ITEM)
+    parts = [isolated(name, lambda name=name: dedup.stored(schemas.conform(readers[name](), schemas.ITEM)), none, errors).withColumn("_feed", F.lit(i)) for i, name in enumerate(feeds.plan_sources(mode, now_ist)) if name in readers]
+    items = feeds.union_all(parts or [none().withColumn("_feed", F.lit(0))])
+    seq = numbering.numbered(items, [F.col("_feed"), F.col("id"), F.col("title"), F.col("source_query")], dedup.stored, "seq").drop("_feed")
+    return run_news(seq, store, model, as_of, mode=mode, **more), errors
+
+
+def counted(df: DataFrame, into: dict[str, int], **conditions: Column) -> DataFrame:
+    """``df`` stored; how many of its rows meet each condition is observed while it is written, not in a pass of its own."""
+    seen = Observation()
+    held = dedup.stored(df.observe(seen, *[F.count_if(c).alias(name) for name, c in conditions.items()]))
+    into.update(seen.get)
+    return held
 
 
 def _by(column: str):
@@ -300,12 +325,12 @@ def classifier_health(store: state.StateStore, reasons: list[str], judged: int,
     and the number of items held; and one message when something was judged again."""
     if not reasons:
         back = judged and store.get(FAILING) == "1"
-        return ({FAILING: "0", WARNED: ""}, "Classifier is back. Held items are being processed again.") if back else ({}, None)
+        return ({FAILING: "0", WARNED: ""}, "The model answers again; what was waiting for it is asked now.") if back else ({}, None)
     last = store.get(WARNED)
     if last and (as_of - datetime.fromisoformat(last)).total_seconds() < config.warn_cooldown_minutes * 60:
         return {FAILING: "1"}, None
     lines = "\n".join(f"- {r}" for r in sorted(set(reasons))[:3])
-    return {FAILING: "1", WARNED: as_of.isoformat()}, f"Classifier unavailable. {held} item(s) are held and will be asked again; none is sent unclassified.\n{lines}"
+    return {FAILING: "1", WARNED: as_of.isoformat()}, f"No answers from the model. {held} item(s) wait in the queue, nothing goes out unjudged. Causes:\n{lines}"
 
 
 #: Marks a rated message: ``None`` for a press that could not be read.

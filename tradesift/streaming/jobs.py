@@ -53,20 +53,47 @@ def news_stream(
     return items.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def dedup_stream(source: DataFrame, key: str, order: tuple[str, ...], out: str, checkpoint: str) -> StreamingQuery:
-    """First row of each key over all batches, appended under ``out`` as one folder per batch, so a batch may be repeated."""
+#: Keeps state on disk beside memory, so it is bounded by neither, and writes only what a batch changes.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def first_seen(source: DataFrame, key: str, order: tuple[str, ...], days: int | None = None) -> DataFrame:
+    """As a stream: of each key that no earlier batch has brought the first row in ``order`` (nulls first). Null and empty
+    keys go. The state holds one flag a key, so a batch costs what it brings, however long the history; after ``days``
+    without a row, if given, a key is forgotten."""
+
+    columns = source.columns
+
+    def step(name: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        best = None
+        if not held.exists:  # frames of a key come in pieces, of which the least row is kept
+            for frame in frames:
+                best = pd.concat([frame] if best is None else [best, frame]).sort_values(list(order), na_position="first", kind="stable").head(1)
+        held.update((True,))
+        if days is not None:
+            held.setTimeoutDuration(days * 86_400_000)
+        if best is not None:
+            yield best[columns]
+
+    kept = source.filter(F.coalesce(F.col(key).cast("string"), F.lit("")) != "")
+    timeout = GroupStateTimeout.NoTimeout if days is None else GroupStateTimeout.ProcessingTimeTimeout
+    return kept.groupBy(key).applyInPandasWithState(step, source.schema, "seen boolean", "append", timeout)
+
+
+def dedup_stream(source: DataFrame, key: str, order: tuple[str, ...], out: str, checkpoint: str, days: int | None = None) -> StreamingQuery:
+    """First row of each key over all batches, appended to ``out`` once each, though a batch may be repeated. What was
+    written before is never read: keys live in the state store."""
     spark = source.sparkSession
-
-    def batch(df: DataFrame, epoch: int) -> None:
-        try:
-            seen = spark.read.schema(df.schema).option("recursiveFileLookup", True).parquet(out).filter(~F.input_file_name().contains(f"/epoch={epoch}/"))
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            seen = df.limit(0)
-        dedup.unseen(df, seen, key, order).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-
-    return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    name, provider = STATE_STORE
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, provider)
+    try:  # a query keeps the settings it was started with
+        return first_seen(source, key, order, days).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def windowed_counts(events: DataFrame, at: str, late: str, width: str, key: str, value: str) -> DataFrame:

@@ -12,7 +12,7 @@ the working tables stay small however long a word is, and nothing is spilled. De
 and an ordered aggregation puts each text's bytes together.
 
 Defined cases: null text encodes as empty (no ids, the digest of nothing); empty text likewise; texts go through whole,
-several at a time up to CHARS characters, and words in groups of START_ROWS bytes, one at least; repeated rows and ties give equal rows; an empty table gives an empty result. Only
+several at a time up to ENCODED characters, and words in groups of START_ROWS bytes, one at least; repeated rows and ties give equal rows; an empty table gives an empty result. Only
 doc_id and text are read, so other columns may have any name.
 """
 
@@ -36,8 +36,9 @@ START_ROWS = 400_000
 #: Positions of a long word that are contracted together, and of all words in one query; and around one that has changed.
 WINDOW, LONG_ROWS, AROUND = 16_384, 40_000, 16
 NONE = 2**31 - 1
-#: Characters that are encoded at a time, ids that are decoded at a time, and words that a task remembers.
-CHARS, IDS, REMEMBERED = 2_000_000, 400_000, 500_000
+#: Characters of a piece of texts; those that are encoded at a time, ids that are decoded at a time, and words that a task
+#: remembers.
+CHARS, ENCODED, IDS, REMEMBERED = 1_000_000, 2_000_000, 400_000, 500_000
 
 #: Positions are unique over all words of a query, so one order serves every word.
 SHORT_STEP = """
@@ -383,7 +384,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         bpe = Bpe(*given.value, pattern)
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
-            for _, texts in pieces(batch.column(1)):
+            for _, texts in pieces(batch.column(1), ENCODED):
                 coded = bpe.encode(texts)
                 n += [len(x) for x in coded]
                 ids_sha += [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in coded]
@@ -401,7 +402,7 @@ def with_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe(*given.value, pattern)
         for batch in batches:
-            for a, texts in pieces(batch.column(1)):
+            for a, texts in pieces(batch.column(1), ENCODED):
                 coded = bpe.encode(texts)
                 same = [x == t.encode("utf-8") for x, t in zip(bpe.decode(coded), texts)]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in coded]))), pa.int32()), pa.array(np.concatenate(coded), pa.int32()))
